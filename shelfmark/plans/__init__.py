@@ -1,4 +1,4 @@
 """Queries over the given tables, one module per group of operators."""
 
-from . import q_dashboard, q_works  # noqa: F401
+from . import q_dashboard, q_resources, q_works  # noqa: F401
 from .registry import QUERIES  # noqa: F401

@@ -93,7 +93,7 @@ ROLES: dict[str, tuple[str, dict[str, str]]] = {
         "id": _KEY,
         "work_id": "l_orderkey",
         "catalogue_id": "l_partkey",
-        "score": "round(l_extendedprice / 100000, 4)",
+        "score": "floor(l_extendedprice / 10) / 10000",
         "title": "concat('Candidate ', cast(l_partkey as string))",
         "exact": "l_linestatus = 'F'",
         "year_missing": "l_returnflag = 'N'",

@@ -242,8 +242,8 @@ def catalogue_orders(t: Tables):
     return out
 
 
-@query("T-03", sql="""SELECT id, updated_at FROM work WHERE (updated_at, id) < (SELECT updated_at, id FROM work ORDER BY updated_at DESC, id DESC LIMIT 1 OFFSET 29)
-  ORDER BY updated_at DESC, id DESC LIMIT 30""")
+@query("T-03", sql="""WITH k AS (SELECT updated_at AS u, id AS i FROM work ORDER BY updated_at DESC, id DESC LIMIT 1 OFFSET 29)
+  SELECT id, updated_at FROM work, k WHERE updated_at < u OR (updated_at = u AND id < i) ORDER BY updated_at DESC, id DESC LIMIT 30""")
 def keyset_page(t: Tables):
     order = SORTS["updated_desc"]()
     last = works.page_of(t.work, order, 1, 30).agg(F.min(F.struct("updated_at", "id")).alias("k"))

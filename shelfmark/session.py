@@ -22,7 +22,7 @@ def local_session(app: str = "shelfmark", cores: str = "8", partitions: int = 8)
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
+        .config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
 
 
