@@ -80,16 +80,13 @@ def heading_year(text: Column) -> Column:
     return F.coalesce(first_int(text, rules.BRACKETED_YEAR), first_int(text, rules.YEAR))
 
 
-def match_start(text: Column, pattern: str) -> Column:
-    """1-based start of the first match, null when there is none."""
-    return F.nullif(F.regexp_instr(text, F.lit(pattern)), F.lit(0))
-
-
 def cut_at_first(text: Column, patterns: list[str] | tuple[str, ...]) -> Column:
-    """Text before the earliest match of any pattern."""
-    starts = [match_start(text, p) for p in patterns]
-    start = F.least(*starts) if len(starts) > 1 else starts[0]
-    return F.when(start.isNull(), text).otherwise(F.substring(text, F.lit(1), start - 1))
+    """Text before the earliest match of any pattern.
+
+    One alternation: the leftmost match of all is by definition the earliest start.
+    """
+    alternatives = "|".join(f"(?:{p})" for p in patterns)
+    return F.regexp_replace(text, f"(?:{alternatives})(?s:.*)", "")
 
 
 def strip_trailing_date(text: Column) -> Column:
