@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_BYTES = 64 << 20
 
 
-def local_session(app: str = "shelfmark", cores: str = "8", partitions: int = 8) -> SparkSession:
+def local_session(app: str = "shelfmark", cores: str = "8", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and benches; clusters bring their own."""
     return (
         SparkSession.builder.appName(app)
@@ -19,7 +18,7 @@ def local_session(app: str = "shelfmark", cores: str = "8", partitions: int = 8)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "8g"))
+        .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false").getOrCreate()
@@ -38,7 +37,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
             "spark.checkpoint.dir"
         )
-        if configured is None and not context.master.startswith("local"):
+        if configured is None and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="shelfmark-ckpt-"))
     return df.checkpoint(eager=True)
