@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_rules, mix, shard, url_filter
+from . import decontaminate, jaccard, line_rules, mix, shard, token_counts, url_filter
 from .common import table
 
 SHARDS = 16
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 URL_RULES = (
     url_filter.Rule("allow", "org", "/"),
@@ -21,6 +22,11 @@ URL_RULES = (
 )
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that some part of a document is within its error budget of."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 equal shards, by key; ``grown_shard`` is the shard when there are 17."""
     docs = table(spark, sf_dir, "documents")
@@ -42,6 +48,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class and its numbers of links."""
+    return jaccard.linked(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "links", "text_links")
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict on every page's URL; the labelled URL table is of the pages that a rule decides."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -58,7 +69,15 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Greedy word-piece counts of every document; the vocabulary file is read by the driver alone."""
+    first, inner = token_counts.sentencepiece_vocabulary(vocabulary)
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), first, inner)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sharding, op3_mixing, op8_url_filters, op9_quality_rules)
+    f.__name__: f for f in (
+        op1_decontamination, op2_sharding, op3_mixing, op7_jaccard_join, op8_url_filters, op9_quality_rules, op10_token_counts,
+    )
 }
 ORACLE_SQL: dict[str, str] = {}
