@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,24 +26,34 @@ def local_session(app: str = "shelfmark", cores: str = "8", partitions: int = 8,
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on the shared checkpoint folder so a lost executor costs no replay.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, shared by driver and executors.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where none is named (tests on
-    one machine) a temporary one is made.
+    It is the cluster's ``spark.checkpoint.dir``; only where none is named, and all runs on one machine as in
+    tests, a temporary one is made.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
-            "spark.checkpoint.dir"
-        )
+        configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         if configured is None and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="shelfmark-ckpt-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder so a lost executor costs no replay."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to a new place in the shared folder, and read from there."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def small_enough(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     """True when Catalyst's own size estimate of ``df`` is below ``limit``.
 
