@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, line_rules, mix, shard, token_counts, url_filter
-from .common import table
+from . import decontaminate, jaccard, language_model, line_rules, mix, quality, shard, token_counts, toxicity, url_filter
+from .common import fold, table
 
 SHARDS = 16
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -48,6 +48,31 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from the labels of four folds of five."""
+    docs, remainder = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), remainder != 0)
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", (remainder == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probabilities of every document, learned from four folds of five."""
+    remainder = fold(F.col("doc_id"), 5)
+    scored = language_model.score(table(spark, sf_dir, "documents"), remainder != 1)
+    return scored.select("doc_id", (remainder == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from the labels of three folds of four."""
+    docs, remainder = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4)
+    model = quality.train(docs, table(spark, sf_dir, "labels"), remainder != 2)
+    return quality.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", (remainder == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class and its numbers of links."""
     return jaccard.linked(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "links", "text_links")
@@ -77,7 +102,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABU
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_decontamination, op2_sharding, op3_mixing, op7_jaccard_join, op8_url_filters, op9_quality_rules, op10_token_counts,
+        op1_decontamination, op2_sharding, op3_mixing, op4_toxicity, op5_lm_scoring, op6_quality, op7_jaccard_join, op8_url_filters,
+        op9_quality_rules, op10_token_counts,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
