@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,6 +13,24 @@ from .. import rules
 from .udfs import fold_width, nfkc
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated, and planned, once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def or_else(value: Column, default: Column) -> Column:
+    """``value`` unless it is null or empty."""
+    return let(value, lambda v: F.when(F.coalesce(v, F.lit("")) == "", default).otherwise(v))
+
+
+def staged(value: Column, *steps: Callable[[Column], Column]) -> Column:
+    """The steps one after the other, each on the result of the one before; the plan grows by one step each."""
+    return reduce(let, steps, value)
+
+
+def settled(value: Column, step: Callable[[Column], Column], rounds: Column) -> Column:
+    """``step`` over and over; ``rounds`` is to be as many as can change anything."""
+    return F.aggregate(F.sequence(F.lit(1), rounds), value, lambda v, _: step(v))
 
 
 def blank_to_null(text: Column) -> Column:
@@ -32,11 +51,10 @@ def casefold(text: Column) -> Column:
     return F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), "ς", "σ")
 
 
-def title_key(text: Column, exact: bool = False) -> Column:
-    """Identity of a title: width folded, case folded, letters and digits only.
+def title_key(text: Column, exact: bool = True) -> Column:
+    """Identity of a title: compatibility folded, case folded, letters and digits only.
 
-    ``exact`` also folds the one-to-many compatibility forms; only rows that hold such
-    characters leave the JVM for it.
+    Not ``exact``: only one-to-one forms are folded, as where no function of rows can be called (lambdas).
     """
     folded = nfkc(text) if exact else fold_width(text)
     return F.regexp_replace(casefold(folded), r"[^\p{L}\p{N}]", "")
@@ -90,8 +108,7 @@ def cut_at_first(text: Column, patterns: list[str] | tuple[str, ...]) -> Column:
 
 
 def strip_trailing_date(text: Column) -> Column:
-    cut = strip_chars(F.regexp_replace(text, rules.TRAILING_DATE, ""), rules.EDGE)
-    return F.when(cut == "", text).otherwise(cut)
+    return let(text, lambda t: or_else(strip_chars(F.regexp_replace(t, rules.TRAILING_DATE, ""), rules.EDGE), t))
 
 
 # The nine digits and the tens sign of written numbers.
@@ -147,40 +164,34 @@ def collapse_blank_lines(text: Column) -> Column:
     return strip_chars(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"), r"\n")
 
 
-_PAIRS = (("(", ")"), ("（", "）"), ("[", "]"), ("【", "】"))
-
+_PAIRS = ((r"\(", r"\)"), ("（", "）"), (r"\[", r"\]"), ("【", "】"))
+#: Brackets at the head whose partner is nowhere behind them, and blanks and dashes after each.
+_LONE_BRACKETS = (
+    "(?s)^(?:(?:" + "|".join(f"{one}(?!.*{other})" for pair in _PAIRS for one, other in (pair, pair[::-1])) + ")[ _-]*)+"
+)
 
-def _trim_once(text: Column) -> Column:
-    out = text
-    for left, right in _PAIRS:
-        left_q, right_q = f"\\{left}", f"\\{right}"
-        if left not in "([":
-            left_q, right_q = left, right
-        no_right, no_left = F.instr(out, right) == 0, F.instr(out, left) == 0
-        out = F.when(
-            no_right & no_left, out
-        ).when(
-            no_right, F.regexp_replace(out, f"^{left_q}[ _-]*|[ _-]*{left_q}$", "")
-        ).when(
-            no_left, F.regexp_replace(out, f"^{right_q}[ _-]*|[ _-]*{right_q}$", "")
-        ).otherwise(out)
-    return out
 
+def trim_unbalanced(text: Column) -> Column:
+    """Strip all edge brackets without a partner; balanced ones stay.
 
-def trim_unbalanced(text: Column, rounds: int = 3) -> Column:
-    """Strip edge brackets without a partner; balanced ones stay."""
-    return reduce(lambda c, _: _trim_once(c), range(rounds), text)
+    A bracket that is stripped has no partner, so stripping never parts a pair and one pass from either end does.
+    """
+    head = F.regexp_replace(text, _LONE_BRACKETS, "")
+    return F.reverse(F.regexp_replace(F.reverse(head), _LONE_BRACKETS, ""))
 
 
 def cut_unclosed(text: Column) -> Column:
     """Drop the tail from the first opening bracket that never closes."""
-    out = text
-    for left, right in (("（", "）"), ("(", ")"), ("【", "】"), ("[", "]"), ("《", "》")):
-        at = F.instr(out, left)
-        tail = F.substring(out, at, F.length(out))
-        head = F.regexp_replace(F.substring(out, F.lit(1), at - 1), f"[{rules.EDGE}]+$", "")
-        out = F.when((at > 0) & (F.instr(tail, right) == 0), head).otherwise(out)
-    return out
+    def cut(left: str, right: str) -> Callable[[Column], Column]:
+        def one(out: Column) -> Column:
+            at = F.instr(out, left)
+            tail = F.substring(out, at, F.length(out))
+            head = F.regexp_replace(F.substring(out, F.lit(1), at - 1), f"[{rules.EDGE}]+$", "")
+            return F.when((at > 0) & (F.instr(tail, right) == 0), head).otherwise(out)
+
+        return one
+
+    return staged(text, *[cut(*pair) for pair in (("（", "）"), ("(", ")"), ("【", "】"), ("[", "]"), ("《", "》"))])
 
 
 def is_search_title(title: Column) -> Column:

@@ -43,7 +43,7 @@ def fold_width(text: Column) -> Column:
 
 
 def nfkc(text: Column) -> Column:
-    """Exact compatibility fold. Plain text stays in the JVM; only the rest reaches Python."""
+    """Exact compatibility fold. Text that needs no Python is sent there as a null."""
     plain = text.rlike(_PLAIN)
     return F.when(plain, fold_width(text)).otherwise(_nfkc(F.when(~plain, text)))
 

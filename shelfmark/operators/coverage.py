@@ -5,28 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import rules
 from ..functions.numeric import count_where
-from ..functions.text import episode_label, range_label, title_key
+from ..functions.text import episode_label, padded, range_label, title_key
 from .keyed import runs
 
-MAX_EPISODE = 999
-
-
-def owned_episodes(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct episodes from (keys, first, last) spans; spans are at most 999 long."""
-    ok = spans.filter(
-        F.col("first").between(1, MAX_EPISODE) & (F.col("last") >= F.col("first")) & (F.col("last") <= MAX_EPISODE)
-    )
-    return (
-        ok.select(*keys, "first", "last").distinct()
-        .select(*keys, F.explode(F.sequence("first", "last")).alias("episode")).distinct()
-    )
-
-
 def coverage(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """First, last and distinct episodes per key, and whether nothing is missing between."""
-    return owned_episodes(spans, keys).groupBy(*keys).agg(
-        F.min("episode").alias("first"), F.max("episode").alias("last"), F.count(F.lit(1)).alias("episodes")
+    """First, last and distinct episodes per key, and whether nothing is missing between.
+
+    From (keys, first, last) spans of any length: what a span adds is what it has beyond all spans that begin before
+    it, so no span is ever spread out.
+    """
+    before = Window.partitionBy(*keys).orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
+    seen = spans.filter(F.col("last") >= F.col("first")).select(*keys, "first", "last").distinct().withColumn("_reach", F.max("last").over(before))
+    added = F.greatest(F.lit(0), F.col("last") - F.greatest("first", F.coalesce(F.col("_reach") + 1, "first")) + 1)
+    return seen.groupBy(*keys).agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum(added).alias("episodes")
     ).withColumn("contiguous", F.col("last") - F.col("first") + 1 == F.col("episodes"))
 
 
@@ -47,44 +41,52 @@ def episode_labels(resources: DataFrame) -> DataFrame:
 
 
 def capped_labels(resources: DataFrame, keep: int = 6) -> DataFrame:
-    """First labels per work and their total; whole-season labels only without any episode."""
-    per = resources.groupBy("work_id").agg(F.bool_or(F.col("episode").isNotNull()).alias("_numbered"))
-    labelled = (
-        resources.select("work_id", F.col("episode").isNotNull().alias("_single"),
-                         episode_label(F.col("season"), F.col("season_end"), F.col("episode"), F.lit(None).cast("int")).alias("label"))
-        .filter(F.col("label").isNotNull()).distinct()
-        .join(per, "work_id").filter(F.col("_single") | ~F.col("_numbered"))
-    )
-    rank = F.row_number().over(Window.partitionBy("work_id").orderBy("label"))
-    totals = labelled.groupBy("work_id").agg(F.count(F.lit(1)).alias("labels"))
-    head = labelled.withColumn("_k", rank).filter(F.col("_k") <= keep).groupBy("work_id").agg(
-        F.array_join(F.array_sort(F.collect_list("label")), " ").alias("shown")
+    """The number of a work's labels and the line that shows them.
+
+    Single episodes and ranges (``episode`` to ``episode_end``, if that is later) are shown up to ``keep``, with the
+    total behind; all whole-season labels are shown, but only where no resource has an episode.
+    """
+    end = F.greatest("episode", "episode_end")
+    tail = F.when(end > F.col("episode"), F.concat(F.lit("-"), padded("E", end))).otherwise(F.lit(""))
+    label = F.when(
+        F.col("episode").isNotNull(), F.concat(padded("S", F.coalesce("season", F.lit(1))), padded("E", F.col("episode")), tail)
+    ).when(F.col("season").isNotNull(), F.concat(padded("S", F.col("season")), F.lit(rules.WHOLE_SEASON)))
+    each = resources.select("work_id", F.col("episode").isNotNull().alias("_single"), label.alias("_label")).distinct()
+    work = Window.partitionBy("work_id")
+    ranked = each.withColumns({
+        "_numbered": F.max("_single").over(work),
+        "_rank": F.row_number().over(Window.partitionBy("work_id", "_single").orderBy("_label")),
+        "_count": F.count("_label").over(Window.partitionBy("work_id", "_single")),
+    }).filter((F.col("_single") == F.col("_numbered")) & (~F.col("_single") | (F.col("_rank") <= keep)))
+    found = ranked.groupBy("work_id").agg(
+        F.max("_count").alias("labels"), F.max("_single").alias("_single"),
+        F.array_join(F.array_sort(F.collect_list("_label")), rules.LABEL_SEPARATOR).alias("_shown"),
     )
-    return totals.join(head, "work_id")
+    more = F.format_string(rules.LABEL_TOTAL, F.col("labels"))
+    shown = F.when(F.col("_single") & (F.col("labels") > keep), F.concat("_shown", more)).when(F.col("labels") == 0, rules.NO_LABEL).otherwise(F.col("_shown"))
+    return found.select("work_id", "labels", shown.alias("shown"))
 
 
 def season_grid(spans: DataFrame, packs: DataFrame, baseline: DataFrame) -> DataFrame:
     """Every episode 1..max(baseline, owned) of a season and how it is owned.
 
     ``spans`` (work_id, season, first, last), ``packs`` (work_id, season) whole-season
-    resources, ``baseline`` (work_id, season, episode_count).
+    resources, ``baseline`` (work_id, season, episode_count). A span that ends before it begins is its first
+    episode. A pack covers the baseline where one is known, else everything.
     """
     keys = ["work_id", "season"]
-    owned = spans.filter(F.col("first").isNotNull()).withColumn(
-        "_how", F.when(F.col("first") == F.col("last"), 1).otherwise(2)
-    ).select(*keys, "first", "last", "_how").distinct()
-    owned = owned.filter(F.col("first").between(1, MAX_EPISODE) & F.col("last").between(F.col("first"), F.lit(MAX_EPISODE)))
+    owned = spans.filter(F.col("first").isNotNull()).select(
+        *keys, "first", F.greatest("first", "last").alias("last"), F.when(F.col("last") > F.col("first"), 2).otherwise(1).alias("_how")
+    ).distinct()
     each = owned.select(*keys, F.explode(F.sequence("first", "last")).alias("episode"), "_how").groupBy(*keys, "episode").agg(F.min("_how").alias("_how"))
-    longest = each.groupBy(*keys).agg(F.max("episode").alias("_owned"))
+    longest = owned.groupBy(*keys).agg(F.max("last").alias("_owned"))
     pack = packs.select(*keys).distinct().withColumn("_pack", F.lit(True))
-    known = baseline.select(*keys, F.col("episode_count").cast("int").alias("_known"))
+    known = baseline.select(*keys, F.nullif(F.col("episode_count").cast("int"), F.lit(0)).alias("_known"))
     seasons = longest.join(known, keys, "full").join(pack, keys, "left")
     end = F.greatest(F.coalesce("_known", F.lit(0)), F.coalesce("_owned", F.lit(0)))
-    cells = seasons.filter(end > 0).select(*keys, "_pack", F.explode(F.sequence(F.lit(1), end)).alias("episode"))
-    state = (
-        F.when(F.col("_how") == 1, "single").when(F.col("_how") == 2, "range")
-        .when(F.col("_pack"), "pack").otherwise("missing")
-    )
+    cells = seasons.filter(end > 0).select(*keys, "_pack", "_known", F.explode(F.sequence(F.lit(1), end)).alias("episode"))
+    packed = F.col("_pack") & (F.col("_known").isNull() | (F.col("episode") <= F.col("_known")))
+    state = F.when(F.col("_how") == 1, "single").when(F.col("_how") == 2, "range").when(packed, "pack").otherwise("missing")
     return cells.join(each, [*keys, "episode"], "left").select(*keys, "episode", state.alias("state"))
 
 

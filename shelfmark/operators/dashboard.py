@@ -42,7 +42,7 @@ def message_status_counts(messages: DataFrame) -> DataFrame:
 
 
 def same_time_comparison(messages: DataFrame, as_of: str, tz: str) -> DataFrame:
-    """Today so far beside yesterday up to the same clock time; one scan, two rows."""
+    """Today so far beside yesterday up to the same clock time; one scan, two rows, zeros for a day without messages."""
     now = local_time(as_ntz(as_of), tz)
     wall = local_time(F.col("received_at"), tz)
     today, day = now.cast("date"), wall.cast("date")
@@ -58,7 +58,8 @@ def same_time_comparison(messages: DataFrame, as_of: str, tz: str) -> DataFrame:
         .groupBy("day_kind")
         .agg(*status_counts(F.col("status")))
     )
-    return with_derived_counts(counted)
+    days = messages.sparkSession.range(1).select(F.explode(F.array(F.lit("today"), F.lit("yesterday"))).alias("day_kind"))
+    return with_derived_counts(days.join(counted, "day_kind", "left").na.fill(0))
 
 
 def window_start(as_of: str, tz: str, days: int) -> Column:

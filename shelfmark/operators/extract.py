@@ -206,7 +206,7 @@ def labelled_fields(text: Column) -> Column:
 
     def entry(line):
         label = F.trim(F.regexp_extract(line, pattern, 1))
-        named = F.coalesce(F.try_element_at(known, label), F.concat(F.lit("label_"), title_key(label)))
+        named = F.coalesce(F.try_element_at(known, label), F.concat(F.lit("label_"), title_key(label, exact=False)))
         return F.struct(named.alias("key"), F.trim(F.regexp_extract(line, pattern, 2)).alias("value"))
 
     entries = F.filter(F.transform(lines_of(text), lambda x: entry(F.trim(x))), lambda e: e["value"] != "")
@@ -248,8 +248,11 @@ def usable_buttons(buttons: Column) -> Column:
     return F.filter(buttons, lambda b: b.rlike(rules.SHARE_LINK) | b.rlike(rules.HASH_LINK) | b.rlike(r"(?i)^https://\S+$"))
 
 
-def build_messages(exported: DataFrame, service: str) -> DataFrame:
-    """Exported posts as deliverable messages with stable event ids and button links appended."""
+def build_messages(exported: DataFrame, service: str, post_url: str) -> DataFrame:
+    """Exported posts as deliverable messages with stable event ids and button links appended.
+
+    ``post_url``: what a post's address begins with, before the channel's name.
+    """
     links = usable_buttons(F.coalesce(F.col("buttons"), F.array().cast("array<string>")))
     text = F.concat_ws("\n", blank_to_null(F.rtrim("text")), blank_to_null(F.array_join(links, "\n")))
     channel = F.coalesce("channel_id", "channel_username")
@@ -257,6 +260,6 @@ def build_messages(exported: DataFrame, service: str) -> DataFrame:
         F.concat_ws(":", F.lit(service), channel, F.col("message_id").cast("string"), F.lit("v1")).alias("event_id"),
         F.lit(service).alias("service"), channel.alias("channel_id"), "channel_name", "channel_username",
         F.col("message_id").cast("string").alias("message_id"),
-        F.when(F.col("channel_username").isNotNull(), F.concat(F.lit("https://example.com/"), "channel_username", F.lit("/"), F.col("message_id").cast("string"))).alias("message_url"),
+        F.when(F.col("channel_username").isNotNull(), F.concat(F.lit(post_url), "channel_username", F.lit("/"), F.col("message_id").cast("string"))).alias("message_url"),
         "published_at", text.alias("text"),
     )

@@ -2,34 +2,30 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.text import (
-    clean_person_name, cjk_number, cut_at_first, cut_unclosed, drop_icons, first_int, first_line, first_match, is_search_title, number_or_cjk,
-    strip_chars, strip_trailing_date,
+    clean_person_name, cjk_number, cut_at_first, cut_unclosed, drop_icons, first_int, first_line, first_match, is_search_title, let,
+    number_or_cjk, or_else, settled, staged, strip_chars, strip_trailing_date,
 )
 from .extract import labelled_fields
 
 MAX_TOTAL = 2000
 
 
-def or_else(value: Column, default: Column) -> Column:
-    """``value`` unless it is null or empty."""
-    return F.when(F.coalesce(value, F.lit("")) == "", default).otherwise(value)
-
-
 def drop_release_group(text: Column) -> Column:
     """Skip a leading release-group bracket; the next bracket, or the rest, is the title."""
-    body = F.ltrim(text)
-    group = F.regexp_extract(body, r"^[\[【]([^\]】]*)[\]】]", 1)
-    rest = F.ltrim(F.regexp_replace(body, r"^[\[【][^\]】]*[\]】]\s*", ""))
-    bracketed = F.trim(F.regexp_extract(rest, r"^[\[【]([^\]】]*)(?:[\]】]|$)", 1))
-    plain = F.trim(F.regexp_replace(rest, r"^[\[【 ]+", ""))
-    return F.when(group.rlike(rules.RELEASE_GROUP_WORDS) & (rest != ""), or_else(bracketed, plain)).otherwise(text)
+
+    def bare(body: Column) -> Column:
+        group = F.regexp_extract(body, r"^[\[【]([^\]】]*)[\]】]", 1)
+        rest = F.ltrim(F.regexp_replace(body, r"^[\[【][^\]】]*[\]】]\s*", ""))
+        named = F.trim(F.regexp_extract(rest, r"^[\[【]([^\]】]*)(?:[\]】]|$)", 1))
+        title = or_else(named, F.trim(F.regexp_replace(rest, r"^[\[【 ]+", "")))
+        return F.when(group.rlike(rules.RELEASE_GROUP_WORDS) & (rest != ""), title)
+
+    return let(text, lambda t: F.coalesce(let(F.ltrim(t), bare), t))
 
 
 def has_collection_marker(text: Column) -> Column:
@@ -107,13 +103,16 @@ def heading_title(h: Column, kind: Column) -> Column:
     )
     edge = rules.EDGE + rules.BRACKETS + "✨"
     unnamed = F.lit(rules.PLACEHOLDER_TITLE)
-    title = or_else(strip_chars(drop_release_group(cut), edge), unnamed)
-    title = or_else(strip_chars(first_line(title), edge), unnamed)
-    title = or_else(F.trim(F.regexp_replace(title, rules.CATEGORY_PREFIX, "")), unnamed)
-    title = or_else(strip_collection_marker(title), title)
-    title = or_else(F.trim(F.regexp_replace(title, "^《(.+)》$", "$1")), title)
-    title = or_else(F.trim(cut_unclosed(title)), title)
-    return F.when(kind == "person", or_else(clean_person_name(title), title)).otherwise(title)
+    title = staged(
+        cut,
+        lambda t: or_else(strip_chars(drop_release_group(t), edge), unnamed),
+        lambda t: or_else(strip_chars(first_line(t), edge), unnamed),
+        lambda t: or_else(F.trim(F.regexp_replace(t, rules.CATEGORY_PREFIX, "")), unnamed),
+        lambda t: or_else(strip_collection_marker(t), t),
+        lambda t: or_else(F.trim(F.regexp_replace(t, "^《(.+)》$", "$1")), t),
+        lambda t: or_else(F.trim(cut_unclosed(t)), t),
+    )
+    return let(title, lambda t: F.when(kind == "person", or_else(clean_person_name(t), t)).otherwise(t))
 
 
 def episode_info(df: DataFrame, h: str) -> DataFrame:
@@ -175,8 +174,8 @@ def episode_info(df: DataFrame, h: str) -> DataFrame:
     })
     # Last resort: a bare number range right behind the year.
     after = f"(?:{rules.BRACKETED_YEAR})"
-    plain = F.when(t.rlike(rules.BRACKETED_YEAR), F.regexp_extract(t, after + rules.BARE_SPAN, 2)).otherwise(F.regexp_extract(t, rules.YEAR + rules.BARE_SPAN, 2))
-    plain_end = F.when(t.rlike(rules.BRACKETED_YEAR), F.regexp_extract(t, after + rules.BARE_SPAN, 3)).otherwise(F.regexp_extract(t, rules.YEAR + rules.BARE_SPAN, 3))
+    plain = F.when(t.rlike(rules.BRACKETED_YEAR), F.regexp_extract(t, after + rules.BARE_SPAN, 2)).otherwise(F.regexp_extract(t, rules.FIRST_YEAR + rules.BARE_SPAN, 2))
+    plain_end = F.when(t.rlike(rules.BRACKETED_YEAR), F.regexp_extract(t, after + rules.BARE_SPAN, 3)).otherwise(F.regexp_extract(t, rules.FIRST_YEAR + rules.BARE_SPAN, 3))
     a, b = plain.try_cast("int"), plain_end.try_cast("int")
     bare = F.col("_episode").isNull() & F.col("_range").isNull() & F.col("_latest").isNull() & (a >= 1) & (b > a) & (b <= MAX_TOTAL)
     return df.withColumns({
@@ -193,7 +192,7 @@ def parse_headings(df: DataFrame, column: str) -> DataFrame:
     raw = F.regexp_replace(column, "^[﻿ \t]+", "")
     icon = F.regexp_extract(raw, rules.HEADING_ICON, 1)
     body = drop_icons(raw)
-    labelled = or_else(F.trim(F.regexp_replace(body, rules.LABEL_PREFIX, "")), body)
+    labelled = let(body, lambda b: or_else(F.trim(F.regexp_replace(b, rules.LABEL_PREFIX, "")), b))
     out = df.withColumns({
         "resource_kind": F.when(icon == "👤", "person").when(icon == "🗂", "series").otherwise("media"),
         "_h": strip_trailing_date(labelled),
@@ -226,19 +225,23 @@ def title_and_year(text: Column) -> tuple[Column, Column]:
     return or_else(F.regexp_replace(cut, f"[{rules.EDGE}]+$", ""), F.lit(rules.PLACEHOLDER_TITLE)), year
 
 
-def strip_search_noise(text: Column, episodic: Column, rounds: int = 3) -> Column:
-    """Base title without progress, episode and quality tails; null when nothing usable changes."""
+def strip_search_noise(text: Column, episodic: Column) -> Column:
+    """Base title without progress, episode and quality tails, however many; null when nothing usable changes."""
     edge = rules.EDGE + rules.BRACKETS
 
-    def once(value):
-        for pattern in rules.NOISE_TAILS:
-            value = or_else(strip_chars(F.regexp_replace(value, pattern, ""), edge), value)
-        return value
+    def without(pattern: str):
+        return lambda t: or_else(strip_chars(F.regexp_replace(t, pattern, ""), edge), t)
+
+    # a round that changes more than edges takes a digit or one of these words away
+    rounds = F.regexp_count(text, F.lit(rules.NOISE_PIECE)) + 2
+    base = settled(F.trim(text), lambda t: staged(t, *[without(p) for p in rules.NOISE_TAILS]), rounds)
+
+    def without_number(t: Column) -> Column:
+        number = first_int(t, r"\s*(\d{1,4})\s*$")
+        head = strip_chars(F.regexp_replace(t, r"\s*\d{1,4}\s*$", ""), edge)
+        return let(head, lambda h: F.when((F.length(h) >= 2) & number.isNotNull() & (episodic | (number >= 10)), h).otherwise(t))
 
-    base = reduce(lambda c, _: once(c), range(rounds), F.trim(text))
-    number = first_int(base, r"\s*(\d{1,4})\s*$")
-    head = strip_chars(F.regexp_replace(base, r"\s*\d{1,4}\s*$", ""), edge)
-    out = F.when((F.length(head) >= 2) & number.isNotNull() & (episodic | (number >= 10)), head).otherwise(base)
+    out = let(base, without_number)
     return F.when((out != F.trim(text)) & (F.length(out) >= 2) & is_search_title(out), out)
 
 

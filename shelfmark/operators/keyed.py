@@ -1,8 +1,8 @@
 """Keyed building blocks that hold up when one key owns a third of the rows.
 
 Latest-per-key and top-1 are aggregates (partial on the map side) rather than windows; top-k
-uses a rank filter, which Spark prunes to k rows per key before the shuffle; long lists are
-split into parts by hash.
+uses a rank filter, which Spark prunes to k rows per key before the shuffle; lists come in
+parts of one size.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LIST_PART = 100_000
+LIST_PART = 1_000
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column], columns: list[str]) -> DataFrame:
@@ -53,20 +53,14 @@ def distinct_values(df: DataFrame, keys: list[str], value: str, out: str) -> Dat
 
 
 def list_in_parts(df: DataFrame, key: str, value: str, out: str, part_size: int = LIST_PART) -> DataFrame:
-    """All values per key as sorted lists (``key``, ``part``, ``out``).
+    """All values per key as sorted lists (``key``, ``part``, ``out``) of ``part_size`` values, the last one shorter.
 
-    A key with more than ``part_size`` values yields several parts, so no task ever holds
-    more of one key than a part; nothing is dropped. Only oversized keys are joined back.
+    Keys of any number of values have the same form; no list is longer than a part and nothing is dropped.
     """
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > part_size)
-    parts = F.coalesce(
-        F.pmod(F.xxhash64(F.col(value)), F.ceil(F.col("_n") / part_size)).cast("int"), F.lit(0)
-    )
+    place = F.row_number().over(Window.partitionBy(key).orderBy(value)) - 1
     return (
-        df.join(sizes, key, "left")
-        .withColumn("part", parts)
-        .groupBy(key, "part")
-        .agg(F.sort_array(F.collect_list(value)).alias(out))
+        df.filter(F.col(value).isNotNull()).withColumn("part", F.floor(place / part_size).cast("int"))
+        .groupBy(key, "part").agg(F.sort_array(F.collect_list(value)).alias(out))
     )
 
 

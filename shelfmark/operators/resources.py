@@ -12,7 +12,7 @@ from ..functions import jsonx, urls
 from ..functions.numeric import count_where
 from ..functions.text import blank_to_null, extension, redact, stable_code, title_key
 from ..functions.times import year_prefix
-from .keyed import first_per_key, top_per_key
+from .keyed import top_per_key
 from .works import provider_id, recency_filter, tag_filter, value_group, year_filter
 
 UNNAMED = "未命名资源"
@@ -264,26 +264,34 @@ def overlay_edits(resources: DataFrame, edits: DataFrame) -> DataFrame:
 
 # --- groups -----------------------------------------------------------------------------------
 def _group_rows(keyed: DataFrame) -> DataFrame:
-    """Counts, providers, tags, newest times and size per ``group_key``.
+    """Counts, providers, tags, newest times and size per ``group_key``; of ``_member`` titles the first and last.
 
-    Tag and provider lists are built from rows already reduced to one per value.
+    The view is aggregated once, per group, provider and tag list; all else derives from those few rows.
     """
-    base = keyed.groupBy("group_key").agg(
-        F.count(F.lit(1)).alias("resource_count"),
-        *[count_where(F.col("availability") == a).alias(a) for a in ("available", "pending", "invalid")],
-        count_where(~F.coalesce(F.col("availability"), F.lit("")).isin("available", "pending", "invalid")).alias("unknown"),
-        F.max("updated_at").alias("updated_at"), F.max("created_at").alias("created_at"),
-        F.coalesce(F.sum("file_size"), F.lit(0)).alias("total_size"),
+    states = ("available", "pending", "invalid")
+    parts = keyed.groupBy("group_key", "provider_id", "tags").agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[count_where(F.col("availability") == a).alias(a) for a in states],
+        F.max("updated_at").alias("updated_at"), F.max("created_at").alias("created_at"), F.sum("file_size").alias("_size"),
+        F.min(F.struct("id", "work_title")).alias("_head"),
+        F.min("_member").alias("_first"), F.max("_member").alias("_last"), F.max("collection_title").alias("_collection"),
     )
-    providers = (
-        keyed.groupBy("group_key", "provider_id").agg(F.count(F.lit(1)).alias("n")).groupBy("group_key")
-        .agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "provider_id", F.col("n").cast("string")))), ",").alias("providers"))
+    providers = parts.groupBy("group_key", "provider_id").agg(
+        F.sum("_n").alias("_n"), *[F.sum(a).alias(a) for a in states], F.max("updated_at").alias("updated_at"), F.max("created_at").alias("created_at"),
+        F.sum("_size").alias("_size"), F.min("_head").alias("_head"),
+        F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.max("_collection").alias("_collection"),
     )
+    base = providers.groupBy("group_key").agg(
+        F.sum("_n").alias("resource_count"), *[F.sum(a).alias(a) for a in states],
+        F.max("updated_at").alias("updated_at"), F.max("created_at").alias("created_at"), F.coalesce(F.sum("_size"), F.lit(0)).alias("total_size"),
+        F.min("_head")["work_title"].alias("_title"), F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.max("_collection").alias("_collection"),
+        F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "provider_id", F.col("_n").cast("string")))), ",").alias("providers"),
+    ).withColumn("unknown", F.col("resource_count") - F.col("available") - F.col("pending") - F.col("invalid"))
     tags = (
-        keyed.select("group_key", F.explode(jsonx.string_array(F.col("tags"))).alias("tag")).distinct()
+        parts.select("group_key", "tags").distinct().select("group_key", F.explode(jsonx.string_array(F.col("tags"))).alias("tag")).distinct()
         .groupBy("group_key").agg(F.array_join(F.array_sort(F.collect_list(redact(F.col("tag")))), ",").alias("tags"))
     )
-    return base.join(providers, "group_key", "left").join(tags, "group_key", "left").withColumn("tags", F.coalesce("tags", F.lit("")))
+    return base.join(tags, "group_key", "left").withColumn("tags", F.coalesce("tags", F.lit("")))
 
 
 def person_groups(view: DataFrame) -> DataFrame:
@@ -292,8 +300,7 @@ def person_groups(view: DataFrame) -> DataFrame:
     keyed = view.filter(F.col("resource_group") == "person").withColumn(
         "group_key", F.when(key != "", key).otherwise(F.concat(F.lit("media-"), F.col("work_id").cast("string")))
     )
-    heads = first_per_key(keyed, ["group_key"], [F.col("id")], ["work_title"])
-    return _group_rows(keyed).join(heads.withColumnRenamed("work_title", "title"), "group_key")
+    return _group_rows(keyed.withColumn("_member", F.col("work_title"))).withColumnRenamed("_title", "title").drop("_first", "_last", "_collection")
 
 
 def collection_groups(view: DataFrame) -> DataFrame:
@@ -304,16 +311,10 @@ def collection_groups(view: DataFrame) -> DataFrame:
     )
     keyed = view.filter(F.col("resource_group") == "series").withColumn("group_key", key)
     member = F.nullif(F.trim(F.coalesce(blank_to_null(F.col("work_title")), display_title())), F.lit(""))
-    titles = keyed.groupBy("group_key").agg(
-        F.min(member).alias("_first"), F.max(member).alias("_last"), F.max("collection_title").alias("_collection")
-    )
-    named = titles.select(
-        "group_key",
-        redact(
-            F.when(F.col("_first") == F.col("_last"), F.col("_first")).otherwise(F.coalesce("_collection", "_first", F.lit("未命名合集")))
-        ).alias("title"),
+    title = redact(
+        F.when(F.col("_first") == F.col("_last"), F.col("_first")).otherwise(F.coalesce("_collection", "_first", F.lit("未命名合集")))
     )
-    return _group_rows(keyed).join(named, "group_key")
+    return _group_rows(keyed.withColumn("_member", member)).withColumn("title", title).drop("_title", "_first", "_last", "_collection")
 
 
 def deliveries(links: DataFrame, messages: DataFrame) -> DataFrame:

@@ -329,13 +329,16 @@ def with_resources(works: DataFrame, resources: DataFrame) -> DataFrame:
 
 
 def base_view(resources: DataFrame, works: DataFrame, collections: DataFrame) -> DataFrame:
-    """Resource with its work and, where there is one, its collection."""
+    """Resource with its work and, where there is one, its collection.
+
+    Works meet collections first: most have none, and that null key is then no key of the many resources.
+    """
     w = works.select(
         F.col("id").alias("work_id"), F.col("title").alias("work_title"), F.col("title_key").alias("work_title_key"),
         "status", "catalogue_id", "catalogue_title", "media_type", "resource_kind", "collection_id", "year", "release_date",
     )
     c = collections.select(F.col("id").alias("collection_id"), F.col("title").alias("collection_title"))
-    return resources.join(w, "work_id").join(c, "collection_id", "left")
+    return resources.join(w.join(c, "collection_id", "left"), "work_id")
 
 
 def has_resource(works: DataFrame, resources: DataFrame) -> DataFrame:

@@ -39,7 +39,8 @@ def message_status_counts(t: Tables):
     WHEN CAST(received_at + INTERVAL 8 HOUR AS DATE) = DATE '2024-01-30' THEN 'today'
     WHEN CAST(received_at + INTERVAL 8 HOUR AS DATE) = DATE '2024-01-29'
       AND received_at + INTERVAL 8 HOUR <= TIMESTAMP '2024-01-29 23:30:00' THEN 'yesterday' END AS day_kind FROM message),
-  c AS (SELECT day_kind, COUNT(*) AS received, {_COUNTS} FROM k WHERE day_kind IS NOT NULL GROUP BY 1)
+  d AS (SELECT unnest(['today', 'yesterday']) AS day_kind),
+  c AS (SELECT d.day_kind, COUNT(k.day_kind) AS received, {_COUNTS} FROM d LEFT JOIN k ON k.day_kind = d.day_kind GROUP BY 1)
   SELECT *, {_DERIVED} FROM c""")
 def same_time_comparison(t: Tables):
     return dashboard.same_time_comparison(t.message, AS_OF, TZ)

@@ -170,24 +170,27 @@ def episode_labels(t: Tables):
     return coverage.episode_labels(r).select("id", "episode_label")
 
 
-@query("A-26", sql="""WITH n AS (SELECT work_id, bool_or(episode IS NOT NULL) AS numbered FROM resource GROUP BY 1),
-  l AS (SELECT DISTINCT r.work_id, CASE WHEN episode IS NOT NULL THEN 'S' || lpad(CAST(coalesce(season, 1) AS VARCHAR), 2, '0') || 'E' || lpad(CAST(episode AS VARCHAR), 2, '0')
-      WHEN season_end > season THEN 'S' || lpad(CAST(season AS VARCHAR), 2, '0') || '-S' || lpad(CAST(season_end AS VARCHAR), 2, '0')
-      WHEN season IS NOT NULL THEN 'S' || lpad(CAST(season AS VARCHAR), 2, '0') END AS label FROM resource r JOIN n USING (work_id) WHERE episode IS NOT NULL OR NOT numbered),
-  k AS (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY label) AS k FROM l WHERE label IS NOT NULL)
-  SELECT work_id, COUNT(*) AS labels, string_agg(label, ' ' ORDER BY label) FILTER (WHERE k <= 6) AS shown FROM k GROUP BY 1""")
+@query("A-26", sql="""WITH r AS (SELECT work_id, episode IS NOT NULL AS single, CASE WHEN episode IS NOT NULL THEN 'S' || lpad(CAST(coalesce(season, 1) AS VARCHAR), 2, '0') || 'E' || lpad(CAST(episode AS VARCHAR), 2, '0')
+      || (CASE WHEN quality = '2160p' THEN '-E' || lpad(CAST(episode + 2 AS VARCHAR), 2, '0') ELSE '' END)
+      WHEN season IS NOT NULL THEN 'S' || lpad(CAST(season AS VARCHAR), 2, '0') || ' 整季' END AS label FROM resource),
+  w AS (SELECT work_id, bool_or(single) AS numbered FROM r GROUP BY 1),
+  l AS (SELECT DISTINCT r.work_id, numbered, label FROM r JOIN w USING (work_id) WHERE single = numbered),
+  k AS (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY label) AS k FROM l WHERE label IS NOT NULL),
+  c AS (SELECT work_id, any_value(numbered) AS numbered, COUNT(*) AS n, string_agg(label, '、' ORDER BY label) FILTER (WHERE NOT numbered OR k <= 6) AS shown FROM k GROUP BY 1)
+  SELECT w.work_id, coalesce(n, 0) AS labels, CASE WHEN c.work_id IS NULL THEN '未提取' WHEN c.numbered AND n > 6 THEN shown || ' 等 ' || n || ' 个' ELSE shown END AS shown
+  FROM w LEFT JOIN c USING (work_id)""")
 def capped_labels(t: Tables):
-    return coverage.capped_labels(t.resource)
+    return coverage.capped_labels(t.resource.withColumn("episode_end", F.when(F.col("quality") == "2160p", F.col("episode") + 2)))
 
 
 @query("R-26", sql=f"""WITH {_SPANS}, o AS (SELECT work_id, season, episode, min(how) AS how FROM e GROUP BY ALL),
   b AS (SELECT id AS work_id, CAST(1 AS INT) AS season, CAST(id % 6 + 1 AS INT) AS known FROM work WHERE media_type = 'tv'),
   p AS (SELECT DISTINCT work_id, season FROM resource WHERE episode IS NULL AND season IS NOT NULL),
   m AS (SELECT work_id, season, max(episode) AS owned FROM o GROUP BY ALL),
-  x AS (SELECT coalesce(m.work_id, b.work_id) AS work_id, coalesce(m.season, b.season) AS season, greatest(coalesce(owned, 0), coalesce(known, 0)) AS n
+  x AS (SELECT coalesce(m.work_id, b.work_id) AS work_id, coalesce(m.season, b.season) AS season, known, greatest(coalesce(owned, 0), coalesce(known, 0)) AS n
     FROM m FULL JOIN b ON b.work_id = m.work_id AND b.season = m.season),
-  c AS (SELECT work_id, season, CAST(unnest(generate_series(1, n)) AS INT) AS episode FROM x WHERE n > 0)
-  SELECT c.*, CASE WHEN how = 1 THEN 'single' WHEN how = 2 THEN 'range' WHEN p.work_id IS NOT NULL THEN 'pack' ELSE 'missing' END AS state
+  c AS (SELECT work_id, season, known, CAST(unnest(generate_series(1, n)) AS INT) AS episode FROM x WHERE n > 0)
+  SELECT c.work_id, c.season, c.episode, CASE WHEN how = 1 THEN 'single' WHEN how = 2 THEN 'range' WHEN p.work_id IS NOT NULL AND (known IS NULL OR c.episode <= known) THEN 'pack' ELSE 'missing' END AS state
   FROM c LEFT JOIN o USING (work_id, season, episode) LEFT JOIN p ON p.work_id = c.work_id AND p.season = c.season""")
 def season_grid(t: Tables):
     packs = t.resource.filter(F.col("episode").isNull() & F.col("season").isNotNull())
@@ -197,11 +200,10 @@ def season_grid(t: Tables):
     return coverage.season_grid(_spans(t), packs, baseline)
 
 
-@query("A-22", sql="""WITH n AS (SELECT p_brand || ' ' || p_type AS folder, replace(split_part(p_name, ' ', 2), ' ', '') AS name_key, COUNT(*) AS n, min(split_part(p_name, ' ', 2)) AS name FROM part GROUP BY 1, 2),
-  t AS (SELECT *, SUM(n) OVER (PARTITION BY folder) AS total FROM n) SELECT folder, name_key, n, name, CAST(total AS BIGINT) AS total FROM t WHERE n >= 2 AND n >= total * 0.3""")
+@query("A-22", sql="""WITH n AS (SELECT o_custkey AS folder, lower(regexp_replace(o_orderpriority, '[^a-zA-Z0-9]', '', 'g')) AS name_key, COUNT(*) AS n, min(o_orderpriority) AS name FROM orders GROUP BY 1, 2),
+  t AS (SELECT *, SUM(n) OVER (PARTITION BY folder) AS total FROM n) SELECT folder, name_key, n, name, CAST(total AS BIGINT) AS total FROM t WHERE n >= 2 AND n >= total * 0.5""")
 def dominant_names(t: Tables):
-    folders = t.part.withColumn("folder", F.concat_ws(" ", "p_brand", "p_type"))
-    return coverage.dominant_names(folders, "folder", F.split_part("p_name", F.lit(" "), F.lit(2)), 2, 0.3)
+    return coverage.dominant_names(t.orders.withColumnRenamed("o_custkey", "folder"), "folder", F.col("o_orderpriority"))
 
 
 @query("A-20", sql="""SELECT status || '/' || media_type AS label, COUNT(*) AS n, any_value(x) AS examples FROM work JOIN (

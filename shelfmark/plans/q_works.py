@@ -164,7 +164,8 @@ def same_resource_conjunction(t: Tables):
     return works.child_summary(t.resource, hit).filter(F.col("matched_source_count") > 0)
 
 
-@query("A-10", sql="""SELECT work_id, CAST(0 AS INT) AS part, string_agg(id, ',' ORDER BY id) AS ids FROM resource GROUP BY 1""")
+@query("A-10", sql="""SELECT work_id, part, string_agg(id, ',' ORDER BY id) AS ids FROM (
+  SELECT work_id, id, CAST((row_number() OVER (PARTITION BY work_id ORDER BY id) - 1) // 1000 AS INT) AS part FROM resource) GROUP BY ALL""")
 def id_lists(t: Tables):
     return keyed.list_in_parts(t.resource, "work_id", "id", "ids").withColumn("ids", F.array_join("ids", ","))
 

@@ -19,6 +19,12 @@ LINK_STATUSES = ("inserted", "duplicate", "invalid", "pending_validation", "erro
 SOURCE_TYPES = ("115", "123", "guangya", "ed2k")
 PLACEHOLDER_TITLE = "未命名"
 
+# --- fixed values: label line -----------------------------------------------------------------
+WHOLE_SEASON = " 整季"
+LABEL_SEPARATOR = "、"
+LABEL_TOTAL = " 等 %d 个"
+NO_LABEL = "未提取"
+
 # --- fixed values: facet aliases --------------------------------------------------------------
 QUALITY_GROUPS = {
     "2160P": ("2160P", "4K", "UHD"),
@@ -118,6 +124,7 @@ LABELS = {
 
 # --- fixed values: years, seasons, episodes ---------------------------------------------------
 YEAR = r"(?<!\d)((?:19|20)\d{2})(?![\dpP])"
+FIRST_YEAR = r"^(?s:(?!(?<!\d)(?:19|20)\d{2}(?![\dpP])).)*(?<!\d)((?:19|20)\d{2})(?![\dpP])"
 BRACKETED_YEAR = r"[(\[（【]\s*((?:19|20)\d{2})\s*[)\]）】]"
 TRAILING_DATE = r"[(\[（【]\s*(?:19|20)\d{2}\s*[-/.]\s*\d{1,2}\s*[-/.]\s*\d{1,2}\s*[)\]）】]\s*$"
 EPISODE = r"(?iU)\bS(\d{1,2})\s*E(\d{1,3})\b"
@@ -260,6 +267,9 @@ NOISE_TAILS = (
     r"蓝光原盘|蓝光|原盘))+$",
 )
 
+# What any of these takes away at least one of.
+NOISE_PIECE = r"(?i)\d|高码率|臻彩|杜比|hdr|dovi|高帧率|蓝光|原盘"
+
 # --- fixed values: collection markers ---------------------------------------------------------
 _COUNT = r"[一二三四五六七八九十百两\d]+"
 _EDGE_AHEAD = (

@@ -7,10 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: A side is only hinted for broadcast below this many bytes (see ``small_enough``).
-BROADCAST_BYTES = 64 << 20
-
-
 def local_session(app: str = "shelfmark", cores: str = "8", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and benches; clusters bring their own."""
     return (
@@ -52,12 +48,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def small_enough(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """True when Catalyst's own size estimate of ``df`` is below ``limit``.
-
-    Unknown sizes are estimated as huge, so an unproven side is never hinted.
-    """
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString()) <= limit
