@@ -1,18 +1,20 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
 A word is the bag of its character n-grams, so misspellings that were never seen share most of their
-vectors with words that were. A window of some words averages its words' vectors; both the
-vectors and the softmax over them are trained together. A text is as toxic as its most toxic window.
+vectors with words that were. A window of eight words averages their vectors, one that is shorter counts as filled up
+with zeros, and a word that repeats at once counts once; both the vectors and the softmax over their averages are trained
+together. A text is as toxic as its most toxic window.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,19 +25,49 @@ GRAMS = (3, 4, 5)
 WINDOW = 8
 DIMENSIONS = 8
 #: Windows, at most, that are fitted: those with the lowest hashes.
-TRAIN_WINDOWS = 300_000
+TRAIN_WINDOWS = 200_000
 #: Buckets seen in fewer training windows than this stay at zero: they would learn single windows by heart.
 LEAST_SEEN = 12
-EPOCHS, BATCH, RATE, DECAY = 4, 512, 0.15, 1e-4
+EPOCHS, BATCH, RATE, DECAY = 6, 1024, 0.15, 1e-4
+#: Words whose values a task remembers; beyond it starts anew.
+REMEMBERED = 500_000
 
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’„…–—¡¿"
 
 
-def subwords(word: str) -> np.ndarray:
-    """Buckets of a word's character n-grams and of the word as a whole, edges marked, in lower case."""
-    core = f"<{word.lower().strip(_EDGES)}>"
-    grams = {core} | {core[i : i + n] for n in GRAMS for i in range(len(core) - n + 1)}
-    return np.array([xxhash.xxh32_intdigest(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in sorted(grams)], np.int64)
+_K = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h ^ (h >> np.uint64(29))) % np.uint64(BUCKETS)).astype(np.int32)
+
+
+def subwords(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets of all words' subwords, number of them for each word).
+
+    A word's subwords are its character n-grams and it as a whole, in lower case, without marks around
+    it, its edges marked. All words are hashed together, as one array of code points.
+    """
+    cores = [f"<{w.lower().strip(_EDGES)}>" for w in words]
+    points = np.frombuffer("".join(cores).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    sizes = np.array([len(c) for c in cores], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(cores)), sizes)
+    left = sizes[owner] - (np.arange(len(points)) - starts[owner])  # characters up to the word's end
+    powers = np.cumprod(np.full(int(sizes.max(initial=1)), _K))
+    whole = np.add.reduceat(points * powers[sizes[owner] - left], starts) if len(cores) else points
+    owners, hashes = [np.arange(len(cores))], [_bucket(whole * _K + np.uint64(1))]
+    for n in GRAMS:
+        at = np.flatnonzero(left >= n)
+        h = np.full(len(at), n, np.uint64)
+        for k in range(n):
+            h = h * _K + points[at + k]
+        owners.append(owner[at])
+        hashes.append(_bucket(h))
+    owners = np.concatenate(owners)
+    order = np.argsort(owners, kind="stable")
+    return np.concatenate(hashes)[order], np.bincount(owners, minlength=len(cores))
 
 
 @dataclass
@@ -48,94 +80,108 @@ class Model:
     shift: float
 
 
-class _WordValues(dict):
-    def __init__(self, value: np.ndarray):
-        super().__init__()
-        self.value = value
+class _Scorer:
+    """The log-odds of texts' most toxic windows."""
+
+    def __init__(self, value: np.ndarray, bias: float):
+        self.value, self.bias, self.known = value, bias, {}
+
+    def _learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), 50_000):
+            part = words[at : at + 50_000]
+            flat, counts = subwords(part)
+            values = np.add.reduceat(self.value[flat].astype(np.float64), np.cumsum(counts) - counts) / counts
+            self.known.update(zip(part, values.tolist()))
 
-    def __missing__(self, word: str) -> float:
-        if len(self) >= 500_000:
-            self.clear()
-        self[word] = x = float(self.value[subwords(word)].mean())
-        return x
+    def hardest(self, texts: Iterable[str | None]) -> np.ndarray:
+        """One number for each text; a text without words has one empty window."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        split = [(t or "").split() for t in texts]
+        new = sorted(set().union(*split) - self.known.keys())
+        if new:
+            self._learn(new)
+        out = np.full(len(split), self.bias)
+        for n, words in enumerate(split):
+            if words:
+                each = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
+                each = each[np.append(True, each[1:] != each[:-1])]
+                out[n] += (np.add.reduceat(each, np.arange(0, len(each), WINDOW)) / WINDOW).max()
+        return out
 
 
-def hardest(texts: Iterator[str | None], values: dict, bias: float) -> np.ndarray:
-    """The log-odds of each text's most toxic window; a text without words has an empty one."""
-    out = []
-    for text in texts:
-        split = (text or "").split()
-        if not split:
-            out.append(bias)
-            continue
-        each = np.fromiter(map(values.__getitem__, split), np.float64, len(split))
-        at = np.arange(0, len(each), WINDOW)
-        sizes = np.diff(np.append(at, len(each)))
-        out.append(float((np.add.reduceat(each, at) / sizes).max()) + bias)
-    return np.array(out)
+def _measured(batches: Iterator[pa.RecordBatch], place: int, scorer: _Scorer) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1024):
+            batch = whole.slice(at, 1024)
+            yield batch, scorer.hardest(t.as_py() for t in batch.column(place))
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         labels, windows = [], []
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            split = text.as_py().split()
+            split = [w for w, _ in groupby(text.as_py().split())]
             cut = [" ".join(split[i : i + WINDOW]) for i in range(0, len(split), WINDOW)]
             windows += cut
             labels += [label] * len(cut)
         yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(windows, pa.string())], names=["label", "words"])
 
 
-def fit(windows: list[list[str]], labels: np.ndarray, seed: int = 11) -> tuple[np.ndarray, float]:
-    """(value of each bucket, bias), from windows and their texts' labels.
+def fit(windows: Iterable[str], labels: np.ndarray, seed: int = 11) -> tuple[np.ndarray, float]:
+    """(value of each bucket, bias), from windows (words parted by blanks) and their texts' labels.
 
     Vectors and softmax are trained jointly with AdaGrad steps over batches of windows.
     """
     vocabulary: dict[str, int] = {}
-    ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int64) for words in windows]
-    bags = [subwords(w) for w in vocabulary]
-    sizes = np.array([len(b) for b in bags])
-    ends = np.cumsum(sizes)
-    flat = np.concatenate(bags)
-    seen = np.zeros(BUCKETS, np.int64)
-    for words in ids:
-        seen[np.unique(np.concatenate([bags[w] for w in words]))] += 1
-    learned = seen >= LEAST_SEEN
+    flat_words, counts = array("i"), array("i")
+    for words in windows:
+        split = words.split()
+        flat_words.extend(vocabulary.setdefault(w, len(vocabulary)) for w in split)
+        counts.append(len(split))
+    words, counts = np.frombuffer(flat_words, np.int32), np.frombuffer(counts, np.int32)
+    first_word = np.cumsum(counts) - counts
+    flat, sizes = subwords(list(vocabulary))
+    del vocabulary
+    first_gram = np.cumsum(sizes) - sizes
+    learned = np.bincount(flat, np.bincount(words, minlength=len(sizes))[np.repeat(np.arange(len(sizes)), sizes)], BUCKETS) >= LEAST_SEEN
+
+    def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """All places of runs that begin at ``starts``, one run after the other."""
+        return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
 
     draw = np.random.default_rng(seed)
-    vectors = draw.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)) * learned[:, None]
-    out, bias = draw.normal(0, 0.1, (DIMENSIONS, 2)), np.zeros(2)
+    vectors = (draw.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)) * learned[:, None]).astype(np.float32)
+    out, bias = draw.normal(0, 0.1, (DIMENSIONS, 2)).astype(np.float32), np.zeros(2, np.float32)
     g_vectors, g_out, g_bias = np.full(BUCKETS, 1e-6), 1e-6, 1e-6
     balance = len(labels) / (2 * np.maximum(1, np.bincount(labels, minlength=2)))
     for _ in range(EPOCHS):
-        order = draw.permutation(len(ids))
+        order = draw.permutation(len(counts))
         for at in range(0, len(order), BATCH):
             batch = order[at : at + BATCH]
-            counts = np.array([len(ids[i]) for i in batch])
-            words = np.concatenate([ids[i] for i in batch])
-            owner = np.repeat(np.arange(len(batch)), counts)
-            n = sizes[words]
-            first = np.cumsum(n) - n
-            slots = flat[np.repeat(ends[words] - n - first, n) + np.arange(n.sum())]
-            weight = np.repeat(1 / (n * counts[owner]), n)
-            window_of = np.repeat(owner, n)
-            starts = np.cumsum(np.bincount(window_of, minlength=len(batch))) - np.bincount(window_of, minlength=len(batch))
-            hidden = np.add.reduceat(vectors[slots] * weight[:, None], starts)
+            n = counts[batch]
+            own, inverse = np.unique(words[runs(first_word[batch], n)], return_inverse=True)
+            grams, share = flat[runs(first_gram[own], sizes[own])], sizes[own]
+            word_starts, starts = np.cumsum(share) - share, np.cumsum(n) - n
+            word = np.add.reduceat(vectors[grams], word_starts) / share[:, None]
+            hidden = np.add.reduceat(word[inverse], starts) / WINDOW
             scores = hidden @ out + bias
             p = np.exp(scores - scores.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             y = labels[batch]
             p[np.arange(len(batch)), y] -= 1
             p *= (balance[y] / len(batch))[:, None]
-            d_out, d_bias, d_hidden = hidden.T @ p + DECAY * out, p.sum(0), p @ out.T
-            touched, where = np.unique(slots, return_inverse=True)
-            step = d_hidden[window_of] * weight[:, None]
-            d_vectors = np.stack([np.bincount(where, step[:, k], len(touched)) for k in range(DIMENSIONS)], 1)
-            d_vectors = (d_vectors + DECAY / len(order) * vectors[touched]) * learned[touched, None]
-            g_vectors[touched] += (d_vectors**2).mean(1)
+            d_out, d_bias = hidden.T @ p + DECAY * out, p.sum(0)
+            each = np.repeat((p @ out.T) / WINDOW, n, axis=0)
+            d_word = np.stack([np.bincount(inverse, each[:, k], len(own)) for k in range(DIMENSIONS)], 1) / share[:, None]
+            spread = np.repeat(d_word, share, axis=0)
+            d_vectors = np.stack([np.bincount(grams, spread[:, k], BUCKETS) for k in range(DIMENSIONS)], 1)
+            touched = np.flatnonzero(learned & (d_vectors != 0).any(1))
+            d = d_vectors[touched] + DECAY / len(order) * vectors[touched]
+            g_vectors[touched] += (d**2).mean(1)
             g_out += (d_out**2).mean()
             g_bias += (d_bias**2).mean()
-            vectors[touched] -= RATE * d_vectors / np.sqrt(g_vectors[touched])[:, None]
+            vectors[touched] -= RATE * d / np.sqrt(g_vectors[touched])[:, None]
             out -= RATE * d_out / np.sqrt(g_out)
             bias -= RATE * d_bias / np.sqrt(g_bias)
     return (vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0])
@@ -153,15 +199,13 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
     marks = rows["label"].to_numpy(np.int64)
     if len(np.unique(marks)) < 2:
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, 0.0)
-    value, bias = fit([w.split() for w in rows["words"]], marks)
+    value, bias = fit(rows.pop("words"), marks)
     del rows
     context = docs.sparkSession.sparkContext
     sent = context.broadcast(value)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values = _WordValues(sent.value)
-        for batch in batches:
-            z = hardest((t.as_py() for t in batch.column(1)), values, bias)
+        for batch, z in _measured(batches, 1, _Scorer(sent.value, bias)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z)], names=["label", "z"])
 
     measured = sample.mapInArrow(measure, "label int, z double").toPandas().sort_values(["z", "label"])
@@ -181,9 +225,7 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        values = _WordValues(m.value)
-        for batch in batches:
-            z = hardest((t.as_py() for t in batch.column(place)), values, m.bias)
+        for batch, z in _measured(batches, place, _Scorer(m.value, m.bias)):
             scores = pa.array(sigmoid(m.slope * z + m.shift))
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, column])
 
