@@ -160,7 +160,7 @@ def episode_label(season: Column, season_end: Column, episode: Column, episode_e
 
 def collapse_blank_lines(text: Column) -> Column:
     """Trim every line, keep at most one blank line in a row, none at the ends."""
-    lines = F.transform(F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n"), F.trim)
+    lines = F.transform(F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n"), lambda x: F.trim(x))
     return strip_chars(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"), r"\n")
 
 

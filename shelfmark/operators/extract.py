@@ -66,7 +66,7 @@ def _below(positions: Column, limit: Column) -> Column:
 
 def _block(lines: Column, start: Column, stop: Column) -> Column:
     """Non-empty trimmed lines from ``start`` up to before ``stop`` (0-based)."""
-    part = F.filter(F.transform(F.slice(lines, start + 1, stop - start), F.trim), lambda x: x != "")
+    part = F.filter(F.transform(F.slice(lines, start + 1, stop - start), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(start.isNotNull(), F.array_join(part, "\n"))
 
 

@@ -98,6 +98,16 @@ ROLES: dict[str, tuple[str, dict[str, str]]] = {
         "exact": "l_linestatus = 'F'",
         "year_missing": "l_returnflag = 'N'",
     }),
+    # delivered posts: a heading line, a metadata line, a link line, a line with its access code
+    "post": ("orders", {
+        "id": "o_orderkey",
+        "text": "concat(case when o_orderstatus = 'O' then '🎥 ' else '📺 ' end, 'Work ', cast(o_custkey as string), ' (', cast(year(o_orderdate) as string), ') ', "
+        "case when o_orderstatus = 'O' then '电影 2160p HEVC DV' else concat('S0', cast(1 + o_custkey % 3 as string), 'E', cast(10 + o_custkey % 9 as string), ' 1080p x264') end, chr(10), "
+        "'🌟 评分：', cast(o_custkey % 10 as string), chr(10), "
+        "case o_custkey % 3 when 0 then '链接：' when 1 then 'Own label ' else '🔗 ' end, "
+        "case when o_custkey % 2 = 0 then concat('https://115.com/s/sw', cast(o_custkey as string), '?password=ab', cast(10 + o_custkey % 90 as string), '#') "
+        "else concat('https://www.123865.com/s/k', cast(o_orderkey as string)) end, chr(10), '提取码：x', cast(100 + o_custkey % 900 as string))",
+    }),
     "collection": ("part", {
         "id": "p_partkey",
         "title": "p_name",
