@@ -106,4 +106,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_quality_rules, op10_token_counts,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+_WORD = r"[^\x20\x09-\x0D]+"
+_PHRASE = " OR ".join(f"contains(lower(line), '{p}')" for p in line_rules.BOILERPLATE)
+
+ORACLE_SQL: dict[str, str] = {
+    "op9_quality_rules": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '{_WORD}') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls FROM d),
+g AS (SELECT r, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS g FROM w WHERE len(ws) >= 3),
+p AS (SELECT r, i FROM (SELECT r, i, COUNT(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
+c AS (SELECT r, COUNT(*) AS n FROM (SELECT DISTINCT r, i + unnest([0, 1, 2]) AS k FROM p) GROUP BY 1),
+l AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM w),
+m AS (SELECT r, line, length(regexp_replace(line, '[ 	
+]', '', 'g')) AS solid, length(regexp_replace(line, '[\p{{L}}\p{{M}}\p{{N}}\s]+', '', 'g')) AS marks,
+  length(line) - length(translate(line, '|»›•', '')) AS bars, len(regexp_extract_all(line, '{_WORD}')) AS n FROM l),
+f AS (SELECT r, SUM(n) AS lost FROM m WHERE solid > 0 AND (marks > 0.2 * solid OR bars > 2 OR {_PHRASE}
+  OR (n < 4 AND NOT regexp_matches(line, '[.!?:;…。"'')\]]\s*$'))) GROUP BY 1),
+b AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[ 	
+]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, coalesce(f.lost, 0) AS lost FROM w LEFT JOIN c USING (r) LEFT JOIN f USING (r)),
+k AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost <= 0.5 * n_words AS kept FROM k""",
+}
