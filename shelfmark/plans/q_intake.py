@@ -104,8 +104,7 @@ def link_identities(t: Tables):
 def streamed_deliveries(t: Tables):
     schema = t.events.schema
     path = f"{t.sf_dir}/events.parquet"
-    once = streams.first_deliveries(streams.read_stream(t.spark, path, schema), ["event_id"], "ts")
-    rows = streams.run_once(once, name="deliveries")
+    rows = streams.store_first_deliveries(streams.read_stream(t.spark, path, schema), ["event_id"])
     return rows.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("deliveries"))
 
 

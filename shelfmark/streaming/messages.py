@@ -24,7 +24,10 @@ def read_stream(spark: SparkSession, path: str, schema: StructType, files: int =
 
 
 def first_deliveries(messages: DataFrame, keys: list[str], at: str = "received_at") -> DataFrame:
-    """The first delivery of each key that the stream brings within the watermark."""
+    """The first delivery of each key within the watermark, from bounded state; what comes later still is dropped.
+
+    ``store_first_deliveries`` keeps all, however late.
+    """
     timed = messages.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", WATERMARK)
     return timed.dropDuplicatesWithinWatermark(keys).drop("_at")
 
@@ -36,6 +39,27 @@ def live_daily_counts(messages: DataFrame, tz: str) -> DataFrame:
     return counted.withColumn("day", F.col("window.start").cast("date")).drop("window")
 
 
+def store_first_deliveries(stream: DataFrame, keys: list[str], name: str = "deliveries") -> DataFrame:
+    """All that is there now, each key once, however late it comes again.
+
+    Each micro-batch leaves out what earlier ones have stored and writes its own folder by its number; one that is run again
+    does not see its first run and replaces it.
+    """
+    spark = stream.sparkSession
+    base = f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    stored = stream.schema
+
+    def write(batch: DataFrame, number: int) -> None:
+        new = batch.dropDuplicates(keys)
+        if number:
+            earlier = [f"{base}/rows/batch={k}" for k in range(number)]
+            new = new.join(batch.sparkSession.read.schema(stored).parquet(*earlier).select(*keys), keys, "left_anti").select(*batch.columns)
+        new.write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
+
+    stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stored).parquet(f"{base}/rows").select(*stream.columns)
+
+
 def run_once(stream: DataFrame, keys: list[str] | None = None, name: str = "stream") -> DataFrame:
     """All that is there now, run as micro-batches into the shared folder; with ``keys`` the latest row of each.
 
