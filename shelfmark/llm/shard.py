@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import one_per_copy, uniform
 
 #: Slots are numbered within this many cells at most, over all shards.
@@ -48,7 +49,7 @@ def number_slots(df: DataFrame, shard: str, n_shards: int, slot: str = "slot") -
     columns = df.columns
     cells = max(1, CELLS // n_shards)
     counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-    counted = counted.withColumn("_cell", F.pmod(F.xxhash64(*columns), F.lit(cells)).cast("int"))
+    counted = cut_lineage(counted.withColumn("_cell", F.pmod(F.xxhash64(*columns), F.lit(cells)).cast("int")))
     ahead = W.partitionBy(shard).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
     starts = (
         counted.groupBy(shard, "_cell").agg(F.sum("_n").alias("_n"))
