@@ -13,10 +13,10 @@ MAX_ROUNDS = 60
 def _towards_least(pairs: DataFrame) -> DataFrame:
     """``pairs`` (node, near) and ``least`` of what is near the node and the node itself.
 
-    The least is aggregated before it is joined back; a node with very many neighbours is split by
-    the join like any skewed key.
+    The least is aggregated, and written, before it is joined back: the join then reads two plain shuffles, and splits
+    a node with very many neighbours like any skewed key.
     """
-    least = pairs.groupBy("node").agg(F.min("near").alias("_least"))
+    least = cut_lineage(pairs.groupBy("node").agg(F.min("near").alias("_least")))
     return pairs.join(least, "node").withColumn("least", F.least("_least", "node")).drop("_least")
 
 
