@@ -11,6 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 FEATURES = 1 << 12
 GRAM = 3
 #: No more labelled URLs than this are fitted, those with the lowest hashes.
@@ -61,9 +63,11 @@ def grams(host: Column, path: Column, n: int = GRAM) -> Column:
     """
 
     def of(part: Column, mark: str) -> Column:
-        chars = F.split(F.concat(F.lit("^"), F.regexp_replace(part, "[0-9]", "0"), F.lit("$")), "")
-        starts = F.when(F.size(chars) >= n, F.sequence(F.lit(1), F.size(chars) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.concat(F.lit(mark), *[F.element_at(chars, i + k) for k in range(n)]))
+        def cut(chars: Column) -> Column:
+            starts = F.when(F.size(chars) >= n, F.sequence(F.lit(1), F.size(chars) - n + 1)).otherwise(F.array().cast("array<int>"))
+            return F.transform(starts, lambda i: F.concat(F.lit(mark), *[F.element_at(chars, i + k) for k in range(n)]))
+
+        return let(F.split(F.concat(F.lit("^"), F.regexp_replace(part, "[0-9]", "0"), F.lit("$")), ""), cut)
 
     return F.array_distinct(F.concat(of(host, "h"), of(path, "p")))
 
