@@ -270,6 +270,22 @@ NOISE_TAILS = (
 # What any of these takes away at least one of.
 NOISE_PIECE = r"(?i)\d|高码率|臻彩|杜比|hdr|dovi|高帧率|蓝光|原盘"
 
+# --- fixed values: title variants -------------------------------------------------------------
+EDITION_SUFFIX = (
+    r"(?i)(?:\s*[（(【\[]?\s*(?:director'?s?\s+cut|directors\s+cut|theatrical(?:\s+(?:cut|version))?|"
+    r"extended(?:\s+(?:edition|cut))?|unrated|remastered|international(?:\s+(?:version|cut))?|"
+    r"movie|完整版|导演剪辑版|加长版|未删减版|无删减版|修复版|重制版|国际版|杜比(?:版)?)"
+    r"\s*[）)】\]]?)$"
+)
+CJK_LATIN_BOUNDARY = r"(?<=[\u3400-\u9fff])\s+(?=[A-Za-z])"
+CJK, KANA_OR_HANGUL = r"[\u3400-\u9fff]", r"[\u3040-\u30ff\u1100-\u11ff\u3130-\u318f\uac00-\ud7af]"
+
+# --- fixed values: link outcomes --------------------------------------------------------------
+TERMINAL_CODES = (4100008, 4100009, 4100010, 4100012)
+TERMINAL_MESSAGE = r"(?i)密码|提取码|分享不存在|不存在|已取消|失效|过期|无效|HTTP 404"
+STRONG_RISK = r"(?i)风控|频繁|验证码|访问限制|访问被阻断|captcha|too many|rate.?limit"
+WEAK_RISK = r"(?i)验证"
+
 # --- fixed values: collection markers ---------------------------------------------------------
 _COUNT = r"[一二三四五六七八九十百两\d]+"
 _EDGE_AHEAD = (
