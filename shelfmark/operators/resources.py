@@ -180,6 +180,14 @@ def availability_from_snapshot(status: Column, code: Column) -> Column:
     )
 
 
+def technical_summary(resources: DataFrame) -> DataFrame:
+    """Size, media information (masked) and quality tags of each resource, from its metadata; broken metadata has neither."""
+    return resources.withColumns({
+        "total_size": F.col("file_size"), "media_info": redact(F.get_json_object("metadata", "$.media_info")),
+        "quality_tags": jsonx.string_array(F.get_json_object("metadata", "$.quality_tags")),
+    })
+
+
 def file_role(filename: Column) -> Column:
     """primary, artwork, extra, audio, sidecar or none for a missing name."""
     ext = extension(filename)

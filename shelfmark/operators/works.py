@@ -299,8 +299,10 @@ def page_totals(df: DataFrame, size: int) -> DataFrame:
 
 
 def list_works(works: DataFrame, resources: DataFrame, candidates: DataFrame, f: WorkFilter) -> DataFrame:
-    """One page of works with candidate counts and the best candidate of each."""
-    page = page_of(select_works(works, resources, f), SORTS[f.sort](), f.page, f.size)
+    """One page of works with candidate counts and the best candidate of each; beyond the last page it is the last."""
+    selected = select_works(works, resources, f)
+    last = page_totals(selected, f.size).first()["pages"] if f.page > 1 else 1
+    page = page_of(selected, SORTS[f.sort](), min(f.page, last), f.size)
     return with_candidates(page, candidates)
 
 

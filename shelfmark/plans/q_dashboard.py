@@ -25,7 +25,7 @@ t AS (SELECT d.day, coalesce(received, 0) AS received, coalesce(imported, 0) AS
   coalesce(queued, 0) AS queued FROM d LEFT JOIN c ON c.day = d.day)"""
 
 
-@query("A-07", "A-05", "F-13", "ST-08", sql=f"WITH {_TREND} SELECT *, {_DERIVED} FROM t")
+@query("A-07", "A-05", "F-13", sql=f"WITH {_TREND} SELECT *, {_DERIVED} FROM t")
 def daily_trend(t: Tables):
     return dashboard.daily_trend(t.message, AS_OF, TZ, 30)
 

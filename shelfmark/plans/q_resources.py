@@ -37,7 +37,7 @@ def resource_summary(t: Tables):
     return resources.group_summary(_view(t))
 
 
-@query("P-04", "T-02", "P-16", sql=f"""WITH {_VIEW} SELECT id, year, resource_group FROM g WHERE recognition_status = 'matched' AND availability = 'available' AND year = 1997
+@query("P-04", "T-02", sql=f"""WITH {_VIEW} SELECT id, year, resource_group FROM g WHERE recognition_status = 'matched' AND availability = 'available' AND year = 1997
   AND upper(trim(quality)) IN ('2160P', '4K', 'UHD') AND tags LIKE '[%"beta"%' ORDER BY lower(raw_label), id DESC LIMIT 50""")
 def resource_facet_page(t: Tables):
     f = resources.ResourceFilter(recognition="matched", availability="available", year="1997", quality="2160P", tag="beta", sort="title_asc")
@@ -53,7 +53,7 @@ def resource_orders(t: Tables):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("P-11", "P-16", sql=f"""WITH {_VIEW} SELECT id, {_TITLE} AS title, resource_group, regexp_replace(url, 'password=[^&#]*', 'password=****') AS url_masked,
+@query("P-11", sql=f"""WITH {_VIEW} SELECT id, {_TITLE} AS title, resource_group, regexp_replace(url, 'password=[^&#]*', 'password=****') AS url_masked,
     '****' AS access_code_masked, file_size AS total_size,
     CASE WHEN tags LIKE '[%' THEN replace(replace(replace(replace(tags, '["', ''), '"]', ''), '", "', ','), '","', ',') ELSE '' END AS tags FROM g""")
 def presented_resources(t: Tables):
@@ -67,12 +67,28 @@ def redacted_texts(t: Tables):
     return t.documents.select("doc_id", redact(F.col("text")).alias("masked"))
 
 
-@query("P-13", sql="""SELECT p_partkey, CASE WHEN regexp_matches(p_name, '(?i)(^|[^a-z0-9])(flac|ape|wav|dsd|dsf|mp3|m4a|hi-?res|alac)([^a-z0-9]|$)') THEN 'music'
-  WHEN p_type IN ('LARGE', 'SMALL') THEN 'media' ELSE 'other' END AS resource_class FROM (SELECT p_partkey, p_type, CASE WHEN p_size % 10 = 0 THEN p_name || ' hi-res' ELSE p_name END AS p_name FROM part)""")
+@query("P-13", sql="""SELECT p_partkey, CASE p_partkey % 10 WHEN 0 THEN 'person' WHEN 1 THEN 'collection' WHEN 2 THEN 'nsfw' WHEN 3 THEN 'nsfw' WHEN 4 THEN 'music' WHEN 5 THEN 'music' WHEN 6 THEN 'music'
+  WHEN 7 THEN CASE WHEN p_type IN ('LARGE', 'SMALL') THEN 'media' ELSE 'other' END WHEN 8 THEN 'collection' ELSE CASE WHEN p_type IN ('LARGE', 'SMALL') THEN 'media' ELSE 'other' END END AS resource_class FROM part""")
 def inferred_classes(t: Tables):
-    p = t.part.withColumn("title", F.when(F.col("p_size") % 10 == 0, F.concat("p_name", F.lit(" hi-res"))).otherwise(F.col("p_name")))
+    k, n = F.col("p_partkey") % 10, F.col("p_name")
+    title = (
+        F.when(k == 2, F.concat(F.lit("abp-123 "), n)).when(k == 5, F.concat(n, F.lit(" 演唱会"))).when(k.isin(6, 7), F.concat(n, F.lit(" hi-res"))).when(k == 8, F.concat(n, F.lit(" 资源包"))).otherwise(n)
+    )
+    file = F.when(k == 3, F.concat(F.lit("ABP-123."), n)).when(k == 4, F.concat(n, F.lit(".flac"))).when(k == 7, F.concat(n, F.lit(".mkv")))
     kind = F.when(F.col("p_type") == "LARGE", "movie").when(F.col("p_type") == "SMALL", "tv").otherwise("unknown")
-    return p.select("p_partkey", resources.infer_class(F.lit("media"), F.col("title"), kind, F.lit(None).cast("string")).alias("resource_class"))
+    declared = F.when(k == 0, "person").when(k == 1, "series").otherwise("media")
+    return t.part.select("p_partkey", resources.infer_class(declared, title, kind, file).alias("resource_class"))
+
+
+@query("P-16", sql="""SELECT id, file_size AS total_size, CASE WHEN work_id % 3 > 0 THEN 'token=**** ' || coalesce(quality, '') END AS media_info, CASE WHEN work_id % 3 = 1 THEN coalesce(codec, '') || ',' || coalesce(hdr, '') ELSE '' END AS quality_tags FROM resource""")
+def technical_summaries(t: Tables):
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    k = F.col("work_id") % 3
+    metadata = F.when(k == 1, F.to_json(F.struct(F.concat(F.lit("token=abc "), blank("quality")).alias("media_info"), F.array(blank("codec"), blank("hdr")).alias("quality_tags")))).when(
+        k == 2, F.to_json(F.struct(F.concat(F.lit("token=xyz "), blank("quality")).alias("media_info"), F.lit("none").alias("quality_tags")))
+    ).otherwise("[broken")
+    out = resources.technical_summary(t.resource.withColumn("metadata", metadata))
+    return out.select("id", "total_size", "media_info", F.array_join("quality_tags", ",").alias("quality_tags"))
 
 
 @query("P-14", sql="""SELECT p_partkey AS id, CASE WHEN p_size <= 40 AND p_size % 3 = 0 THEN 'music' ELSE 'media' END AS resource_class,
@@ -161,7 +177,7 @@ def episode_run_labels(t: Tables):
     return coverage.run_labels(t.resource, ["work_id"], "episode", "E", True, "episodes")
 
 
-@query("F-07", "X-05", sql="""SELECT id, CASE WHEN episode IS NOT NULL THEN 'S' || lpad(CAST(coalesce(season, 1) AS VARCHAR), 2, '0') || 'E' || lpad(CAST(episode AS VARCHAR), 2, '0') ||
+@query("F-07", sql="""SELECT id, CASE WHEN episode IS NOT NULL THEN 'S' || lpad(CAST(coalesce(season, 1) AS VARCHAR), 2, '0') || 'E' || lpad(CAST(episode AS VARCHAR), 2, '0') ||
     (CASE WHEN quality = '2160p' THEN '-E' || lpad(CAST(episode + 2 AS VARCHAR), 2, '0') ELSE '' END)
   WHEN season_end > season THEN 'S' || lpad(CAST(season AS VARCHAR), 2, '0') || '-S' || lpad(CAST(season_end AS VARCHAR), 2, '0')
   WHEN season IS NOT NULL THEN 'S' || lpad(CAST(season AS VARCHAR), 2, '0') END AS episode_label FROM resource""")

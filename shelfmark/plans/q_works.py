@@ -217,6 +217,16 @@ def third_page(t: Tables):
     return works.list_works(t.work, t.resource, t.candidate, f).select(*_PAGE)
 
 
+_EARLY = f"""SELECT id FROM work WHERE NOT is_metadata AND resource_kind <> 'series' AND media_type = 'tv' AND {_YEAR} < 2007 AND (SELECT COUNT(*) FROM resource r WHERE r.work_id = work.id) > 1"""
+
+
+@query("T-03", sql=f"""WITH e AS (SELECT work.id, row_number() OVER (ORDER BY title_key, year DESC NULLS LAST, work.id DESC) AS k, COUNT(*) OVER () AS n FROM work JOIN ({_EARLY}) x ON x.id = work.id)
+  SELECT id FROM e WHERE k > (greatest(1, CAST(ceil(n / 30.0) AS BIGINT)) - 1) * 30""")
+def page_beyond_the_last(t: Tables):
+    f = WorkFilter(media_type="tv", year="earlier", multi_source_only=True, sort="title_asc", page=100_000)
+    return works.list_works(t.work, t.resource, t.candidate, f).select("id")
+
+
 @query("T-03", "W-01", sql=f"""SELECT COUNT(*) AS total, CAST(greatest(1, ceil(COUNT(*) / 30.0)) AS BIGINT) AS pages FROM work
   WHERE NOT is_metadata AND resource_kind <> 'series' AND media_type = 'tv' AND {_YEAR} < 2007
     AND (SELECT COUNT(*) FROM resource r WHERE r.work_id = work.id) > 1""")
