@@ -18,17 +18,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+from .common import n_words, uniform
 from .labelled import calibrated, sigmoid, training_documents
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
 WINDOW = 8
 DIMENSIONS = 8
-#: Windows, at most, that are fitted: those with the lowest hashes.
-TRAIN_WINDOWS = 200_000
+#: Windows, about, that are fitted at most: a part of all that the sample has, by hash.
+TRAIN_WINDOWS = 150_000
 #: Buckets seen in fewer training windows than this stay at zero: they would learn single windows by heart.
 LEAST_SEEN = 12
-EPOCHS, BATCH, RATE, DECAY = 6, 1024, 0.15, 1e-4
+STEPS, BATCH, RATE, DECAY = 1_000, 1024, 0.15, 1e-4
 #: Words whose values a task remembers; beyond it starts anew.
 REMEMBERED = 500_000
 
@@ -119,13 +121,14 @@ def _measured(batches: Iterator[pa.RecordBatch], place: int, scorer: _Scorer) ->
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        labels, windows = [], []
-        for label, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        rows = []
+        for doc_id, label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             split = [w for w, _ in groupby(text.as_py().split())]
-            cut = [" ".join(split[i : i + WINDOW]) for i in range(0, len(split), WINDOW)]
-            windows += cut
-            labels += [label] * len(cut)
-        yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(windows, pa.string())], names=["label", "words"])
+            rows += [(doc_id, label, at, " ".join(split[at : at + WINDOW])) for at in range(0, len(split), WINDOW)]
+        if rows:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.string()))], names=["doc_id", "label", "at", "words"]
+            )
 
 
 def fit(windows: Iterable[str], labels: np.ndarray, seed: int = 11) -> tuple[np.ndarray, float]:
@@ -141,10 +144,14 @@ def fit(windows: Iterable[str], labels: np.ndarray, seed: int = 11) -> tuple[np.
         counts.append(len(split))
     words, counts = np.frombuffer(flat_words, np.int32), np.frombuffer(counts, np.int32)
     first_word = np.cumsum(counts) - counts
-    flat, sizes = subwords(list(vocabulary))
+    times, seen, known, parts = np.bincount(words, minlength=len(vocabulary)), np.zeros(BUCKETS), list(vocabulary), []
     del vocabulary
-    first_gram = np.cumsum(sizes) - sizes
-    learned = np.bincount(flat, np.bincount(words, minlength=len(sizes))[np.repeat(np.arange(len(sizes)), sizes)], BUCKETS) >= LEAST_SEEN
+    for at in range(0, len(known), 20_000):
+        grams, n = subwords(known[at : at + 20_000])
+        seen += np.bincount(grams, np.repeat(times[at : at + len(n)], n), BUCKETS)
+        parts.append((grams, n))
+    flat, sizes = np.concatenate([g for g, _ in parts]), np.concatenate([n for _, n in parts])
+    first_gram, learned = np.cumsum(sizes) - sizes, seen >= LEAST_SEEN
 
     def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """All places of runs that begin at ``starts``, one run after the other."""
@@ -155,9 +162,11 @@ def fit(windows: Iterable[str], labels: np.ndarray, seed: int = 11) -> tuple[np.
     out, bias = draw.normal(0, 0.1, (DIMENSIONS, 2)).astype(np.float32), np.zeros(2, np.float32)
     g_vectors, g_out, g_bias = np.full(BUCKETS, 1e-6), 1e-6, 1e-6
     balance = len(labels) / (2 * np.maximum(1, np.bincount(labels, minlength=2)))
-    for _ in range(EPOCHS):
+    step = 0
+    while step < STEPS:
         order = draw.permutation(len(counts))
         for at in range(0, len(order), BATCH):
+            step += 1
             batch = order[at : at + BATCH]
             n = counts[batch]
             own, inverse = np.unique(words[runs(first_word[batch], n)], return_inverse=True)
@@ -193,9 +202,11 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
     Fits on a sample that is bounded by parameters: documents of each label, and windows of them. Without
     texts of both labels all scores are 0.5 or, with one label only, near it.
     """
-    sample = training_documents(docs, labels, label, learn).select("label", "text")
-    cut = sample.mapInArrow(_windows, "label int, words string")
-    rows = cut.orderBy(F.xxhash64("words", "label"), "words", "label").limit(train_windows).toPandas()
+    sample = cut_lineage(training_documents(docs, labels, label, learn))
+    total = sample.agg(F.sum(F.ceil(n_words(F.col("text")) / WINDOW))).first()[0] or 0
+    cut = sample.mapInArrow(_windows, "doc_id long, label int, at int, words string")
+    rows = cut.filter(uniform(F.col("doc_id"), F.col("at")) * F.lit(float(max(1, total))) < train_windows).toPandas()
+    rows = rows.sort_values(["doc_id", "at", "words", "label"])
     marks = rows["label"].to_numpy(np.int64)
     if len(np.unique(marks)) < 2:
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, 0.0)
@@ -205,8 +216,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
     sent = context.broadcast(value)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, z in _measured(batches, 1, _Scorer(sent.value, bias)):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z)], names=["label", "z"])
+        for batch, z in _measured(batches, 2, _Scorer(sent.value, bias)):
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(z)], names=["label", "z"])
 
     measured = sample.mapInArrow(measure, "label int, z double").toPandas().sort_values(["z", "label"])
     slope, shift = calibrated(measured["z"].to_numpy(), measured["label"].to_numpy())
