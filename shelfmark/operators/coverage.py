@@ -40,6 +40,36 @@ def episode_labels(resources: DataFrame) -> DataFrame:
     )
 
 
+def owner_labels(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, labels): what the rows of each key are of, in one line.
+
+    ``rows``: season, season_end, episode, episode_end. Episode ranges, single episodes, season ranges and runs of whole seasons, each sorted;
+    a whole season that a range covers, or of which there are episodes, has no label. Rows are distinct before any list is made.
+    """
+    d = rows.select(*keys, "season", "season_end", "episode", "episode_end").distinct()
+    numbered = d.filter(F.col("season").isNotNull() & F.col("episode").isNotNull())
+    ranged = F.col("episode_end") > F.col("episode")
+    each = padded("S", F.col("season")), padded("E", F.col("episode"))
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("int")
+    label = lambda rank, a, b, c, text: F.struct(F.lit(rank).alias("rank"), number(a).alias("a"), number(b).alias("b"), number(c).alias("c"), text.alias("text"))
+    s, e, none = F.col("season"), F.col("episode"), F.lit(0)
+    episodes = numbered.select(
+        *keys, F.when(ranged, label(0, s, e, F.col("episode_end"), F.concat(*each, F.lit("-"), padded("E", F.col("episode_end"))))).otherwise(label(1, s, e, none, F.concat(*each))).alias("_l")
+    )
+    plain = lambda c: F.concat(F.lit("S"), c.cast("string"))
+    spans = d.filter(F.col("season_end") > s).select(*keys, s.alias("_a"), F.col("season_end").alias("_b")).distinct()
+    seasons = spans.select(*keys, label(2, F.col("_a"), F.col("_b"), none, F.concat(plain(F.col("_a")), F.lit("-"), plain(F.col("_b")))).alias("_l"))
+    covered = spans.select(*keys, F.explode(F.sequence("_a", "_b")).alias("season")).unionByName(numbered.select(*keys, "season")).distinct()
+    whole = d.filter(s.isNotNull() & e.isNull()).select(*keys, "season").distinct()
+    conditions = [*[whole[k].eqNullSafe(covered[k]) for k in keys], whole.season == covered.season]
+    alone = runs(whole.join(covered, conditions, "left_anti"), keys, "season")
+    islands = alone.select(
+        *keys, label(3, F.col("first"), none, none, F.when(F.col("first") == F.col("last"), plain(F.col("first"))).otherwise(F.concat(plain(F.col("first")), F.lit("-"), plain(F.col("last"))))).alias("_l")
+    )
+    every = episodes.unionByName(seasons).unionByName(islands).distinct()
+    return every.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("_l")), lambda x: x["text"]), " · ").alias("labels"))
+
+
 def capped_labels(resources: DataFrame, keep: int = 6) -> DataFrame:
     """The number of a work's labels and the line that shows them.
 

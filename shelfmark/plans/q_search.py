@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric, urls
 from ..functions.text import collapse_blank_lines, like_literal, name_key, title_key, trim_unbalanced
 from ..functions.udfs import json_leaves
-from ..operators import extract, headings, search
+from ..operators import coverage, extract, headings, search
 from .bindings import Tables
 from .registry import query
 
@@ -179,3 +179,31 @@ def explicit_ids(t: Tables):
         F.lit("?a=1 {tmdb-"), (n + 200000).cast("string"), F.lit("}"),
     )
     return extract.explicit_ids(t.part.withColumn("text", text), ["p_partkey"], "text").select("p_partkey", "catalogue_id", "media_type")
+
+
+_OWNED = """o AS (SELECT l.message_id, coalesce(l.work_id, r.work_id) AS work_id, r.season, r.season_end, r.episode, CASE WHEN r.quality = '2160p' THEN r.episode + 2 END AS episode_end
+    FROM link l LEFT JOIN (SELECT DISTINCT source_key, work_id, season, season_end, episode, quality FROM resource) r USING (source_key)),
+  d AS (SELECT DISTINCT * FROM o WHERE work_id IS NOT NULL), n AS (SELECT * FROM d WHERE season IS NOT NULL AND episode IS NOT NULL),
+  p AS (SELECT DISTINCT message_id, work_id, season AS a, season_end AS b FROM d WHERE season_end > season),
+  c AS (SELECT message_id, work_id, unnest(generate_series(a, b)) AS season FROM p UNION SELECT message_id, work_id, season FROM n),
+  w AS (SELECT DISTINCT message_id, work_id, season FROM d WHERE season IS NOT NULL AND episode IS NULL AND NOT EXISTS (SELECT 1 FROM c WHERE c.message_id = d.message_id AND c.work_id = d.work_id AND c.season = d.season)),
+  i AS (SELECT message_id, work_id, min(season) AS a, max(season) AS b FROM (SELECT *, season - row_number() OVER (PARTITION BY message_id, work_id ORDER BY season) AS g FROM w) GROUP BY message_id, work_id, g),
+  t AS (SELECT message_id, work_id, CASE WHEN episode_end > episode THEN 0 ELSE 1 END AS k, season AS x, episode AS y, coalesce(episode_end, 0) AS z,
+      'S' || lpad(CAST(season AS VARCHAR), 2, '0') || 'E' || lpad(CAST(episode AS VARCHAR), 2, '0') || CASE WHEN episode_end > episode THEN '-E' || lpad(CAST(episode_end AS VARCHAR), 2, '0') ELSE '' END AS label FROM n
+    UNION SELECT message_id, work_id, 2, a, b, 0, 'S' || a || '-S' || b FROM p UNION SELECT message_id, work_id, 3, a, 0, 0, CASE WHEN a = b THEN 'S' || a ELSE 'S' || a || '-S' || b END FROM i),
+  g AS (SELECT message_id, work_id, string_agg(label, ' · ' ORDER BY k, x, y, z) AS labels FROM t GROUP BY ALL), q AS (SELECT DISTINCT message_id, work_id FROM d)"""
+
+
+@query("X-05", "J-09", sql=f"""WITH {_OWNED} SELECT q.message_id, q.work_id, coalesce(catalogue_title, title) || coalesce('（' || year || '）', '') || coalesce(' · ' || labels, '') AS display
+  FROM q JOIN work ON work.id = q.work_id LEFT JOIN g ON g.message_id = q.message_id AND g.work_id = q.work_id""")
+def message_works(t: Tables):
+    r = t.resource.select(
+        "source_key", F.col("work_id").alias("_owner"), "season", "season_end", "episode", F.when(F.col("quality") == "2160p", F.col("episode") + 2).alias("episode_end")
+    ).distinct()
+    owned = t.link.select("source_key", "message_id", "work_id").join(r, "source_key", "left").withColumn("work_id", F.coalesce("work_id", "_owner")).filter(F.col("work_id").isNotNull())
+    labels = coverage.owner_labels(owned, ["message_id", "work_id"])
+    title = F.concat(
+        F.coalesce("catalogue_title", "title"), F.coalesce(F.concat(F.lit("（"), F.col("year").cast("string"), F.lit("）")), F.lit("")), F.coalesce(F.concat(F.lit(" · "), "labels"), F.lit(""))
+    )
+    pairs = owned.select("message_id", "work_id").distinct().join(labels, ["message_id", "work_id"], "left")
+    return pairs.join(t.work.select(F.col("id").alias("work_id"), "catalogue_title", "title", "year"), "work_id").select("message_id", "work_id", title.alias("display"))
