@@ -42,8 +42,9 @@ CATEGORY_GENRES = {"anime": (16,), "documentary": (99,), "variety": (10764, 1076
 NOT_DRAMA_GENRES = (16, 99, 10764, 10767)
 EARLIER_THAN = 2007
 WESTERN_COUNTRIES = (
-    "US GB FR DE IT ES CA AU NZ IE NL SE NO DK FI BE AT CH PL CZ HU GR PT RU RO UA IS MX BR AR CL CO"
-).split()
+    "US", "GB", "FR", "DE", "IT", "ES", "CA", "AU", "NZ", "IE", "NL", "SE", "NO", "DK", "FI", "BE", "AT", "CH", "PL",
+    "CZ", "HU", "GR", "PT", "RU", "RO", "UA", "IS", "MX", "BR", "AR", "CL", "CO",
+)
 WESTERN_NAMES = ("europeandamerica", "western", "欧美", "eu_us")
 
 # --- fixed values: providers ------------------------------------------------------------------
@@ -70,14 +71,22 @@ SECRET_KEYS = ACCESS_KEYS + ("token", "access_token")
 
 # --- fixed values: file names -----------------------------------------------------------------
 AUDIO_EXTENSIONS = (
-    "mp3 flac wav ape aac m4a dsf dff wv alac ogg opus aiff aif dts tta wma mka mid midi"
-).split()
+    "mp3", "flac", "wav", "ape", "aac", "m4a", "dsf", "dff", "wv", "alac", "ogg", "opus", "aiff", "aif", "dts",
+    "tta", "wma", "mka", "mid", "midi",
+)
 VIDEO_EXTENSIONS = (
-    "mkv mp4 ts m2ts avi mov rmvb wmv m4v mpg mpeg vob iso flv webm mk3d rm 3gp"
-).split()
-IMAGE_EXTENSIONS = "jpg jpeg png webp gif bmp tif tiff avif heic".split()
-PRIMARY_VIDEO = "mkv mp4 m4v mov avi wmv webm ts m2ts iso rm rmvb".split()
-PRIMARY_AUDIO = "mp3 flac m4a ape wav aac ogg opus wma dsf dff alac aiff".split()
+    "mkv", "mp4", "ts", "m2ts", "avi", "mov", "rmvb", "wmv", "m4v", "mpg", "mpeg", "vob", "iso", "flv", "webm",
+    "mk3d", "rm", "3gp",
+)
+IMAGE_EXTENSIONS = (
+    "jpg", "jpeg", "png", "webp", "gif", "bmp", "tif", "tiff", "avif", "heic",
+)
+PRIMARY_VIDEO = (
+    "mkv", "mp4", "m4v", "mov", "avi", "wmv", "webm", "ts", "m2ts", "iso", "rm", "rmvb",
+)
+PRIMARY_AUDIO = (
+    "mp3", "flac", "m4a", "ape", "wav", "aac", "ogg", "opus", "wma", "dsf", "dff", "alac", "aiff",
+)
 ARTWORK_STEM = (
     r"(?i)^(?:(?:season|s)\d{1,2}[-_.])?(?:poster|fanart|folder|backdrop|banner|clearlogo|clearart|"
     r"discart|disc|landscape|thumb|logo|cover|show|movie|tvshow)(?:[-_.]?\d+)?$"
@@ -179,44 +188,42 @@ HDR_TAGS = (
     ("HDR", r"(?iU)(?<!\w)HDR(?!\w)"),
     ("SDR", r"(?iU)(?<!\w)SDR(?!\w)"),
 )
-# Word edge of the tags below: no ASCII letter or digit on either side.
-_L, _R = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
 TECHNICAL_TAGS = (
-    ("8K", f"(?i){_L}8K{_R}"),
-    ("2160p", f"(?i){_L}2160[pi]{_R}"),
-    ("4K", f"(?i){_L}4K{_R}"),
-    ("1080p", f"(?i){_L}1080[pi]{_R}"),
-    ("720p", f"(?i){_L}720p{_R}"),
-    ("576p", f"(?i){_L}576[pi]{_R}"),
-    ("480p", f"(?i){_L}480[pi]{_R}"),
-    ("UHD", f"(?i){_L}(?:UHD|Ultra[ ._-]?HD){_R}"),
-    ("超高清", r"臻享超高清|超高清"),
-    ("高清", r"(?<!超)高清"),
-    ("蓝光", r"蓝光|Blu[ ._-]?ray"),
-    ("原盘", r"原盘|BDRemux|BDMV"),
-    ("REMUX", f"(?i){_L}REMUX{_R}"),
+    ("8K", "(?i)(?<![A-Za-z0-9])8K(?![A-Za-z0-9])"),
+    ("2160p", "(?i)(?<![A-Za-z0-9])2160[pi](?![A-Za-z0-9])"),
+    ("4K", "(?i)(?<![A-Za-z0-9])4K(?![A-Za-z0-9])"),
+    ("1080p", "(?i)(?<![A-Za-z0-9])1080[pi](?![A-Za-z0-9])"),
+    ("720p", "(?i)(?<![A-Za-z0-9])720p(?![A-Za-z0-9])"),
+    ("576p", "(?i)(?<![A-Za-z0-9])576[pi](?![A-Za-z0-9])"),
+    ("480p", "(?i)(?<![A-Za-z0-9])480[pi](?![A-Za-z0-9])"),
+    ("UHD", "(?i)(?<![A-Za-z0-9])(?:UHD|Ultra[ ._-]?HD)(?![A-Za-z0-9])"),
+    ("超高清", "臻享超高清|超高清"),
+    ("高清", "(?<!超)高清"),
+    ("蓝光", "蓝光|Blu[ ._-]?ray"),
+    ("原盘", "原盘|BDRemux|BDMV"),
+    ("REMUX", "(?i)(?<![A-Za-z0-9])REMUX(?![A-Za-z0-9])"),
     ("WEB-DL", r"(?i)WEB[._\- ]?DL"),
     ("WEBRip", r"(?i)WEB[._\- ]?Rip"),
-    ("HDTV", f"(?i){_L}HDTV{_R}"),
-    ("H.265", f"(?i){_L}(?:H[._\\- ]?265|HEVC|x265){_R}"),
-    ("H.264", f"(?i){_L}(?:H[._\\- ]?264|AVC|x264){_R}"),
-    ("AV1", f"(?i){_L}AV1{_R}"),
-    ("Dolby Vision", f"(?i)Dolby[._\\- ]?Vision|{_L}(?:DoVi|DV){_R}"),
+    ("HDTV", "(?i)(?<![A-Za-z0-9])HDTV(?![A-Za-z0-9])"),
+    ("H.265", r"(?i)(?<![A-Za-z0-9])(?:H[._\- ]?265|HEVC|x265)(?![A-Za-z0-9])"),
+    ("H.264", r"(?i)(?<![A-Za-z0-9])(?:H[._\- ]?264|AVC|x264)(?![A-Za-z0-9])"),
+    ("AV1", "(?i)(?<![A-Za-z0-9])AV1(?![A-Za-z0-9])"),
+    ("Dolby Vision", r"(?i)Dolby[._\- ]?Vision|(?<![A-Za-z0-9])(?:DoVi|DV)(?![A-Za-z0-9])"),
     ("HDR10+", r"(?i)HDR10\+|HDR10P"),
-    ("HDR10", f"(?i){_L}HDR10(?!\\+|P|[A-Za-z0-9])"),
-    ("HDR", f"(?i){_L}HDR(?![A-Za-z0-9+])"),
-    ("SDR", f"(?i){_L}SDR{_R}"),
-    ("DDP", f"(?i){_L}DDP(?:[ ._-]?([0-9]\\.[0-9]))?{_R}"),
-    ("DD", f"(?i){_L}DD(?:[ ._-]?([0-9]\\.[0-9]))?{_R}"),
+    ("HDR10", r"(?i)(?<![A-Za-z0-9])HDR10(?!\+|P|[A-Za-z0-9])"),
+    ("HDR", "(?i)(?<![A-Za-z0-9])HDR(?![A-Za-z0-9+])"),
+    ("SDR", "(?i)(?<![A-Za-z0-9])SDR(?![A-Za-z0-9])"),
+    ("DDP", r"(?i)(?<![A-Za-z0-9])DDP(?:[ ._-]?([0-9]\.[0-9]))?(?![A-Za-z0-9])"),
+    ("DD", r"(?i)(?<![A-Za-z0-9])DD(?:[ ._-]?([0-9]\.[0-9]))?(?![A-Za-z0-9])"),
     ("DTS-HD MA", r"(?i)DTS[._\- ]?HD[._\- ]?MA"),
-    ("DTS", f"(?i){_L}DTS{_R}"),
-    ("TrueHD", f"(?i){_L}TrueHD{_R}"),
-    ("Atmos", f"(?i){_L}Atmos{_R}"),
-    ("AAC", f"(?i){_L}AAC{_R}"),
-    ("FLAC", f"(?i){_L}FLAC{_R}"),
-    ("60fps", f"(?i){_L}(?:60fps|60[._\\- ]?FPS){_R}"),
-    ("IMAX", f"(?i){_L}IMAX{_R}"),
-    ("3D", f"(?i){_L}3D{_R}"),
+    ("DTS", "(?i)(?<![A-Za-z0-9])DTS(?![A-Za-z0-9])"),
+    ("TrueHD", "(?i)(?<![A-Za-z0-9])TrueHD(?![A-Za-z0-9])"),
+    ("Atmos", "(?i)(?<![A-Za-z0-9])Atmos(?![A-Za-z0-9])"),
+    ("AAC", "(?i)(?<![A-Za-z0-9])AAC(?![A-Za-z0-9])"),
+    ("FLAC", "(?i)(?<![A-Za-z0-9])FLAC(?![A-Za-z0-9])"),
+    ("60fps", r"(?i)(?<![A-Za-z0-9])(?:60fps|60[._\- ]?FPS)(?![A-Za-z0-9])"),
+    ("IMAX", "(?i)(?<![A-Za-z0-9])IMAX(?![A-Za-z0-9])"),
+    ("3D", "(?i)(?<![A-Za-z0-9])3D(?![A-Za-z0-9])"),
     ("修复版", r"AI\s*修复|修复版"),
 )
 TAGS_WITH_CHANNELS = ("DDP", "DD")
@@ -287,29 +294,17 @@ STRONG_RISK = r"(?i)风控|频繁|验证码|访问限制|访问被阻断|captcha
 WEAK_RISK = r"(?i)验证"
 
 # --- fixed values: collection markers ---------------------------------------------------------
-_COUNT = r"[一二三四五六七八九十百两\d]+"
-_EDGE_AHEAD = (
-    r"(?=$|[\s)】）\]]|[（(【\[]|[A-Za-z]|\d|版|[：:、,，.。;；/|+·•\-–—]|"
-    r"4K|1080|2160|720|蓝光|原盘|高清|高码|已刮削|国语|粤语|中字|双语|HDR|HEVC|收藏|国|港|台|剧|含|外|完|电影)"
-)
 COLLECTION_MARKERS = (
-    # bracketed marker, closing bracket optional
-    r"[（(【\[]\s*(?:系列|合集|合辑|合輯|套装|套裝|套盒|合集包|全系列|系列电影|系列電影|系列合集|collection|box[ .-]?set)"
-    r"\s*[）)】\]]?",
-    # unambiguous without brackets
-    r"全系列|系列电影|系列電影|系列合集|合集电影|合集包|等等(?:电影|影片|资源)",
-    # only behind a title
+    r"[（(【\[]\s*(?:系列|合集|合辑|合輯|套装|套裝|套盒|合集包|全系列|系列电影|系列電影|系列合集|collection|box[ .-]?set)\s*[）)】\]]?",
+    "全系列|系列电影|系列電影|系列合集|合集电影|合集包|等等(?:电影|影片|资源)",
     r"(?<=[\u4e00-\u9fff])\s*(?:套装|套裝|套盒|合辑|合輯)",
-    # only at a title edge
-    f"合集{_EDGE_AHEAD}",
-    f"全{_COUNT}部{_EDGE_AHEAD}",
-    f"(?:(?:前|后)?[一二三四五六七八九十百两\\d]+)?部曲{_EDGE_AHEAD}",
-    f"系列{_EDGE_AHEAD}",
-    # ranges and counts of parts
-    f"{_COUNT}\\s*[-~—至]\\s*{_COUNT}部{_EDGE_AHEAD}",
-    f"(?<=\\d{{4}})[二三四五六七八九十两]部{_EDGE_AHEAD}",
-    r"(?<!\d)(?<!第)(?<!天龙)(?<![一二三四五六七八九十百两])"
-    + f"(?:[二三四五六七八九十百两]|\\d{{1,3}})部{_EDGE_AHEAD}",
+    r"合集(?=$|[\s)】）\]]|[（(【\[]|[A-Za-z]|\d|版|[：:、,，.。;；/|+·•\-–—]|4K|1080|2160|720|蓝光|原盘|高清|高码|已刮削|国语|粤语|中字|双语|HDR|HEVC|收藏|国|港|台|剧|含|外|完|电影)",
+    r"全[一二三四五六七八九十百两\d]+部(?=$|[\s)】）\]]|[（(【\[]|[A-Za-z]|\d|版|[：:、,，.。;；/|+·•\-–—]|4K|1080|2160|720|蓝光|原盘|高清|高码|已刮削|国语|粤语|中字|双语|HDR|HEVC|收藏|国|港|台|剧|含|外|完|电影)",
+    r"(?:(?:前|后)?[一二三四五六七八九十百两\d]+)?部曲(?=$|[\s)】）\]]|[（(【\[]|[A-Za-z]|\d|版|[：:、,，.。;；/|+·•\-–—]|4K|1080|2160|720|蓝光|原盘|高清|高码|已刮削|国语|粤语|中字|双语|HDR|HEVC|收藏|国|港|台|剧|含|外|完|电影)",
+    r"系列(?=$|[\s)】）\]]|[（(【\[]|[A-Za-z]|\d|版|[：:、,，.。;；/|+·•\-–—]|4K|1080|2160|720|蓝光|原盘|高清|高码|已刮削|国语|粤语|中字|双语|HDR|HEVC|收藏|国|港|台|剧|含|外|完|电影)",
+    r"[一二三四五六七八九十百两\d]+\s*[-~—至]\s*[一二三四五六七八九十百两\d]+部(?=$|[\s)】）\]]|[（(【\[]|[A-Za-z]|\d|版|[：:、,，.。;；/|+·•\-–—]|4K|1080|2160|720|蓝光|原盘|高清|高码|已刮削|国语|粤语|中字|双语|HDR|HEVC|收藏|国|港|台|剧|含|外|完|电影)",
+    r"(?<=\d{4})[二三四五六七八九十两]部(?=$|[\s)】）\]]|[（(【\[]|[A-Za-z]|\d|版|[：:、,，.。;；/|+·•\-–—]|4K|1080|2160|720|蓝光|原盘|高清|高码|已刮削|国语|粤语|中字|双语|HDR|HEVC|收藏|国|港|台|剧|含|外|完|电影)",
+    r"(?<!\d)(?<!第)(?<!天龙)(?<![一二三四五六七八九十百两])(?:[二三四五六七八九十百两]|\d{1,3})部(?=$|[\s)】）\]]|[（(【\[]|[A-Za-z]|\d|版|[：:、,，.。;；/|+·•\-–—]|4K|1080|2160|720|蓝光|原盘|高清|高码|已刮削|国语|粤语|中字|双语|HDR|HEVC|收藏|国|港|台|剧|含|外|完|电影)",
     r"\b(?:box[ .-]?set)\b",
 )
 COLLECTION = "(?i)(?:" + "|".join(COLLECTION_MARKERS) + ")"
