@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .common import WHITE, WORD, n_words, words
 
 SYMBOLS = "#*$%&|<>"
@@ -41,12 +45,14 @@ def _without(text: Column, characters: str) -> Column:
 
 def line_fails(line: Column) -> Column:
     """True if a line breaks a rule of punctuation, navigation or boilerplate. Lines without a word pass."""
-    solid = F.length(_without(line, WHITE))
-    marks = F.length(F.regexp_replace(line, r"[\p{L}\p{M}\p{N}\s]+", ""))
+    marks = F.regexp_count(line, F.lit(r"[^\p{L}\p{M}\p{N}\s]"))
     separators = F.length(line) - F.length(_without(line, "|»›•"))
     label = (n_words(line) < LABEL_WORDS) & ~F.rlike(line, F.lit(r"[.!?:;…。\"')\]]\s*$"))
-    phrases = F.rlike(F.lower(line), F.lit("|".join(BOILERPLATE)))
-    return (solid > 0) & ((marks > F.lit(MAX_PUNCTUATION) * solid) | (separators > MAX_SEPARATORS) | label | phrases)
+    phrases = let(F.lower(line), lambda low: reduce(or_, [F.contains(low, F.lit(p)) for p in BOILERPLATE]))
+    return let(
+        F.length(_without(line, WHITE)),
+        lambda solid: (solid > 0) & ((separators > MAX_SEPARATORS) | label | phrases | (marks > F.lit(MAX_PUNCTUATION) * solid)),
+    )
 
 
 def _repeated(windows: Column) -> Column:
@@ -66,15 +72,20 @@ def clean(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     split = docs.withColumns({
         "_words": words(F.col("text")),
-        "_lines": F.split(text, "\n"),
+        "_lines": F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), line_fails(x).alias("fails"))),
     })
-    third = F.sequence(F.lit(0), F.size("_words") - 3)
-    window = lambda i: F.struct(F.concat_ws(" ", *[F.get("_words", i + k) for k in range(3)]).alias("words"), i.alias("at"))
+    third = F.when(F.size("_words") >= 3, F.sequence(F.lit(0), F.size("_words") - 3)).otherwise(F.array().cast("array<int>"))
+    of = lambda i: [F.get("_words", i + k) for k in range(3)]
+    window = lambda i: F.struct(F.concat_ws(" ", *of(i)).alias("words"), i.alias("at"))
     empty = F.array().cast("array<struct<words:string,at:int>>")
-    measured = split.withColumns({
-        "_windows": F.sort_array(F.when(F.size("_words") >= 3, F.transform(third, window)).otherwise(empty)),
-        "_full": F.filter("_lines", lambda x: F.rlike(x, F.lit(WORD))),
-        "_kept": F.filter("_lines", lambda x: ~line_fails(x)),
+    hashed = split.withColumn("_hashes", F.transform(third, lambda i: F.xxhash64(*of(i))))
+    # windows that all have different hashes are all different; only other documents sort them
+    some_equal = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
+    measured = hashed.withColumns({
+        "_windows": F.when(some_equal, F.sort_array(F.transform(third, window))).otherwise(empty),
+        "_full": F.filter(F.transform("_lines", lambda x: x["line"]), lambda x: F.rlike(x, F.lit(WORD))),
+        "_kept": F.filter("_lines", lambda x: ~x["fails"]),
+        "_lost": F.filter("_lines", lambda x: x["fails"]),
         "n_words": F.size("_words").cast("long"),
         "word_chars": F.length(_without(text, WHITE)).cast("long"),
         "n_symbols": (F.length(text) - F.length(_without(text, SYMBOLS))).cast("long"),
@@ -82,16 +93,15 @@ def clean(docs: DataFrame) -> DataFrame:
     counted = measured.withColumns({
         "n_dup_lines": (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long"),
         "_at": _repeated(F.col("_windows")),
-        "_clean": F.array_join("_kept", "\n"),
     })
     covered = F.array_distinct(F.flatten(F.transform("_at", lambda i: F.array(i, i + 1, i + 2))))
     judged = counted.withColumns({
         "n_repeat_words": F.size(covered).cast("long"),
-        "lost_words": F.col("n_words") - n_words(F.col("_clean")),
-        "clean_text": F.when(F.col("text").isNotNull(), F.col("_clean")),
+        "lost_words": n_words(F.array_join(F.transform("_lost", lambda x: x["line"]), "\n")),
+        "clean_text": F.when(F.col("text").isNotNull(), F.array_join(F.transform("_kept", lambda x: x["line"]), "\n")),
     })
     judged = judged.withColumn(
         "base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     )
     judged = judged.withColumn("kept", ~F.col("base_failed") & (F.col("lost_words") <= F.col("n_words") * F.lit(MAX_LOSS)))
-    return judged.drop("_words", "_lines", "_windows", "_full", "_kept", "_at", "_clean")
+    return judged.drop("_words", "_lines", "_hashes", "_windows", "_full", "_kept", "_lost", "_at")
