@@ -30,7 +30,7 @@ BANDS, ROWS = 32, 5
 #: MinHash values that are compared at a time, and the posterior probability below which a pair is dropped.
 STEP, TOLERANCE = 32, 1e-6
 #: Members of a neighbourhood that meet in one task, with as many others.
-BLOCK = 256
+BLOCK = 128
 #: Rows, at most, of a key list that is broadcast; longer ones are joined by a shuffle.
 KEYS = 1_000_000
 
@@ -42,7 +42,7 @@ class _Words(dict):
     """64-bit hashes by word."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 250_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value
