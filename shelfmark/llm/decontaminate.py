@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: One error is allowed for so many characters of an item.
-CHARS_PER_ERROR = 20
+CHARS_PER_ERROR = 15
 #: Items with fewer characters than this are too short to tell a leak.
 MIN_CHARS = 20
 #: Test items are matched in blocks of this many characters; each block passes over all texts.
@@ -125,7 +125,7 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> list:
 def leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, distance, budget, item_chars, start, end) of each item found in each text.
 
-    An item is found if some part of the text is within one edit for every 20 of its characters; its
+    An item is found if some part of the text is within one edit for every 15 of its characters; its
     closest part is given, as positions in the normalised text. Whole texts are searched. Null and
     empty texts hold nothing, null items and those under 20 characters are found nowhere; equal rows
     give equal rows. Both tables may have more columns.

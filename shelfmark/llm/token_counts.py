@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Words whose counts a task remembers; beyond it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: Longer words are one unknown token, as in the greedy method itself.
 MAX_WORD_CHARS = 200
 

@@ -32,7 +32,7 @@ TRAIN_WINDOWS = 150_000
 LEAST_SEEN = 12
 STEPS, BATCH, RATE, DECAY = 1_000, 1024, 0.15, 1e-4
 #: Words whose values a task remembers; beyond it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’„…–—¡¿"
 
@@ -89,8 +89,8 @@ class _Scorer:
         self.value, self.bias, self.known = value, bias, {}
 
     def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 50_000):
-            part = words[at : at + 50_000]
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
             flat, counts = subwords(part)
             values = np.add.reduceat(self.value[flat].astype(np.float64), np.cumsum(counts) - counts) / counts
             self.known.update(zip(part, values.tolist()))
