@@ -96,7 +96,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """Greedy word-piece counts of every document; the vocabulary file is read by the driver alone."""
-    first, inner = token_counts.sentencepiece_vocabulary(vocabulary)
+    first, inner = token_counts.sentencepiece_vocabulary(vocabulary, bare_start=True)
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), first, inner)
 
 
@@ -118,12 +118,14 @@ p AS (SELECT r, i FROM (SELECT r, i, COUNT(*) OVER (PARTITION BY r, g) AS n FROM
 c AS (SELECT r, COUNT(*) AS n FROM (SELECT DISTINCT r, i + unnest([0, 1, 2]) AS k FROM p) GROUP BY 1),
 l AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM w),
 m AS (SELECT r, line, length(regexp_replace(line, '[ 	
-]', '', 'g')) AS solid, length(regexp_replace(line, '[\p{{L}}\p{{M}}\p{{N}}\s]+', '', 'g')) AS marks,
+
+]', '', 'g')) AS solid, length(regexp_replace(line, '[\p{{L}}\p{{M}}\p{{N}}\s]+', '', 'g')) AS marks,
   length(line) - length(translate(line, '|»›•', '')) AS bars, len(regexp_extract_all(line, '{_WORD}')) AS n FROM l),
 f AS (SELECT r, SUM(n) AS lost FROM m WHERE solid > 0 AND (marks > 0.2 * solid OR bars > 2 OR {_PHRASE}
   OR (n < 4 AND NOT regexp_matches(line, '[.!?:;…。"'')\]]\s*$'))) GROUP BY 1),
 b AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[ 	
-]', '', 'g')) AS BIGINT) AS word_chars,
+
+]', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
   CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, coalesce(f.lost, 0) AS lost FROM w LEFT JOIN c USING (r) LEFT JOIN f USING (r)),
 k AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)

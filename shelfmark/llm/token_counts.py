@@ -22,13 +22,13 @@ MAX_WORD_CHARS = 200
 class LongestMatch:
     """Counts the greedy longest-match pieces of words.
 
-    ``first``: pieces that start a word; ``inner``: pieces that go on with it. A word that they
-    cannot cover is one unknown token.
+    ``first``: pieces that start a word, the empty one if the mark of a word's start is a piece by
+    itself; ``inner``: pieces that go on with it. A word that they cannot cover is one unknown token.
     """
 
     def __init__(self, first: Iterable[str], inner: Iterable[str]):
         self.next: list[dict[str, int]] = [{}, {}]  # node 0: a word's start; node 1: after a piece
-        whole = [False, False]
+        whole, first = [False, False], list(first)
         for root, pieces in ((0, first), (1, inner)):
             for piece in pieces:
                 node = root
@@ -43,6 +43,8 @@ class LongestMatch:
                     whole[node] = True
         self.fail: list[int] = [-1] * len(self.next)  # -1: none, the word is unknown
         self.popped = [0] * len(self.next)
+        if "" in first:
+            self.fail[0], self.popped[0] = 1, 1
         level = [0, 1]
         while level:
             below = []
@@ -85,8 +87,11 @@ class LongestMatch:
         return (1, 1) if rest < 0 else (total + rest, 0)
 
 
-def sentencepiece_vocabulary(path: str) -> tuple[list[str], list[str]]:
-    """(first, inner) pieces of a vocabulary file: those marked as a word's start, and the others."""
+def sentencepiece_vocabulary(path: str, bare_start: bool = False) -> tuple[list[str], list[str]]:
+    """(first, inner) pieces of a vocabulary file: those that begin with the mark of a word's start, without it, and all as they are.
+
+    ``bare_start``: the mark alone counts too, as the empty piece. Without it words start with longer pieces only.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -94,7 +99,7 @@ def sentencepiece_vocabulary(path: str) -> tuple[list[str], list[str]]:
         model.id_to_piece(i) for i in range(model.get_piece_size())
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))
     ]
-    return [p[1:] for p in plain if p.startswith("▁") and len(p) > 1], [p for p in plain if not p.startswith("▁")]
+    return [p[1:] for p in plain if p.startswith("▁") and (bare_start or len(p) > 1)], plain
 
 
 class _Counts(dict):
