@@ -7,6 +7,7 @@ never built.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,8 +16,10 @@ from pyspark.sql import DataFrame
 
 #: Words whose counts a task remembers; beyond it starts anew.
 REMEMBERED = 250_000
-#: Longer words are one unknown token, as in the greedy method itself.
-MAX_WORD_CHARS = 200
+#: Longer words are counted each time they come.
+REMEMBERED_CHARS = 200
+#: No length makes a word unknown.
+MAX_WORD_CHARS = math.inf
 
 
 class LongestMatch:
@@ -71,8 +74,6 @@ class LongestMatch:
 
     def count(self, word: str) -> tuple[int, int]:
         """(tokens, unknown ones) of a word of one character at least."""
-        if len(word) > MAX_WORD_CHARS:
-            return 1, 1
         node = total = 0
         for c in word:
             child = self.next[node].get(c)
@@ -110,10 +111,12 @@ class _Counts(dict):
         self.automaton = automaton
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
         tokens, unknown = self.automaton.count(word)
-        self[word] = value = tokens << 1 | unknown
+        value = tokens << 1 | unknown
+        if len(word) <= REMEMBERED_CHARS:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -121,8 +124,7 @@ def count_tokens(docs: DataFrame, first: list[str], inner: list[str]) -> DataFra
     """(doc_id, n_words, n_tokens, n_unknown) of each text.
 
     Words are what white space parts. Null and empty texts have no words. A word that the vocabulary
-    cannot cover, or one of more than 200 characters, is one unknown token. Nothing is shuffled; ``docs``
-    may have more columns.
+    cannot cover is one unknown token, however long. Nothing is shuffled; ``docs`` may have more columns.
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast((first, inner))
 

@@ -44,3 +44,12 @@ def test_automaton_with_an_empty_start_piece_equals_longest_match(draw):
         for _ in range(60):
             word = "".join(draw.choice("abc" if draw.random() < 0.1 else "ab") for _ in range(draw.randint(1, 16)))
             assert automaton.count(word) == longest_match(word, pieces), (word, first, inner)
+
+
+def test_very_long_words_are_cut_like_others(frame, draw, monkeypatch):
+    pieces, letters = raw_pieces(), "abcdefghijklmnopqrstuvwxyz0123456789"
+    words = ["y" * 201, "".join(draw.choice(letters) for _ in range(100_000)), "a" * 5_000 + "\U000f0000"]
+    monkeypatch.setattr(queries, "table", lambda spark, sf_dir, name: frame(rows(words)))
+    got = {r["doc_id"]: (r["n_tokens"], r["n_unknown"]) for r in queries.op10_token_counts(None, "").collect()}
+    assert got == {k: longest_match(w, pieces) for k, w in enumerate(words)}
+    assert got[1][0] > 10_000 and got[2] == (1, 1)
