@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 #: One error is allowed for so many characters of an item.
 CHARS_PER_ERROR = 15
-#: Items with fewer characters than this are too short to tell a leak.
-MIN_CHARS = 20
+#: Items of so many characters are searched; only those without any are found nowhere.
+MIN_CHARS = 1
 #: Test items are matched in blocks of this many characters; each block passes over all texts.
 BLOCK_CHARS = 8_000_000
 
@@ -92,6 +92,9 @@ class Matcher:
         found = []
         for n, at in starts.items():
             item_id, item, budget = self.items[n]
+            if not budget:  # the whole item is the piece
+                found.append((item_id, 0, 0, len(item), min(at), min(at) + len(item)))
+                continue
             best = None
             reach = len(item) + 2 * budget
             at.sort()
@@ -126,9 +129,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS)
     """(doc_id, item_id, distance, budget, item_chars, start, end) of each item found in each text.
 
     An item is found if some part of the text is within one edit for every 15 of its characters; its
-    closest part is given, as positions in the normalised text. Whole texts are searched. Null and
-    empty texts hold nothing, null items and those under 20 characters are found nowhere; equal rows
-    give equal rows. Both tables may have more columns.
+    closest part is given, as positions in the normalised text. Whole texts are searched. Items under
+    15 characters are to occur exactly, within words too. Null and empty texts hold nothing, null and
+    empty items are found nowhere; equal rows give equal rows. Both tables may have more columns.
     """
     found = None
     for items in _blocks(benchmark, block_chars):

@@ -2,7 +2,7 @@
 
 from odd_cases import rows
 
-from shelfmark.llm import queries, token_counts
+from shelfmark.llm import decontaminate, queries, token_counts
 
 # --- token counts ---------------------------------------------------------------------------
 
@@ -53,3 +53,16 @@ def test_very_long_words_are_cut_like_others(frame, draw, monkeypatch):
     got = {r["doc_id"]: (r["n_tokens"], r["n_unknown"]) for r in queries.op10_token_counts(None, "").collect()}
     assert got == {k: longest_match(w, pieces) for k, w in enumerate(words)}
     assert got[1][0] > 10_000 and got[2] == (1, 1)
+
+
+# --- decontamination ------------------------------------------------------------------------
+
+
+def test_short_items_are_searched(spark, frame):
+    items = {1: "Why is  42?", 2: "one two three four", 3: "never there", 4: "", 5: None}
+    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    texts = ["so why is 42? and why is 42? then", "x one two thre four y", "one tw three fur", "nothing", None]
+    docs = frame(rows(texts))
+    got = decontaminate.leaks(docs, benchmark).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["distance"], r["budget"], r["start"], r["end"]) for r in got) == [(0, 1, 0, 0, 3, 13), (1, 2, 1, 1, 2, 19)]
+    assert sorted(r["doc_id"] for r in decontaminate.without_leaks(docs, benchmark).collect()) == [2, 3, 4]
