@@ -106,8 +106,8 @@ class _Scorer:
         out = np.full(len(split), self.bias)
         for n, words in enumerate(split):
             if words:
+                words = [w for w, _ in groupby(words)]
                 each = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
-                each = each[np.append(True, each[1:] != each[:-1])]
                 out[n] += (np.add.reduceat(each, np.arange(0, len(each), WINDOW)) / WINDOW).max()
         return out
 

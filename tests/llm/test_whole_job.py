@@ -1,8 +1,10 @@
 """What earlier rounds left out: each test fails on the code before."""
 
-from odd_cases import rows
+import numpy as np
+import pytest
+from odd_cases import rows, word
 
-from shelfmark.llm import decontaminate, queries, token_counts
+from shelfmark.llm import decontaminate, queries, token_counts, toxicity
 
 # --- token counts ---------------------------------------------------------------------------
 
@@ -66,3 +68,28 @@ def test_short_items_are_searched(spark, frame):
     got = decontaminate.leaks(docs, benchmark).collect()
     assert sorted((r["doc_id"], r["item_id"], r["distance"], r["budget"], r["start"], r["end"]) for r in got) == [(0, 1, 0, 0, 3, 13), (1, 2, 1, 1, 2, 19)]
     assert sorted(r["doc_id"] for r in decontaminate.without_leaks(docs, benchmark).collect()) == [2, 3, 4]
+
+
+# --- toxicity -------------------------------------------------------------------------------
+
+
+def test_different_words_of_one_value_stay_apart(draw):
+    value = np.zeros(toxicity.BUCKETS, np.float32)
+    value[toxicity.subwords(["grim"])[0]] = 1.0
+    # words with no weight of their own between mild ones, some of them repeated at once
+    texts = [" ".join(["grim" if draw.random() < 0.2 else word(draw) for _ in range(60)]) for _ in range(20)]
+    texts += ["xi yu zo qa we ru ti grim " * 3, "grim grim xi xi yu", "", None]
+    bias, weight = -0.5, {}
+
+    def weight_of(w):
+        if w not in weight:
+            weight[w] = float(np.mean(value[toxicity.subwords([w])[0]], dtype=np.float64))
+        return weight[w]
+
+    want = []
+    for text in texts:
+        split = (text or "").split()
+        split = [w for k, w in enumerate(split) if not k or split[k - 1] != w]
+        windows = [split[k : k + toxicity.WINDOW] for k in range(0, len(split), toxicity.WINDOW)] or [[]]
+        want.append(bias + max(sum(map(weight_of, w)) / toxicity.WINDOW for w in windows))
+    assert toxicity._Scorer(value, bias).hardest(texts) == pytest.approx(want)
