@@ -1,4 +1,4 @@
-"""Mixing sources to target weights: Sainte-Lague apportionment of equal-token blocks."""
+"""Mixing sources to target weights: Sainte-Lague apportionment of words, or of blocks of them."""
 
 from __future__ import annotations
 
@@ -11,19 +11,23 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .common import checked_broadcast, n_words, one_per_copy
 
-BLOCK_WORDS = 32
+#: The least share a source or a shard can get.
+BLOCK_WORDS = 1
 SHARD_WORDS = 1 << 18
 MAX_SHARDS = 1 << 16
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MAX_REPEATS, SEED = 1.5, 2, 7
 
 
-def sainte_lague(df: DataFrame, party: Sequence[str], group: Sequence[str], weight: str, seats: str, quota: str) -> DataFrame:
+def sainte_lague(df: DataFrame, party: Sequence[str], group: Sequence[str], weight: str, seats: str, quota: str, within: bool = False) -> DataFrame:
     """``df`` (a row for each party of each group) with the seats that highest quotients give it.
 
     Seat k of a party has the quotient weight / (2k + 1); a group's ``seats`` highest win, ties by
     ``party``. A divisor that is surely too large gives each party seats it holds in any case;
     only the next few are ranked, two for each party on the whole, however many seats there are.
+
+    ``within``: a party holds the whole seats of its exact share from the start and gets one more at most,
+    so that none is given more than a bound that its share keeps, and none far less than its share.
     """
     whole = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
     seated = (
@@ -32,11 +36,14 @@ def sainte_lague(df: DataFrame, party: Sequence[str], group: Sequence[str], weig
         .withColumn("_safe", F.greatest(F.lit(0), F.floor(F.col(weight) * (F.col(seats) - F.col("_n") / 2) / F.col("_sum") + 0.5 - 1e-9)).cast("long"))
         .withColumn("_end", (F.floor(F.col(weight) * (F.col(seats) + F.col("_n") / 2) / F.col("_sum") + 0.5) + 1).cast("long"))
     )
+    if within:
+        exact = F.col(weight) * F.col(seats) / F.col("_sum")
+        seated = seated.withColumn("_safe", F.floor(exact + 1e-9)).withColumn("_end", F.when(F.ceil(exact - 1e-9) > F.col("_safe"), F.col("_safe")))
     best = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
     best = best.orderBy(F.desc("_quotient"), *party)
     ranked = (
         seated.withColumn("_left", F.col(seats) - F.sum("_safe").over(whole))
-        .withColumn("_seat", F.explode(F.sequence("_safe", "_end")))
+        .withColumn("_seat", F.explode_outer(F.sequence("_safe", "_end")))
         .withColumn("_quotient", F.col(weight) / (2 * F.col("_seat") + 1))
         .withColumn("_won", (F.row_number().over(best) <= F.col("_left")).cast("long"))
     )
@@ -88,15 +95,16 @@ def mix(
     shard and a source's list of shards stay small). Blocks of ``block_words`` words go to sources
     and then to each source's shards by Sainte-Lague quotients. A shard lays its documents end to
     end in an order that the seed decides, ``most`` times over, and its quota is that many first
-    blocks of it; ``taken`` is what they cover of a document. Equal rows (source, doc_id, size)
+    blocks of it; ``taken`` is what they cover of a document. With blocks of one word a source and a shard
+    are within a word of their share, however small, and never above what they can fill. Equal rows (source, doc_id, size)
     are counted before they meet in a task and told apart at the end. Null sources are a source,
     null doc_ids a key.
     """
     slim = docs.select("source", "doc_id", n_words(F.col("text")).alias("size"))
     slim = cut_lineage(slim.groupBy("source", "doc_id", "size").agg(F.count(F.lit(1)).alias("n")))
     sources = source_targets(slim.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most)
-    seats = F.round(F.sum("target").over(W.partitionBy(F.lit(0))) / block_words).cast("long")
-    seated = sainte_lague(sources.withColumn("_seats", seats), ["source"], [], "target", "_seats", "blocks")
+    seats = F.floor(F.sum("target").over(W.partitionBy(F.lit(0))) / block_words + 1e-6).cast("long")
+    seated = sainte_lague(sources.withColumn("_seats", seats), ["source"], [], "target", "_seats", "blocks", within=True)
     shards = F.least(F.lit(MAX_SHARDS), F.ceil(F.col("source_size") / shard_words)).cast("int")
     sources = cut_lineage(
         sources.join(seated.select(F.col("source").alias("_source"), "blocks"), F.col("source").eqNullSafe(F.col("_source")), "left")
@@ -113,7 +121,7 @@ def mix(
         F.coalesce(F.sum(F.col("size") * F.col("n")).over(cell.orderBy("_order", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
     )
     cells = dealt.groupBy("source_no", "cell", "blocks").agg(F.sum(F.col("size") * F.col("n")).alias("cell_size"))
-    quotas = sainte_lague(cells, ["cell"], ["source_no"], "cell_size", "blocks", "quota")
+    quotas = sainte_lague(cells, ["cell"], ["source_no"], "cell_size", "blocks", "quota", within=True)
     quotas = quotas.select("source_no", "cell", "cell_size", (F.col("quota") * block_words).alias("_words"))
     joined = one_per_copy(laid.join(quotas, ["source_no", "cell"], "left"), "n", "_copy")
     at = F.col("_start") + F.col("_copy") * F.col("size")

@@ -1,10 +1,13 @@
 """What earlier rounds left out: each test fails on the code before."""
 
+import math
+from collections import defaultdict
+
 import numpy as np
 import pytest
 from odd_cases import rows, word
 
-from shelfmark.llm import decontaminate, queries, token_counts, toxicity
+from shelfmark.llm import decontaminate, mix, queries, token_counts, toxicity
 
 # --- token counts ---------------------------------------------------------------------------
 
@@ -93,3 +96,22 @@ def test_different_words_of_one_value_stay_apart(draw):
         windows = [split[k : k + toxicity.WINDOW] for k in range(0, len(split), toxicity.WINDOW)] or [[]]
         want.append(bias + max(sum(map(weight_of, w)) / toxicity.WINDOW for w in windows))
     assert toxicity._Scorer(value, bias).hardest(texts) == pytest.approx(want)
+
+
+# --- mixing ---------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("sizes,shard_words", [([7] * 300, mix.SHARD_WORDS), ([1, 2, 3, 5, 7, 11, 4_000] * 12, mix.SHARD_WORDS), ([7, 90, 400] * 20, 50)])
+def test_small_sources_get_their_targets_too(frame, draw, sizes, shard_words):
+    texts = [" ".join(word(draw) for _ in range(n)) for n in sizes]
+    # each source's words in some documents of up to 7 words
+    cut = [(k, t.split()[at : at + 7]) for k, t in enumerate(texts) for at in range(0, len(t.split()), 7)]
+    docs = frame(rows([" ".join(w) for _, w in cut], [f"s{k:04}" for k, _ in cut]))
+    taken, size, target = defaultdict(int), {}, {}
+    for r in mix.mix(docs, shard_words=shard_words).collect():
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        taken[r["source"]] += r["taken"]
+        size[r["source"]], target[r["source"]] = r["source_size"], r["target"]
+    assert sorted(size.values()) == sorted(sizes)
+    assert all(abs(taken[s] - target[s]) < 1 for s in size)
+    assert sum(taken.values()) == math.floor(sum(target.values()) + 1e-6)
