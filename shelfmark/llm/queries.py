@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language_model, line_rules, mix, quality, shard, token_counts, toxicity, url_filter
+from . import decontaminate, jaccard, language_model, line_rules, mix, piece_codec, quality, shard, token_counts, toxicity, url_filter
 from .common import fold, table
 
 SHARDS = 16
@@ -100,10 +100,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABU
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), first, inner)
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Ids of every whole text and the text they decode to, as digests; the vocabulary file is read by the driver alone."""
+    model = piece_codec.read_model(vocabulary)
+    encoded = piece_codec.encode(table(spark, sf_dir, "documents"), model).select(
+        "doc_id",
+        "ids",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+    )
+    return piece_codec.decode(encoded, model, keep=("doc_id", "n_tokens", "ids_sha256")).select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontamination, op2_sharding, op3_mixing, op4_toxicity, op5_lm_scoring, op6_quality, op7_jaccard_join, op8_url_filters,
-        op9_quality_rules, op10_token_counts,
+        op9_quality_rules, op10_token_counts, op11_sentencepiece,
     )
 }
 _WORD = r"[^\x20\x09-\x0D]+"
