@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language_model, line_rules, mix, piece_codec, quality, shard, token_counts, toxicity, url_filter
+from . import decontaminate, jaccard, language_model, line_rules, mix, piece_codec, quality, shard, token_counts, toxicity, url_filter, whiten
 from .common import fold, table
 
 SHARDS = 16
@@ -114,10 +114,24 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str, vocabulary: str = VOCAB
     )
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str, components: int = 32) -> DataFrame:
+    """Every embedding on the whitened components of falling variance, up to 32."""
+    vectors, size = whiten.kept_vectors(table(spark, sf_dir, "embeddings"), keep=["vec_id"])
+    known = whiten.fit(vectors, size, components)
+    error = whiten.identity_error(vectors, known)
+    explained = F.array(*[F.lit(e) for e in known.explained()]).cast("array<double>")
+    return whiten.whiten(vectors, known, ["vec_id"]).select(
+        "vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened")
+    ).select(
+        "vec_id", (F.col("place") + 1).alias("component"), F.lit(known.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(explained, F.col("place")).alias("explained"), F.lit(error).alias("identity_error"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontamination, op2_sharding, op3_mixing, op4_toxicity, op5_lm_scoring, op6_quality, op7_jaccard_join, op8_url_filters,
-        op9_quality_rules, op10_token_counts, op11_sentencepiece,
+        op9_quality_rules, op10_token_counts, op11_sentencepiece, op13_whitening,
     )
 }
 _WORD = r"[^\x20\x09-\x0D]+"
