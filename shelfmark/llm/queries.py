@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language_model, line_rules, mix, piece_codec, quality, shard, token_counts, toxicity, url_filter, whiten
+from . import align, decontaminate, jaccard, language_model, line_rules, mix, piece_codec, quality, shard, token_counts, toxicity, url_filter, whiten
+from ..session import written
 from .common import fold, table
 
 SHARDS = 16
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 URL_RULES = (
     url_filter.Rule("allow", "org", "/"),
@@ -114,6 +116,16 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str, vocabulary: str = VOCAB
     )
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str, first: str = BYTE_VOCABULARY, second: str = VOCABULARY) -> DataFrame:
+    """Groups and links between the ids of two vocabularies over every whole text; both files are read by the driver alone."""
+    models = align.read_byte_model(first), piece_codec.read_model(second)
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
+    aligned = written(align.align(table(spark, sf_dir, "documents"), *models).withColumn("groups_sha256", digest).drop("groups"), "aligned")
+    return align.score_links(aligned, align.count_links(aligned, *models)).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str, components: int = 32) -> DataFrame:
     """Every embedding on the whitened components of falling variance, up to 32."""
     vectors, size = whiten.kept_vectors(table(spark, sf_dir, "embeddings"), keep=["vec_id"])
@@ -131,7 +143,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str, components: int = 32) -> Da
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontamination, op2_sharding, op3_mixing, op4_toxicity, op5_lm_scoring, op6_quality, op7_jaccard_join, op8_url_filters,
-        op9_quality_rules, op10_token_counts, op11_sentencepiece, op13_whitening,
+        op9_quality_rules, op10_token_counts, op11_sentencepiece, op12_alignment, op13_whitening,
     )
 }
 _WORD = r"[^\x20\x09-\x0D]+"
