@@ -56,3 +56,11 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     ``df`` is to be materialised (a checkpoint), as counting reads it.
     """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, with as many underscores before it as make it no column of the tables."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

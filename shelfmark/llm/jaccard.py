@@ -19,8 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .common import checked_broadcast
+from ..session import cut_lineage, written
+from .common import checked_broadcast, unused
 from .components import components
 
 SHINGLE_WORDS = 5
@@ -211,12 +211,11 @@ def _compared(group: pa.Table) -> pa.Table:
 
 
 def linked(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, class_id, links, text_links, first) for each row of ``docs``.
+    """(doc_id, class_id, links, text_links, first) for each row of ``docs``.
 
     ``class_id`` is the least doc_id that links lead to, over any number of steps. ``text_links`` counts the different
     texts linked to the row's, ``links`` all other rows linked to it, equal texts included. ``first`` is
-    true for one row of each class, that of the least doc_id. ``row`` numbers the rows of ``docs`` and
-    is the same in each reading of it, if ``docs`` is read from files.
+    true for one row of each class, that of the least doc_id.
 
     Equal texts are one class, also empty ones. A text of under five words has one shingle, all its words; one
     without words is linked to equal texts only. A null text is linked to nothing, not even another.
@@ -225,8 +224,14 @@ def linked(docs: DataFrame) -> DataFrame:
 
     Copies are aggregated before they meet. A neighbourhood of any size is compared in blocks of BLOCK classes,
     two at a time; a task gives a row for each class, not for each pair.
+
+    Rows are numbered once and written with their numbers, so that no later reading can number them otherwise.
     """
-    rows = docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text")
+    return _linked(written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "numbered")).drop("row")
+
+
+def _linked(rows: DataFrame) -> DataFrame:
+    """``linked`` for stored rows (row, doc_id, text), with their numbers."""
     keyed = rows.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
     banded = keyed.filter(F.col("text").isNotNull()).select("row", "doc_id", "key", "text").mapInArrow(
         _banded, "row long, doc_id long, key binary, bands array<long>"
@@ -274,11 +279,9 @@ def linked(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are the first of their class (see ``linked``), with all their columns.
-
-    ``docs`` is to be read from files: rows are known by their numbers in that reading.
-    """
-    gone = cut_lineage(linked(docs).filter(~F.col("first")).select(F.col("row").alias("_row")))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(checked_broadcast(gone, KEYS), "_row", "left_anti").select(
-        *[f"`{c}`" for c in docs.columns]
-    )
+    """The rows of ``docs`` that are the first of their class (see ``linked``), with all their columns."""
+    row = unused("row", docs)
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = _linked(numbered.select(F.col(row).alias("row"), "doc_id", "text"))
+    gone = cut_lineage(found.filter(~F.col("first")).select(F.col("row").alias(row)))
+    return numbered.join(checked_broadcast(gone, KEYS), row, "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -204,3 +204,34 @@ def test_leaks_equal_brute_force(spark, frame, odd, draw):
         bad = {k[0] for k in want}
         assert Counter(map(tuple, clean.collect())) == Counter(tuple(r) for r in records if r[0] not in bad)
     assert decontaminate.leaks(docs, benchmark.limit(0)).count() == 0 and decontaminate.without_leaks(docs.limit(0), benchmark).count() == 0
+
+
+def test_nothing_is_lost_when_files_are_split_otherwise_between_steps(spark, stored, families, monkeypatch):
+    """As when executors are lost or added: each later reading sees another number of cores."""
+    docs = stored([*families, *rows([f"text {k} of its own, with some more words" for k in range(3_000)])])
+    docs = docs.withColumnRenamed("n", "_row")
+    want = Counter(map(tuple, jaccard.one_of_each(docs).collect()))
+    links = Counter(map(tuple, jaccard.linked(docs).collect()))
+    names = ("spark.sql.leafNodeDefaultParallelism", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n, None) for n in names}
+    steps = iter(range(1, 1_000))
+
+    def other(step):
+        def run(*given):
+            done = step(*given)
+            k = next(steps)
+            for name, value in zip(names, (1 + k * 7 % 23, 4_096 * (1 + k % 5), 64)):
+                spark.conf.set(name, value)
+            return done
+
+        return run
+
+    monkeypatch.setattr(jaccard, "cut_lineage", other(jaccard.cut_lineage))
+    monkeypatch.setattr(jaccard, "written", other(jaccard.written))
+    try:
+        assert Counter(map(tuple, jaccard.one_of_each(docs).collect())) == want
+        assert Counter(map(tuple, jaccard.linked(docs).collect())) == links
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    assert sum(want.values()) > 3_000
