@@ -85,17 +85,17 @@ class Aligner:
         self.names = np.array([str(i) for i in range(max(map(len, self.lengths)))], object)
         self.exact_names = np.array([f"{a}|{b}" for a, b in enumerate(self.same)], object)
 
-    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of both sides; none where either does not give the text back."""
+    def tokens(self, text: str | None, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of both sides, the second's given; none where either does not give the text back."""
         if text:
-            a, b, whole = self.first.encode_to_numpy(" " + text).astype(np.int64), self.second.ids(text).astype(np.int64), (" " + text).encode()
+            a, whole = self.first.encode_to_numpy(" " + text).astype(np.int64), (" " + text).encode()
             if self.first.decode_bytes(a.tolist()) == whole and b"".join(map(self.second_bytes.__getitem__, b.tolist())) == whole:
-                return a, b
+                return a, b.astype(np.int64)
         return np.empty(0, np.int64), np.empty(0, np.int64)
 
     def align(self, texts: Sequence[str | None]) -> list[tuple[int, int, str, np.ndarray, np.ndarray]]:
         """For each text: its tokens of both sides, its groups as text, its exact links' first ids, its other links as pairs."""
-        cut = [self.tokens(t) for t in texts]
+        cut = [self.tokens(t, b) for t, b in zip(texts, self.second.ids(texts))]
         a, b = (np.concatenate([c[k] for c in cut]) for k in (0, 1))
         ends_a, ends_b = np.cumsum(self.lengths[0][a]), np.cumsum(self.lengths[1][b])
         at = np.searchsorted(ends_a, ends_b)  # texts end on both sides, so there is always such a place

@@ -12,12 +12,13 @@ repeated, an empty table gives none, and columns that are not kept cannot clash
 
 from __future__ import annotations
 
+import bisect
 import codecs
 import heapq
-import math
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,11 @@ MARK = "▁"
 #: What an unknown id decodes to.
 UNKNOWN_TEXT = " ⁇ "
 #: Characters that a task takes at a time; a longer text is taken in several parts, cut between chunks.
-PART_CHARS = 1 << 20
+PART_CHARS = 1 << 19
 #: Characters of distinct chunks that a task's table holds; beyond it the table starts anew.
 TABLE_CHARS = 6_000_000
-#: Characters of a chunk up to which all its neighbours are looked through at each step.
-SHORT = 48
+#: Characters of a chunk up to which it is cut with others, and how many are cut at once.
+SHORT, AT_ONCE = 48, 4_096
 
 
 @dataclass(frozen=True)
@@ -84,46 +85,100 @@ def read_model(path: str) -> PieceModel:
     )
 
 
+#: The cost of a pair of neighbours that no piece is made of.
+NEVER = (1 << 31) - 1
+
+
 class Segmenter:
-    """Cuts chunks into pieces: the pair of neighbours whose piece scores highest is joined first, of equals the leftmost."""
+    """Cuts chunks into pieces: the pair of neighbours whose piece scores highest is joined first, of equals the leftmost.
 
-    def __init__(self, model: PieceModel):
-        self.ids = model.plain()
-        self.cost = {p: -model.scores[i] for p, i in self.ids.items()}
-        self.byte_ids, self.unknown = model.byte_ids, model.unknown
-
-    def ids_of(self, chunk: str) -> list[int]:
-        parts = self.parts(chunk)
-        found: list[int] = []
-        for part in parts:
-            known = self.ids.get(part)
-            if known is not None:
-                found.append(known)
-            elif self.byte_ids:
-                found.extend(self.byte_ids[b] for b in part.encode())
-            else:
-                found.append(self.unknown)
-        return found
+    Many short chunks are cut at once, a join in each of them at a time; a long one by a heap of its neighbours.
+    """
 
-    def parts(self, chunk: str) -> list[str]:
-        return self.short_parts(chunk) if len(chunk) <= SHORT else self.long_parts(chunk)
-
-    def short_parts(self, chunk: str) -> list[str]:
-        """By looking through all neighbours each time, which is the faster for a few."""
-        cost, part = self.cost, list(chunk)
-        costs = [cost.get(chunk[k : k + 2], math.inf) for k in range(len(chunk) - 1)]
-        while costs and (least := min(costs)) < math.inf:
-            k = costs.index(least)
-            part[k] += part.pop(k + 1)
-            del costs[k]
-            if k:
-                costs[k - 1] = cost.get(part[k - 1] + part[k], math.inf)
-            if k < len(costs):
-                costs[k] = cost.get(part[k] + part[k + 1], math.inf)
-        return part
+    def __init__(self, model: PieceModel):
+        self.ids, self.size = model.plain(), len(model.pieces)
+        self.byte_ids, self.unknown = np.array(model.byte_ids, np.int64), model.unknown
+        falling = {s: k for k, s in enumerate(sorted({model.scores[i] for i in self.ids.values()}, reverse=True))}
+        self.cost = {p: falling[model.scores[i]] for p, i in self.ids.items()}
+        # symbols are ids of pieces and, above them, characters that are no pieces
+        self.symbol_of = np.arange(0x110000, dtype=np.int32) + np.int32(self.size)
+        single = [p for p in self.ids if len(p) == 1]
+        self.symbol_of[[ord(p) for p in single]] = [self.ids[p] for p in single]
+        joins = []
+        for piece, i in self.ids.items():
+            for k in range(1, len(piece)):
+                left, right = self.symbol(piece[:k]), self.symbol(piece[k:])
+                if left is not None and right is not None:
+                    joins.append((left << 32 | right, self.cost[piece], i))
+        self.pairs, costs, joined = np.array(sorted(joins) or [(-1, NEVER, 0)], np.int64).T.copy()
+        self.costs, self.joined = costs.astype(np.int32), joined.astype(np.int32)
+
+    def symbol(self, part: str) -> int | None:
+        return self.ids.get(part, self.size + ord(part) if len(part) == 1 else None)
+
+    def joins(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cost of joining two symbols and what they become; NEVER where no piece is made of them or one is none (-1)."""
+        pair = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == pair) & (right >= 0), self.costs[at], np.int32(NEVER)), self.joined[at]
+
+    def cut(self, chunks: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+        """All chunks in some order: (chunks, how many ids each has, these ids in a row)."""
+        chunks = sorted(chunks, key=len)
+        short = bisect.bisect_right(chunks, SHORT, key=len)
+        at = 0
+        while at < short:  # those of about one length together
+            end = min(bisect.bisect_right(chunks, len(chunks[at]) * 5 // 4, hi=short, key=len), at + AT_ONCE)
+            yield chunks[at:end], *self.ids_of(self.short_symbols(chunks[at:end]))
+            at = end
+        for chunk in chunks[short:]:
+            symbols = np.array([[self.symbol(p) for p in self.long_parts(chunk)]], np.int64)
+            yield [chunk], *self.ids_of(symbols)
+
+    def ids_of(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each row of symbols has, and these: a character that is no piece gives its bytes' ids."""
+        row, _ = np.nonzero(symbols >= 0)
+        flat = symbols[symbols >= 0].astype(np.int64)
+        other = flat >= self.size
+        if not other.any():
+            return np.bincount(row, minlength=len(symbols)), flat
+        if not len(self.byte_ids):
+            return np.bincount(row, minlength=len(symbols)), np.where(other, self.unknown, flat)
+        code = np.where(other, flat - self.size, 0)
+        count = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+        ids = np.repeat(flat, count)
+        ids[np.repeat(other, count)] = self.byte_ids[np.frombuffer("".join(map(chr, code[other].tolist())).encode(), np.uint8)]
+        return np.bincount(row, count, len(symbols)).astype(np.int64), ids
+
+    def short_symbols(self, chunks: list[str]) -> np.ndarray:
+        """A row of symbols for each chunk, -1 behind its last."""
+        width = max(map(len, chunks))
+        columns = np.arange(width + 1)
+        symbols = np.full((len(chunks), width + 1), -1, np.int32)
+        symbols[columns < np.array([len(c) for c in chunks])[:, None]] = self.symbol_of[np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)]
+        cost, become = self.joins(symbols[:, :-1], symbols[:, 1:])
+        done, rows = symbols.copy(), np.arange(len(chunks))
+        while len(rows):
+            at = cost.argmin(axis=1)
+            live = cost[np.arange(len(rows)), at] < NEVER
+            done[rows[~live]] = symbols[~live]
+            rows, symbols, cost, become, at = rows[live], symbols[live], cost[live], become[live], at[live]
+            each = np.arange(len(rows))
+            joined = become[each, at]
+            # what stands behind the pair moves one place to the left
+            source = columns + (columns > at[:, None])
+            symbols = np.take_along_axis(symbols, np.minimum(source, width), axis=1)
+            symbols[each, at] = joined
+            source = np.minimum(source[:, :width], width - 1)
+            cost, become = np.take_along_axis(cost, source, axis=1), np.take_along_axis(become, source, axis=1)
+            for left in (at - 1, at):
+                r = each[left >= 0]
+                left = left[left >= 0]
+                cost[r, left], become[r, left] = self.joins(symbols[r, left], symbols[r, left + 1])
+        return done
 
     def long_parts(self, chunk: str) -> list[str]:
-        """By a heap of neighbours, in steps that grow with the length times its logarithm."""
+        """The pieces of a chunk of any length, in steps that grow with the length times its logarithm."""
         cost, size = self.cost, len(chunk)
         part: list[str] = list(chunk)
         after, before = list(range(1, size + 1)), list(range(-1, size - 1))
@@ -154,14 +209,13 @@ class Segmenter:
 
 
 class ChunkTable(dict):
-    """Where the ids of each distinct chunk stand in one flat array; a chunk is segmented when first asked for."""
+    """Where the ids of each distinct chunk stand in one flat array; each is segmented once, when it first comes."""
 
     def __init__(self, model: PieceModel):
         super().__init__()
         self.segmenter = Segmenter(model)
         self.chunk = re.compile(r"(?s).+" if model.crossing else f"{MARK}+[^{MARK}]*")
-        self.border = re.compile(f"(?<=[^{MARK}]){MARK}")
-        self.crossing = model.crossing
+        self.border = None if model.crossing else re.compile(f"(?<=[^{MARK}]){MARK}")
         self._start_anew()
 
     def _start_anew(self) -> None:
@@ -170,36 +224,51 @@ class ChunkTable(dict):
         self.end = np.zeros(1 << 14, np.int64)  # the ids of chunk k stand from end[k] to end[k + 1]
         self.chars = 0
 
-    def __missing__(self, chunk: str) -> int:
-        ids, place = self.segmenter.ids_of(chunk), len(self)
-        if place + 2 > len(self.end):
-            self.end = np.concatenate([self.end, np.zeros_like(self.end)])
-        at = self.end[place]
-        while at + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.flat[at : at + len(ids)] = ids
-        self.end[place + 1] = at + len(ids)
-        self.chars += len(chunk) + 8
-        self[chunk] = place
-        return place
-
-    def ids(self, text: str) -> np.ndarray:
-        """The ids of a whole text, joined by the positions of its chunks."""
-        if not text:
-            return np.empty(0, np.int32)
-        marked, at, found = MARK + text.replace(" ", MARK), 0, []
-        while at < len(marked):
-            border = None if self.crossing else self.border.search(marked, at + PART_CHARS)
-            end = border.start() if border else len(marked)
-            if self.chars > TABLE_CHARS:
-                self._start_anew()
-            chunks = self.chunk.findall(marked, at, end)
-            places = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
-            start, length = self.end[places], self.end[places + 1] - self.end[places]
-            stop = np.cumsum(length)
-            found.append(self.flat[np.repeat(start - stop + length, length) + np.arange(stop[-1])])
+    def learn(self, chunks: set[str]) -> None:
+        """Segment chunks that are not in the table."""
+        for some, count, ids in self.segmenter.cut(list(chunks)):
+            place, n = len(self), len(some)
+            at = int(self.end[place])
+            while place + n + 1 > len(self.end):
+                self.end = np.concatenate([self.end, np.zeros_like(self.end)])
+            while at + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+            self.flat[at : at + len(ids)] = ids
+            self.end[place + 1 : place + n + 1] = at + np.cumsum(count)
+            self.chars += sum(map(len, some)) + 8 * n
+            self.update(zip(some, range(place, place + n)))
+
+    def joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each chunk has, and all of them, joined by the positions of the chunks."""
+        if self.chars > TABLE_CHARS:
+            self._start_anew()
+        places = np.fromiter(map(self.get, chunks, repeat(-1)), np.int64, len(chunks))
+        if len(new := np.flatnonzero(places < 0)):
+            some = [chunks[k] for k in new.tolist()]
+            self.learn(set(some))
+            places[new] = np.fromiter(map(self.__getitem__, some), np.int64, len(some))
+        start, length = self.end[places], self.end[places + 1] - self.end[places]
+        stop = np.cumsum(length)
+        return length, self.flat[np.repeat(start - stop + length, length) + np.arange(stop[-1] if len(stop) else 0)]
+
+    def ids(self, texts: Sequence[str | None]) -> list[np.ndarray]:
+        """The ids of each whole text. The texts are to be few or short, but for single long ones."""
+        marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
+        if sum(map(len, marked)) > 3 * PART_CHARS:
+            return [np.concatenate([self.joined(part)[1] for part in self.parts(m)]) for m in marked]
+        chunks = [self.chunk.findall(m) for m in marked]
+        length, ids = self.joined([c for of_text in chunks for c in of_text])
+        stops = np.concatenate([[0], np.cumsum(length)])[np.cumsum([len(c) for c in chunks])]
+        return np.split(ids, stops[:-1])
+
+    def parts(self, marked: str) -> Iterator[list[str]]:
+        """The chunks of a text in runs of about PART_CHARS characters, which end where a chunk does."""
+        at = 0
+        while at < len(marked) or not at:
+            border = self.border.search(marked, at + PART_CHARS) if self.border else None
+            end = border.start() if border else max(len(marked), 1)
+            yield self.chunk.findall(marked, at, end)
             at = end
-        return found[0] if len(found) == 1 else np.concatenate(found)
 
 
 def parts_of(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
@@ -234,7 +303,7 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", keep: Sequenc
         table = ChunkTable(known.value)
         for batch in batches:
             for rows, texts in parts_of(batch, "text"):
-                ids = int_lists([table.ids(t or "") for t in texts], pa.int32())
+                ids = int_lists(table.ids(texts), pa.int32())
                 yield pa.RecordBatch.from_arrays([*rows.columns[1:], ids], names=[*keep, into])
 
     schema = StructType([*_kept(docs, keep), StructField(into, ArrayType(IntegerType()))])
