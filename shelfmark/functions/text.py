@@ -130,6 +130,18 @@ def cjk_number(text: Column) -> Column:
     )
 
 
+def written_number(text: Column) -> Column:
+    """Number in digits, or written with signs for ten and hundred, up to 999; null for anything else."""
+    plain = F.translate(text, "两" + _CN_DIGITS + "零", "2123456789")
+    hundreds = F.regexp_extract(plain, "^([1-9]?)百", 1)
+    tail = F.regexp_replace(plain, "^[1-9]?百", "")
+    tens, ones = F.regexp_extract(tail, "^([1-9]?)十", 1), F.regexp_extract(tail, "([1-9])$", 1)
+    part = lambda sign, digit, whole, times: F.when(F.contains(whole, F.lit(sign)), F.coalesce(digit.try_cast("int"), F.lit(1)) * times).otherwise(0)
+    total = part("百", hundreds, plain, 100) + part(_CN_TEN, tens, tail, 10) + F.coalesce(ones.try_cast("int"), F.lit(0))
+    formed = text.rlike(f"^(?:[两{_CN_DIGITS}]?百)?零?(?:[两{_CN_DIGITS}]?{_CN_TEN})?[两{_CN_DIGITS}]?$")
+    return F.when(text.rlike(r"^\d+$"), text.try_cast("int")).when(formed & (total > 0), total)
+
+
 def number_or_cjk(text: Column) -> Column:
     return F.coalesce(F.when(text.rlike(r"^\d+$"), text.try_cast("int")), cjk_number(text))
 

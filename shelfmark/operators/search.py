@@ -51,3 +51,32 @@ def any_field(targets: DataFrame, key: str, hits: list[DataFrame]) -> DataFrame:
     """Targets whose key is among any of the hits (each a table with that key): a union, not an OR of lookups."""
     found = reduce(DataFrame.unionByName, [h.select(key) for h in hits]).distinct()
     return targets.join(found, key, "left_semi")
+
+
+#: The parts of a resource's stored listing that are searched: its title, lists of names, and names and paths of files.
+SNAPSHOT = (
+    "share_snapshot struct<status string, share_title string, names array<string>, search_names array<string>, root_names array<string>, "
+    "files array<struct<name string, path string>>>, extra string"
+)
+
+
+def snapshot_texts(metadata: Column) -> Column:
+    """The searchable texts of a resource's metadata (JSON): its remark, and the listing where that was read without error.
+
+    Other keys and deeper paths are not searched. What is no JSON, or not of this shape, has no texts.
+    """
+    none = F.array().cast("array<string>")
+
+    def of(m: Column) -> Column:
+        s = m["share_snapshot"]
+        lists = [F.coalesce(s[n], none) for n in ("names", "search_names", "root_names")]
+        files = F.flatten(F.transform(F.coalesce(s["files"], F.array().cast("array<struct<name:string,path:string>>")), lambda f: F.array(f["name"], f["path"])))
+        listed = F.when(s["status"] == "ok", F.concat(F.array(s["share_title"]), *lists, files)).otherwise(none)
+        return F.filter(F.concat(F.array(m["extra"]), F.coalesce(listed, none)), lambda t: t.isNotNull())
+
+    return F.coalesce(let(F.from_json(metadata, SNAPSHOT), of), none)
+
+
+def snapshot_holds(metadata: Column, term: str) -> Column:
+    """Whether any searchable text of the metadata holds the term, ASCII case aside."""
+    return F.exists(snapshot_texts(metadata), lambda t: like_literal(t, term))

@@ -311,3 +311,50 @@ COLLECTION = "(?i)(?:" + "|".join(COLLECTION_MARKERS) + ")"
 STRIP_COLLECTION = (
     r"\s*[（(【\[]\s*(?:系列|合集|合辑|合輯|套装|套裝|套盒|合集包|全系列|系列电影|系列電影|系列合集|全集)\s*[）)】\]]?\s*$"
 )
+
+# --- fixed values: pages that messages link to ------------------------------------------------
+PAGE_HOSTS = ("telegra.ph", "files.catbox.moe")
+ICON_PAGE_HOSTS = ("telegra.ph",)
+PAGE_LINK = r"(?i)https?://[^\s<>]+"
+PAGE_LINK_END = r"[，。；;）)]+$"
+PAGE_TITLE_END = r"(?i)\s*[–—-]\s*Telegraph\s*$"
+PAGE_HEADING = r"(?m)^\s*([📺🎥🎬👤🗂].+)$"
+HASH_START = r"(?i)^ed2k://"
+
+# --- fixed values: seasons and episodes in file names -----------------------------------------
+SEASON_EPISODE = r"(?i)(?:^|[ .\-_ /\[(])s(\d{1,4})[ .\-_]*[eEpP](\d{1,4})(?:$|[ .\-_/()\[\]])"
+SEASON_X_EPISODE = r"(?i)(?:^|[ ._ /\[(])(\d{1,2})x(\d{1,4})(?:$|[ ._/)\]])"
+BARE_SEASON = r"(?i)^S(\d{1,4})$"
+SEASON_WORD = r"(?i)(?:^|[ .\-_ /\[(])season[ .\-_]*(\d{1,4})(?:$|[ .\-_/)\]])"
+SEASON_ZH = r"第\s*([一二三四五六七八九十百零\d]+)\s*季"
+EPISODE_WORD = r"(?i)(?:^|[ .\-_ /\[(])(?:ep|episode)[ .\-_]*(\d{1,4})(?:$|[ .\-_/)\]])"
+EPISODE_E = r"(?i)(?:^|[ .\-_ /\[(])e(\d{1,4})(?:$|[ .\-_/)\]])"
+EPISODE_ZH = r"第\s*([一二三四五六七八九十百零\d]+)\s*[集话話回]"
+DATE_EPISODES = (
+    r"(?<!\d)(20\d{2})[.\-_ ](0[1-9]|1[0-2])[.\-_ ]([0-3]\d)(?!\d)",
+    r"(?<!\d)(20\d{2})(0[1-9]|1[0-2])([0-3]\d)(?!\d)",
+)
+SPECIAL_WORD = r"(?i)(?:^|[ .\-_ /\[(])(?:specials?|sp|ova|oad|oads|extra(?:s)?|ncop|nced)(?:$|[ .\-_/)\]])"
+SPECIAL_ZH = r"(?i)(?:特别篇|特別篇|番外(?:篇)?|外传|外傳|总集篇|總集篇|OVA|OAD)"
+SPECIAL_CODE = r"(?i)(?:^|[ .\-_ /\[(])(?:sp|ova|oad)(\d{1,4})(?:$|[ .\-_/)\]])"
+FIRST_SEASON_FLAG = r"(?i)ep|episode|第|话|話|回"
+
+# --- fixed values: what messages state of a work ----------------------------------------------
+STATED_TITLE = r"(?:名称|片名|标题)\s*[:：]\s*([^\n]+)"
+STATED_YEAR = r"(?:发行时间|上映时间|首播|年份)\s*[:：]\s*((?:19|20)\d{2})"
+ANY_YEAR = r"(?<!\d)((?:19|20)\d{2})(?!\d)"
+STATED_ICON = r"^(?:🎬|📺|🎥|🗂)\s*"
+GENERIC_TITLES = (
+    "美剧", "电影", "电视剧", "资源", "合集", "无海报", "未命名", "jack分享", "1080p", "1080ps01全", "标签", "链接",
+)
+GENERIC_TITLE_STARTS = ("1080p", "jack")
+UNSAFE_TITLE_ENDS = ("总集版", "合集", "剧场版", "特别篇", "番外", "完结篇", "最终章")
+STATED_SEASON = (r"第([一二三四五六七八九十\d]+)季", r"(?i)S(\d{1,2})", r"(?i)Season\s*(\d+)")
+STATED_NOISE = (
+    r"[（(](?:19|20)\d{2}(?:[-/.]\d{1,2}[-/.]\d{1,2})?[）)]",
+    r"[（(](?:[A-Za-z][^）)]*|B站版|国配[^）)]*|粤语[^）)]*)[）)]",
+    r"(?i)(?:4k|1080p|720p|hdr|dv|sdr|remux|bluray|web-?dl).*$",
+    r"(?i)(?:臻彩|杜比视界|国配|粤语|双声道|高码|原盘|特效字幕|已刮削.*|更新至.*|更至.*|全\d+集|S\d+.*|第[一二三四五六七八九十\d]+季).*$",
+)
+STATED_TYPES = (("movie", r"#电影|类型\s*[:：]\s*电影"), ("tv", r"#电视剧|#剧集|类型\s*[:：]\s*电视剧"))
+LATIN_TITLE = r"^[A-Za-z0-9 :\-]+$"

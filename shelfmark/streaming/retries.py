@@ -81,8 +81,8 @@ def live_link_states(attempts: DataFrame, key: str, most: int = MAX_ATTEMPTS) ->
     watermark has passed its next attempt without one, the row ``due``.
 
     ``attempts``: the key, attempt_at, place (order among attempts of one time), outcome valid, invalid, transient or gate.
-    Attempts of one batch are folded in their order; of different batches, in the order of arrival. Attempts behind the
-    watermark (the span of the retry budget) still count. Folded so, the last ``state`` of a link is that of
+    Attempts of one batch are folded in their order; of different batches, in the order of arrival; those behind the
+    watermark (the span of the retry budget) do not count. Folded so, the last ``state`` of a link is that of
     ``operators.retry.link_states``. The session has to have the state store of STATE_STORE.
     """
     kind = dict(attempts.dtypes)[key]
