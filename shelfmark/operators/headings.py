@@ -44,17 +44,20 @@ def infer_type(title: Column, extra: Column) -> Column:
     return F.when(tv & ~movie, "tv").when(movie & ~tv, "movie").otherwise("unknown")
 
 
-def technical_tags(text: Column, tag_rules=rules.TECHNICAL_TAGS) -> Column:
-    """Ordered distinct technical labels found in the text."""
+def technical_tags(df: DataFrame, text: str, out: str, tag_rules=rules.TECHNICAL_TAGS) -> DataFrame:
+    """``df`` with the ordered distinct technical labels found in a text, column by column: each text is tested for all at once first."""
 
     def tag(label, pattern):
         shown = F.concat(F.lit(label), F.regexp_extract(text, pattern, 1)) if label in rules.TAGS_WITH_CHANNELS else F.lit(label)
-        return F.when(text.rlike(pattern), shown)
+        return F.when(F.col(text).rlike(pattern), shown)
 
-    tags = F.array_distinct(F.array_compact(F.array(*[tag(*rule) for rule in tag_rules])))
+    any_of = "|".join(f"(?:{pattern})" for _, pattern in tag_rules)
+    none = F.array().cast("array<string>")
+    found = F.when(F.col(text).rlike(any_of), F.array_compact(F.array(*[tag(*rule) for rule in tag_rules])))
+    df = df.withColumn(out, F.array_distinct(F.coalesce(found, none)))
     for implied, by in rules.TAG_IMPLIED_BY.items():
-        tags = F.when(F.array_contains(tags, by), F.array_remove(tags, implied)).otherwise(tags)
-    return tags
+        df = df.withColumn(out, F.when(F.array_contains(out, by), F.array_remove(out, implied)).otherwise(F.col(out)))
+    return df
 
 
 def hdr_tags(text: Column) -> Column:
@@ -117,17 +120,20 @@ def heading_title(h: Column, kind: Column) -> Column:
 
 def episode_info(df: DataFrame, h: str) -> DataFrame:
     """Season, episode and range columns of the heading in column ``h``."""
-    t = F.col(h)
+    # most headings have no mark of a number of either kind, and are not looked at further
+    df = df.withColumn("_t", F.when(F.col(h).rlike(rules.EPISODE_HINT), F.col(h)))
+    t = F.col("_t")
+    df = df.withColumns({"_sc_t": first_match(t, rules.SEASON_CN), "_own_t": first_match(t, rules.PROGRESS_OWNER)})
     i = {
         "_ep_s": first_int(t, rules.EPISODE, 1), "_ep_e": first_int(t, rules.EPISODE, 2),
         "_er_a": first_int(t, rules.EPISODE_RANGE, 1), "_er_b": first_int(t, rules.EPISODE_RANGE, 2),
         "_sr_a": first_int(t, rules.SEASON_RANGE, 1), "_sr_b": first_int(t, rules.SEASON_RANGE, 2),
         "_s": first_int(t, rules.SEASON), "_st": first_int(t, rules.SEASON_TOTAL),
         "_ss_a": first_int(t, rules.SEASON_SPAN, 1), "_ss_b": first_int(t, rules.SEASON_SPAN, 2),
-        "_s1": first_int(t, rules.SEASON_SINGLE), "_sc": cjk_number(first_match(t, rules.SEASON_CN)),
+        "_s1": first_int(t, rules.SEASON_SINGLE), "_sc": cjk_number(F.col("_sc_t")),
         "_es_a": first_int(t, rules.EPISODE_SPAN_CN, 1), "_es_b": first_int(t, rules.EPISODE_SPAN_CN, 2),
         "_et": first_int(t, rules.EPISODE_TOTAL), "_up": first_int(t, rules.EPISODE_PROGRESS),
-        "_owner": number_or_cjk(first_match(t, rules.PROGRESS_OWNER)),
+        "_owner": number_or_cjk(F.col("_own_t")),
     }
     df = df.withColumns(i)
     df = df.withColumn("_e1", F.when(F.col("_up").isNull(), first_int(t, rules.EPISODE_SINGLE)))
@@ -174,17 +180,20 @@ def episode_info(df: DataFrame, h: str) -> DataFrame:
     })
     # Last resort: a bare number range right behind the year.
     after = f"(?:{rules.BRACKETED_YEAR})"
-    plain = F.when(t.rlike(rules.BRACKETED_YEAR), F.regexp_extract(t, after + rules.BARE_SPAN, 2)).otherwise(F.regexp_extract(t, rules.FIRST_YEAR + rules.BARE_SPAN, 2))
-    plain_end = F.when(t.rlike(rules.BRACKETED_YEAR), F.regexp_extract(t, after + rules.BARE_SPAN, 3)).otherwise(F.regexp_extract(t, rules.FIRST_YEAR + rules.BARE_SPAN, 3))
-    a, b = plain.try_cast("int"), plain_end.try_cast("int")
-    bare = F.col("_episode").isNull() & F.col("_range").isNull() & F.col("_latest").isNull() & (a >= 1) & (b > a) & (b <= MAX_TOTAL)
+    df = df.withColumn("_span_t", F.when(F.col("_episode").isNull() & t.rlike(rules.BARE_HINT), t)).withColumn("_bracketed", F.col("_span_t").rlike(rules.BRACKETED_YEAR))
+    behind = lambda group: F.when(
+        F.col("_bracketed"), F.regexp_extract("_span_t", after + rules.BARE_SPAN, group)
+    ).otherwise(F.regexp_extract("_span_t", rules.FIRST_YEAR + rules.BARE_SPAN, group)).try_cast("int")
+    df = df.withColumns({"_a": behind(2), "_b": behind(3)})
+    a, b = F.col("_a"), F.col("_b")
+    bare = a.isNotNull() & F.col("_episode").isNull() & F.col("_range").isNull() & F.col("_latest").isNull() & (a >= 1) & (b > a) & (b <= MAX_TOTAL)
     return df.withColumns({
         "episode_range": F.when(bare, span(a, b)).otherwise(F.col("_range")),
         "episode": F.when(bare, a).otherwise(F.col("_episode")),
         "season": F.when(bare, F.coalesce("_season", F.lit(1))).otherwise(F.col("_season")),
         "season_end": F.when(F.col("_season_end") > F.coalesce("_season", F.lit(0)), F.col("_season_end")),
         "episode_total": F.col("_total"), "latest_episode": F.col("_latest"),
-    }).drop(*i, "_e1", "_season", "_season_end", "_range", "_latest", "_single", "_total", "_episode")
+    }).drop(*i, "_t", "_sc_t", "_own_t", "_span_t", "_bracketed", "_a", "_b", "_e1", "_season", "_season_end", "_range", "_latest", "_single", "_total", "_episode")
 
 
 def parse_headings(df: DataFrame, column: str) -> DataFrame:
@@ -205,10 +214,10 @@ def parse_headings(df: DataFrame, column: str) -> DataFrame:
         "year": F.when(kind != "person", F.coalesce(first_int(h, rules.BRACKETED_YEAR), first_int(h, rules.YEAR))),
         "is_collection": has_collection_marker(h),
         "media_info": media_info,
-        "quality_tags": technical_tags(F.concat_ws(" ", h, media_info)),
         "codec": codec_label(h), "hdr": hdr_tags(h), "audio": audio_label(h),
         "channel_fields": labelled_fields(F.col(column)),
     })
+    out = technical_tags(out.withColumn("_marked", F.concat_ws(" ", h, "media_info")), "_marked", "quality_tags").drop("_marked")
     numbered = F.col("season").isNotNull() | F.col("episode").isNotNull()
     kind_type = F.when(kind != "media", "unknown").when(numbered, "tv").otherwise(infer_type(F.col("title"), h))
     out = out.withColumn("media_type", kind_type).withColumn("quality", quality_label(h, F.col("quality_tags")))

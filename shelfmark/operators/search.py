@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower, let, like_literal
+from ..session import shared_folder
 
 GRAM = 3
 
@@ -34,17 +37,66 @@ def postings(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     return texts.select(F.explode(grams(F.col(text))).alias("gram"), key)
 
 
+def ascii_lowered(term: str) -> str:
+    """A term as the texts are compared: A-Z in lower case, other letters as they are."""
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in term)
+
+
+def holds_all(text: Column, terms: list[str]) -> Column:
+    """Whether a text holds all terms, ASCII case aside; a text holds no terms at all in any case, unless it is null."""
+    return reduce(lambda a, b: a & b, [like_literal(text, t) for t in terms], text.isNotNull())
+
+
+def term_grams(terms: list[str]) -> list[str]:
+    """The distinct grams of all terms; none where a term has too few characters, as then grams find nothing."""
+    if not terms or min(map(len, terms)) < GRAM:
+        return []
+    return sorted({ascii_lowered(t)[i : i + GRAM] for t in terms for i in range(len(t) - GRAM + 1)})
+
+
 def search(texts: DataFrame, key: str, terms: list[str], text: str = "text") -> DataFrame:
-    """Texts that hold all terms, ASCII case aside.
+    """Texts that hold all terms, ASCII case aside, by a scan; all that are not null for no terms."""
+    return texts.filter(holds_all(F.col(text), terms))
+
+
+@dataclass(frozen=True)
+class Postings:
+    """Stored postings: (bucket, gram, key), a folder for each bucket of grams, ordered by gram inside."""
+
+    path: str
+    key: str
+    buckets: int
+
+    def hits(self, spark: SparkSession, wanted: list[str]) -> DataFrame:
+        """(key) of texts that have all the grams; only the buckets of these are read, and in them only their rows."""
+        stored = spark.read.parquet(self.path)
+        asked = spark.createDataFrame([(g,) for g in wanted], "gram string").select(gram_bucket(F.col("gram"), self.buckets)).distinct()
+        numbers = [r[0] for r in asked.collect()]  # as many as the terms have grams
+        rows = stored.filter(F.col("bucket").isin(numbers) & F.col("gram").isin(wanted))
+        return rows.groupBy(self.key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == len(wanted)).select(self.key)
+
+    def search(self, texts: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
+        """What ``search`` gives, by grams where all terms have enough characters: their texts are found and then verified."""
+        wanted = term_grams(terms)
+        if not wanted:
+            return search(texts, self.key, terms, text)
+        return texts.join(self.hits(texts.sparkSession, wanted), self.key, "left_semi").filter(holds_all(F.col(text), terms))
+
+
+def gram_bucket(gram: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(buckets)).cast("int")
+
+
+def store_postings(texts: DataFrame, key: str, text: str = "text", buckets: int = 64) -> Postings:
+    """Cut all texts into grams once and store these; each key is one text's.
 
-    If all terms have three characters, texts are found by their grams and then verified, else all are scanned.
+    A gram that a third of all texts have is in one bucket, but its rows are dealt to files by their key as well.
     """
-    holds = reduce(lambda a, b: a & b, [like_literal(F.col(text), t) for t in terms])
-    if min(map(len, terms)) < GRAM:
-        return texts.filter(holds)
-    wanted = sorted({t.lower()[i : i + GRAM] for t in terms for i in range(len(t) - GRAM + 1)})
-    hits = postings(texts, key, text).filter(F.col("gram").isin(wanted)).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return texts.join(hits.filter(F.col("_n") == len(wanted)), key, "left_semi").filter(holds)
+    path = f"{shared_folder(texts.sparkSession)}/postings/{uuid.uuid4().hex}"
+    rows = postings(texts, key, text).withColumn("bucket", gram_bucket(F.col("gram"), buckets))
+    spread = rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(4)))
+    spread.sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(path)
+    return Postings(path, key, buckets)
 
 
 def any_field(targets: DataFrame, key: str, hits: list[DataFrame]) -> DataFrame:

@@ -24,9 +24,27 @@ def gram_postings(t: Tables):
     return search.postings(t.documents, "doc_id").groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
 
 
-@query("X-02", sql=f"SELECT doc_id, n_chars FROM documents WHERE contains({_LOWER}, 'ation') AND contains({_LOWER}, 'enth')")
+_STORED: dict[tuple[str, str], search.Postings] = {}
+
+
+def _postings(t: Tables) -> search.Postings:
+    """The stored postings of the documents, made once in an application."""
+    which = t.spark.sparkContext.applicationId, t.sf_dir
+    if which not in _STORED:
+        _STORED[which] = search.store_postings(t.documents, "doc_id")
+    return _STORED[which]
+
+
+@query("X-01", "X-02", sql=f"SELECT doc_id, n_chars FROM documents WHERE contains({_LOWER}, 'ation') AND contains({_LOWER}, 'enth')")
 def gram_search(t: Tables):
-    return search.search(t.documents, "doc_id", ["Ation", "enth"]).select("doc_id", "n_chars")
+    return _postings(t).search(t.documents, ["Ation", "enth"]).select("doc_id", "n_chars")
+
+
+@query("X-01", "X-02", sql=f"SELECT doc_id, n_chars FROM documents WHERE contains({_LOWER}, 'été') AND contains({_LOWER}, 'Éta') OR contains({_LOWER}, 'tión')")
+def accented_search(t: Tables):
+    stored = _postings(t)
+    both = stored.search(t.documents, ["été", "Éta"]).select("doc_id", "n_chars")
+    return both.unionByName(stored.search(t.documents, ["TIón"]).select("doc_id", "n_chars")).distinct()
 
 
 @query("X-02", sql=f"SELECT doc_id, n_chars FROM documents WHERE contains({_LOWER}, 'ou') AND contains({_LOWER}, 'ationer')")
@@ -156,7 +174,7 @@ def link_rows(t: Tables):
     return links.select("id", "source_key", "provider", "url", "label", "context", F.concat_ws("/", who["provider"], who["code"], who["password"]).alias("identity"))
 
 
-@query("E-05", "E-06", "E-07", "E-08", "F-03", "F-04", "F-21", sql=_POST + """SELECT id, regexp_extract(h, '(Work \\d+)', 1) AS title, CAST(regexp_extract(h, '\\((\\d{4})\\)', 1) AS INT) AS year,
+@query("E-05", "E-06", "E-07", "E-08", "F-03", "F-04", "F-21", sql=_POST + """SELECT id, trim(regexp_replace(regexp_extract(h, '(Work \\d+)', 1), '(1080|2160|720).*$', '')) AS title, CAST(regexp_extract(h, '\\((\\d{4})\\)', 1) AS INT) AS year,
     CASE WHEN h LIKE '%电影%' THEN NULL ELSE CAST(regexp_extract(h, 'S(\\d+)', 1) AS INT) END AS season, CASE WHEN h LIKE '%电影%' THEN NULL ELSE CAST(regexp_extract(h, 'E(\\d+)', 1) AS INT) END AS episode,
     CASE WHEN h LIKE '%电影%' THEN 'movie' ELSE 'tv' END AS media_type, CASE WHEN h LIKE '%电影%' THEN '2160P' ELSE '1080P' END AS quality,
     CASE WHEN h LIKE '%电影%' THEN '2160p,H.265,Dolby Vision' ELSE '1080p,H.264' END AS tags, CASE WHEN h LIKE '%电影%' THEN 'HEVC' ELSE 'X264' END AS codec, CASE WHEN h LIKE '%电影%' THEN 'DV' END AS hdr,

@@ -150,6 +150,8 @@ EPISODE_PROGRESS = r"(?:更新|更)\s*[至到]?\s*第?\s*(\d{1,4})\s*(?:集|话|
 PROGRESS_OWNER = r"第\s*(\d{1,2}|[一二三四五六七八九十]{1,3})\s*季\s*更新"
 EPISODE_SINGLE = r"第\s*(\d{1,4})\s*集"
 BARE_SPAN = r"\s*[\[(（【]?\s*(\d{1,4})\s*[-~至到]\s*(\d{1,4})\s*(?=[\])）】]|$|\s|[-–—|·])"
+EPISODE_HINT = r"(?iU)[SE]\d|[季集话期更]|\d\s*[-~至到]"
+BARE_HINT = r"(?U)\d\s*[-~至到]\s*\d"
 FILE_EPISODE = r"(?i)(?:^|[._\-\s\[\]()/【】])S(\d{1,2})[._\-\s]*E(\d{1,3})(?=$|[._\-\s\[\]()/【】])"
 FILE_SEASON = r"(?i)(?:^|[._\-\s\[\]()/【】])S(\d{1,2})(?=$|[._\-\s\[\]()/【】])"
 FILE_SPAN = (

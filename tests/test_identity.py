@@ -110,3 +110,17 @@ def test_snapshots_of_any_shape(one):
     texts = ['{"extra": "e", "share_snapshot": {"status": "ok", "share_title": "t", "names": ["n"], "root_names": null, "files": [{"name": "f", "path": "p", "size": 1}], "note": "x"}}',
              '{"share_snapshot": {"status": "error", "names": ["n"]}}', "[]", "broken", None, '{"share_snapshot": "text"}']
     assert one(search.snapshot_texts, *texts) == [["e", "t", "n", "f", "p"], [], [], [], [], []]
+
+
+def test_stored_grams_find_what_a_scan_finds(spark):
+    import random
+
+    draw = random.Random(2)
+    rows = [(k, "".join(draw.choice("abAB éÉçñ中 ") for _ in range(draw.randint(0, 40)))) for k in range(400)] + [(1000, None), (1001, "")]
+    texts = spark.createDataFrame(rows, "id long, text string").repartition(3).cache()
+    stored = search.store_postings(texts, "id", buckets=5)
+    cases = [["abÉ"], ["ÉÉ"], ["éab", "BA"], ["中 a"], [], ["zzz"], [""], *[["".join(draw.choice("abABéÉ中") for _ in range(draw.randint(2, 4))) for _ in range(draw.randint(1, 2))] for _ in range(12)]]
+    low = search.ascii_lowered
+    for wanted in cases:
+        want = sorted(k for k, t in rows if t is not None and all(low(w) in low(t) for w in wanted))
+        assert sorted(r["id"] for r in stored.search(texts, wanted).collect()) == sorted(r["id"] for r in search.search(texts, "id", wanted).collect()) == want, wanted
