@@ -70,24 +70,73 @@ def test_copies_are_numbered(spark):
     )
 
 
-def quotients(weights, seats):
-    won = [0] * len(weights)
-    for _ in range(seats):
-        k = max((i for i in range(len(weights)) if weights[i] > 0), key=lambda i: (weights[i] / (2 * won[i] + 1), -i))
-        won[k] += 1
-    return won
-
-
-@pytest.mark.parametrize("weights,seats", [([5.0, 2.0, 1.0], 1), ([5.0, 2.0, 1.0, 0.0], 11), ([1.0] * 6, 4), ([53.0, 24.5, 23.1, 3.2, 0.4] * 3, 137), ([7.0], 9), ([3.0, 1.0], 0)])
+def quotients(weights, seats, most=None):
+    """(seats of each, who the next one goes to) by giving out one seat after the other."""
+    won, after = [0] * len(weights), None
+    for n in range(seats + 1):
+        open_ = [i for i in range(len(weights)) if weights[i] > 0 and (most is None or won[i] < most[i])]
+        if not open_:
+            break
+        k = max(open_, key=lambda i: (weights[i] / (2 * won[i] + 1), -i))
+        if n == seats:
+            after = k
+        else:
+            won[k] += 1
+    return won, after
+
+
+@pytest.mark.parametrize("weights,seats", [([5.0, 2.0, 1.0], 1), ([5.0, 2.0, 1.0, 0.0], 11), ([1.0] * 6, 4), ([53.0, 24.5, 23.1, 3.2, 0.4] * 3, 137), ([7.0], 9), ([3.0, 1.0], 0), ([94.0] + [1.2] * 5, 100), ([60.0] + [1.6] * 25, 50)])
 def test_sainte_lague_is_by_highest_quotients(spark, weights, seats):
     df = spark.createDataFrame([(i, w, seats, g) for g in ("p", "q") for i, w in enumerate(weights)], "i int, w double, s int, g string")
     for group in ([], ["g"]):
         part = df if group else df.filter("g = 'p'")
         got = {(r["g"], r["i"]): r["quota"] for r in mix.sainte_lague(part, ["i"], group, "w", "s", "quota").collect()}
-        want = quotients(weights, seats)
+        want, _ = quotients(weights, seats)
         assert got == {(g, i): want[i] for g in (("p", "q") if group else ("p",)) for i, w in enumerate(weights) if w > 0}
 
 
+def test_parties_that_are_full_drop_out(spark, draw):
+    for case in range(12):
+        weights = [round(draw.random() * draw.choice([1, 30]), 3) + 0.01 for _ in range(draw.randint(1, 9))]
+        most = [draw.randint(0, 12) for _ in weights]
+        seats = draw.randint(0, sum(most) + 3)
+        df = spark.createDataFrame([(i, w, seats, m) for i, (w, m) in enumerate(zip(weights, most))], "i int, w double, s int, m int")
+        rows = mix.sainte_lague(df, ["i"], [], "w", "s", "quota", "m").collect()
+        want, after = quotients(weights, seats, most)
+        assert {r["i"]: r["quota"] for r in rows} == dict(enumerate(want)), (weights, most, seats)
+        assert [r["i"] for r in rows if r["next_seat"]] == ([] if after is None else [after])
+
+
+def words_by_quotients(sizes, want, block_words, most=2):
+    """What each source is given: blocks one after the other to the highest quotient, the rest of the last to the next."""
+    names = sorted(want, key=lambda s: (s is None, (s or "").encode()))
+    block = max(1, min(block_words, math.floor(min(t for t in want.values() if t > 0) / mix.BLOCKS_EACH)))
+    every = math.floor(sum(want[s] for s in names) + 1e-6)
+    won, after = quotients([want[s] for s in names], every // block, [math.ceil(most * sizes[s] / block) for s in names])
+    return {s: min(most * sizes[s], won[i] * block + (every % block if i == after else 0)) for i, s in enumerate(names)}
+
+
+@pytest.mark.parametrize("block_words", [1, 7, 64])
+def test_what_the_mix_takes_is_by_highest_quotients(frame, draw, block_words):
+    sizes = {"a": 2_600, "b": 31, "c": 1_700, "d": 900, None: 44}
+    texts, names = [], []
+    for s, n in sizes.items():
+        while n:
+            k = min(n, draw.randint(1, 60))
+            texts.append(prose(draw, k))
+            names.append(s)
+            n -= k
+    docs = frame([(k, t, "en", s, 0, *"xyzrm") for k, (t, s) in enumerate(zip(texts, names))])
+    taken = Counter()
+    for r in mix.mix(docs, block_words=block_words, shard_words=700).collect():
+        taken[r["source"]] += r["taken"]
+    want = targets(sizes, mix.WEIGHTS, 1.5, 2)
+    given = words_by_quotients(sizes, want, block_words)
+    for s in sizes:  # a source's shards may each miss a part of their last block
+        assert abs(taken[s] - given[s]) <= (block_words if sizes[s] > 700 else 0)
+        assert abs(taken[s] - want[s]) <= max(1, want[s] / 32)
+
+
 def targets(sizes, weights, share, most):
     """By rounds: what is above a cap goes to the others by weight."""
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))

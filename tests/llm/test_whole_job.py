@@ -113,5 +113,6 @@ def test_small_sources_get_their_targets_too(frame, draw, sizes, shard_words):
         taken[r["source"]] += r["taken"]
         size[r["source"]], target[r["source"]] = r["source_size"], r["target"]
     assert sorted(size.values()) == sorted(sizes)
-    assert all(abs(taken[s] - target[s]) < 1 for s in size)
+    # blocks of one word, by highest quotients: a small source is given the nearest word, the rest falls to the large ones
+    assert all(abs(taken[s] - target[s]) <= max(1, target[s] / 100) for s in size)
     assert sum(taken.values()) == math.floor(sum(target.values()) + 1e-6)
