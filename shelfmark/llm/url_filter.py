@@ -89,12 +89,13 @@ def train(labelled: DataFrame, features: int = FEATURES, limit: int = TRAIN_URLS
         .select(url_host(F.col("url")).alias("_host"), url_path(F.col("url")).alias("_path"), "blocked")
     )
     rows = _hashed(rows, features).select("_features", "blocked").cache()
-    kinds = [r[0] for r in rows.select("blocked").distinct().collect()]
-    if len(kinds) < 2:
-        return float(kinds[0]) if kinds else 0.0
-    model = LogisticRegression(featuresCol="_features", labelCol="blocked", regParam=0.01, maxIter=50).fit(rows)
-    rows.unpersist()
-    return model
+    try:
+        kinds = [r[0] for r in rows.select("blocked").distinct().collect()]
+        if len(kinds) < 2:
+            return float(kinds[0]) if kinds else 0.0
+        return LogisticRegression(featuresCol="_features", labelCol="blocked", regParam=0.01, maxIter=50).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], model: LogisticRegressionModel | float, features: int = FEATURES) -> DataFrame:
@@ -104,16 +105,17 @@ def judge(pages: DataFrame, rules: Sequence[Rule], model: LogisticRegressionMode
     have an empty host and path, fit no rule that names a host, and are scored like any other.
     Columns of ``pages`` with the added names are replaced.
     """
-    host, path = url_host(F.col("url")), url_path(F.col("url"))
-    judged = pages.withColumn("_host", host).withColumn("_path", path)
+    # the page goes along as one column, so that no name of its own meets those the model adds
+    page = F.struct(*[F.col(f"`{c}`") for c in pages.columns])
+    judged = pages.select(page.alias("_page"), url_host(F.col("url")).alias("_host"), url_path(F.col("url")).alias("_path"))
     if isinstance(model, float):
-        judged = judged.withColumn("score", F.lit(model))
+        judged = judged.withColumn("_score", F.lit(model))
     else:
-        scored = model.transform(_hashed(judged, features))
-        judged = scored.withColumn("score", F.element_at(vector_to_array("probability"), 2))
-        judged = judged.drop("_grams", "_features", "rawPrediction", "probability", "prediction")
-    ruled = judged.withColumn("_rule", deciding_rule(F.col("_host"), F.col("_path"), rules))
-    return ruled.withColumns({
+        judged = model.transform(_hashed(judged, features)).withColumn("_score", F.element_at(vector_to_array("probability"), 2))
+    ruled = judged.select("_page", "_host", "_path", "_score", deciding_rule(F.col("_host"), F.col("_path"), rules).alias("_rule"))
+    added = {
         "host": F.col("_host"), "path": F.col("_path"), "rule": F.col("_rule")["name"],
-        "verdict": F.coalesce(F.col("_rule")["verdict"], F.when(F.col("score") >= 0.5, "block").otherwise("allow")),
-    }).drop("_host", "_path", "_rule")
+        "verdict": F.coalesce(F.col("_rule")["verdict"], F.when(F.col("_score") >= 0.5, "block").otherwise("allow")), "score": F.col("_score"),
+    }
+    kept = [F.col("_page").getField(c).alias(c) for c in pages.columns if c not in added]
+    return ruled.select(*kept, *[c.alias(name) for name, c in added.items()])
