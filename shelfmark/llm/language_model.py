@@ -71,7 +71,11 @@ class Vocabulary:
 
 
 def hold(counts: DataFrame, held: int = HELD, symbols: int = SYMBOLS) -> Vocabulary:
-    """The most frequent tokens: all that are seen ``least`` times, the least number that keeps them within ``held``."""
+    """The most frequent tokens: all that are seen ``least`` times, the least number that keeps them within ``held``.
+
+    The ``symbols`` most frequent ones are held in any case, also where so many tokens are equally frequent that the
+    others are not.
+    """
     steps = counts.groupBy(F.floor(F.log2("n") * 16).alias("step")).agg(
         F.count(F.lit(1)).alias("k"), F.min("n").alias("low"), F.sum("n").alias("n")
     ).orderBy(F.desc("step")).collect()
@@ -82,7 +86,8 @@ def hold(counts: DataFrame, held: int = HELD, symbols: int = SYMBOLS) -> Vocabul
         if sum_ > held:
             break
         least = r["low"]
-    rows = counts.filter(F.col("n") >= least).toPandas().sort_values(["n", "token"], ascending=[False, True])
+    first = counts.orderBy(F.desc("n"), "token").limit(symbols)
+    rows = counts.filter(F.col("n") >= least).unionAll(first).distinct().toPandas().sort_values(["n", "token"], ascending=[False, True])
     tokens = [t.encode("utf-8", "surrogatepass") for t in rows["token"]]
     own = min(symbols, len(tokens))
     symbol = np.array([k if k < own else own + class_of_bytes(t) for k, t in enumerate(tokens)], np.int64)
