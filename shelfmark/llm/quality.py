@@ -21,8 +21,6 @@ from .labelled import calibrated, sigmoid, training_documents
 
 PASSAGE = 48
 SHAPES = 48
-#: Passages, at most, of one document that are fitted: spread evenly over it. Scoring takes all.
-TRAIN_PASSAGES = 64
 HIDDEN, ATTENTION = 16, 8
 EPOCHS, BATCH, RATE, DECAY = 30, 64, 0.01, 1e-4
 
@@ -175,8 +173,7 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, counts = passages(batch.column(2).to_pylist(), measured)
         rows, begin = [], 0
         for n in counts:
-            some = np.unique(np.linspace(0, n - 1, min(n, TRAIN_PASSAGES)).round().astype(np.int64))
-            rows.append(x[begin + some].tobytes())
+            rows.append(x[begin : begin + n].tobytes())
             begin += n
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["doc_id", "label", "x"])
 
