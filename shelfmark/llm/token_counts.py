@@ -7,7 +7,6 @@ never built.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,8 +17,6 @@ from pyspark.sql import DataFrame
 REMEMBERED = 250_000
 #: Longer words are counted each time they come.
 REMEMBERED_CHARS = 200
-#: No length makes a word unknown.
-MAX_WORD_CHARS = math.inf
 
 
 class LongestMatch:

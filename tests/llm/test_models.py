@@ -23,8 +23,6 @@ def remainder(doc_id, n):
 
 def greedy(word, first, inner):
     """(pieces, unknown) by trying the longest piece first."""
-    if len(word) > token_counts.MAX_WORD_CHARS:
-        return 1, 1
     at = pieces = 0
     while at < len(word):
         known = inner if at else first

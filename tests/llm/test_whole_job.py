@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from odd_cases import rows, word
 
-from shelfmark.llm import decontaminate, mix, queries, token_counts, toxicity
+from shelfmark.llm import decontaminate, language_model, mix, quality, queries, token_counts, toxicity, url_filter
 
 # --- token counts ---------------------------------------------------------------------------
 
@@ -116,3 +116,33 @@ def test_small_sources_get_their_targets_too(frame, draw, sizes, shard_words):
     # blocks of one word, by highest quotients: a small source is given the nearest word, the rest falls to the large ones
     assert all(abs(taken[s] - target[s]) <= max(1, target[s] / 100) for s in size)
     assert sum(taken.values()) == math.floor(sum(target.values()) + 1e-6)
+
+
+# --- models ---------------------------------------------------------------------------------
+
+
+def test_the_most_frequent_tokens_are_symbols_however_many_are_equal(spark):
+    counts = spark.createDataFrame([(f"t{k:03}", 7) for k in range(300)] + [("end", 3)], "token string, n long")
+    few = language_model.hold(counts, held=20, symbols=16)
+    assert few.symbols == 16 and sorted(few.place) == [f"t{k:03}".encode() for k in range(16)]
+    assert language_model.hold(counts, held=1_000, symbols=16).symbols == 16 and language_model.hold(counts.limit(0)).symbols == 0
+
+
+def test_quality_is_fitted_on_all_passages(spark, draw):
+    import pyarrow as pa
+
+    text = " ".join(word(draw) for _ in range(quality.PASSAGE * 200 + 1))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "label": pa.array([1, 0], pa.int32()), "text": [text, "short"]})
+    (out,) = quality._encoded(iter([batch]))
+    assert [len(b.as_py()) // (4 * quality.FEATURES) for b in out.column(2)] == [201, 1]
+
+
+def test_pages_may_have_columns_of_any_name(spark):
+    schema = "page_id long, url string, probability string, score string, _host string, _features string, rule string, rawPrediction string"
+    pages = spark.createDataFrame([(k, f"https://{'good' if k % 2 else 'evil'}{k}.net/a/{k}", *"abcdef") for k in range(40)], schema)
+    labelled = pages.selectExpr("url", "double(page_id % 2 = 0) as blocked")
+    judged = url_filter.judge(pages, (url_filter.Rule("block", "good1.net", "/"),), url_filter.train(labelled))
+    assert set(judged.columns) == {*pages.columns, "host", "path", "verdict"}
+    rows = judged.collect()
+    assert {(r["probability"], r["_host"], r["_features"], r["rawPrediction"]) for r in rows} == {("a", "c", "d", "f")}
+    assert all(r["verdict"] == ("block" if r["page_id"] % 2 == 0 or r["page_id"] == 1 else "allow") for r in rows)
