@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.text import clean_person_name, first_int, let, title_key, trim_unbalanced
+from ..functions.urls import share_identity
 from .resolve import EXACT_SCORE
 
 # The second score's weights, its floor, and what a refuted rival keeps at most.
@@ -107,13 +108,41 @@ def mutual_matches(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     return ours.join(single, "xid").filter(F.col("_t.back_xid") == F.col("xid")).select("id", "xid", F.col("_t.catalogue_id").alias("catalogue_id"))
 
 
+# Codes that say a share is gone, and those that only bar the way to it.
+GONE_CODES, BARRED_CODES = (4100009, 4100010, 4100018), (4100008, 4100012)
+
+
+def share_groups(resources: DataFrame) -> DataFrame:
+    """``resources`` (id, url, ...) with ``share``: the identity that a link check is of. What is no share is its own."""
+    who = share_identity(F.col("url"))
+    known = F.concat_ws("/", who["provider"], who["code"], who["password"])
+    return resources.withColumn("share", F.when(who.isNotNull(), known).otherwise(F.concat(F.lit("invalid/"), F.col("id").cast("string"))))
+
+
+def checked_resources(resources: DataFrame, probes: DataFrame) -> DataFrame:
+    """(id, share, action): what one check of each share says of all its resources.
+
+    ``probes`` (share, code): code null for a share that answers, else its error. ``available`` is written back, a share
+    that is gone is to be ``remove``d, one that only bars the way is ``protected``, and any other answer says nothing.
+    Shares without a probe are ``unchecked``.
+    """
+    one = probes.groupBy("share").agg(F.bool_or(F.col("code").isNull()).alias("_fine"), F.min("code").alias("_code"), F.lit(True).alias("_probed"))
+    action = (
+        F.when(F.col("_probed").isNull(), "unchecked").when(F.col("_fine"), "available").when(F.col("_code").isin(*GONE_CODES), "remove")
+        .when(F.col("_code").isin(*BARRED_CODES), "protected").otherwise("unknown")
+    )
+    return share_groups(resources).join(one, "share", "left").select("id", "share", action.alias("action"))
+
+
 def dead_resource_changes(resources: DataFrame, works: DataFrame, probes: DataFrame) -> DataFrame:
     """(work_id, removed, action): what removing dead resources does to works without a confirmed identity.
 
-    A resource goes only if its URL is still the one that was checked. A work that keeps some is opened again, one that keeps none is dropped.
+    A resource goes only if its URL and its metadata are still those that were checked, a null one included (``probes``: id,
+    url, metadata, state). A work that keeps some is opened again, one that keeps none is dropped.
     """
-    dead = probes.filter(F.col("state") == "invalid").select(F.col("id").alias("_id"), F.col("url").alias("_url"))
-    gone = resources.join(dead, (F.col("id") == F.col("_id")) & (F.col("url") == F.col("_url")), "left")
+    dead = probes.filter(F.col("state") == "invalid").select(F.col("id").alias("_id"), F.col("url").alias("_url"), F.col("metadata").alias("_metadata")).distinct()
+    same = (F.col("id") == F.col("_id")) & (F.col("url") == F.col("_url")) & F.col("metadata").eqNullSafe(F.col("_metadata"))
+    gone = resources.join(dead, same, "left")
     counts = gone.groupBy("work_id").agg(F.count("_id").alias("removed"), F.count(F.lit(1)).alias("_n")).filter("removed > 0")
     open_ = (F.col("status") != "matched") & F.col("catalogue_id").isNull()
     action = F.when(~open_, "keep").when(F.col("removed") == F.col("_n"), "drop").otherwise("reopen")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import attribution, evidence, identify, pages, search, terms
+from ..operators import attribution, evidence, fallbacks, identify, pages, search, terms
 from ..sources import intake
 from ..streaming import chain, retries
 from ..streaming import messages as streams
@@ -284,3 +284,85 @@ def streamed_retry_states(t: Tables):
         t.spark.conf.unset(retries.STATE_STORE[0]) if before is None else t.spark.conf.set(retries.STATE_STORE[0], before)
     return states.filter(F.col("event") == "state").select("link", "status", "attempts", "next_retry_at")
 
+
+
+# --- fallbacks and links ----------------------------------------------------------------------------
+
+@query("R-18", sql="""WITH w AS (SELECT o_orderkey AS work_id, o_custkey AS c, year(o_orderdate) AS y, o_custkey % 9 = 0 AS undated, o_custkey % 9 = 1 AS two, o_custkey % 11 = 0 AS collection, o_custkey % 5 = 0 AS episodic FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')),
+  s AS (SELECT DISTINCT 'x' || (c_custkey // 2) AS xid, 'n' || (c_custkey % 400) AS name_key, 1992 + c_custkey % 7 AS year, CASE WHEN c_custkey % 3 = 0 THEN 'tv' ELSE 'movie' END AS media_type FROM customer),
+  h AS (SELECT work_id, COUNT(DISTINCT xid) AS hits, min({'xid': xid, 'kind': media_type}) AS hit FROM w JOIN s ON s.year = y AND name_key IN ('n' || (c % 400), 'n' || (c % 300)) WHERE NOT undated AND NOT two AND NOT collection AND (NOT episodic OR media_type = 'tv') GROUP BY 1),
+  m AS (SELECT xid, COUNT(*) AS mapped, min({'t': media_type, 'i': catalogue_id}) AS to_ FROM (SELECT DISTINCT 'x' || (s_suppkey * 3 // 2) AS xid, CASE WHEN s_suppkey % 4 = 0 THEN 'tv' ELSE 'movie' END AS media_type, s_suppkey AS catalogue_id FROM supplier) GROUP BY 1),
+  f AS (SELECT w.*, hits, hit.xid AS xid, hit.kind AS kind, mapped, to_.t AS t, to_.i AS i, s_suppkey % 6 AS back, s_nationkey AS nation FROM w LEFT JOIN h USING (work_id) LEFT JOIN m ON m.xid = hit.xid LEFT JOIN supplier ON s_suppkey = to_.i),
+  g AS (SELECT *, CASE WHEN undated THEN 'missing_year' WHEN two THEN 'conflicting_years' WHEN collection THEN 'collection' WHEN hits IS NULL THEN 'no_exact_match' WHEN hits > 1 THEN 'ambiguous_second' WHEN mapped IS NULL THEN 'no_mapping' WHEN mapped > 1 THEN 'ambiguous_first'
+    WHEN t <> kind THEN 'type_conflict' WHEN back = 0 THEN 'external_id_mismatch' WHEN back = 1 THEN 'first_missing_year' WHEN 1992 + nation % 7 <> y THEN 'located_second_year' ELSE 'located' END AS status FROM f)
+  SELECT work_id, status, CASE WHEN hits = 1 THEN xid END AS xid, CASE WHEN status LIKE 'located%' THEN t END AS media_type, CASE WHEN status LIKE 'located%' THEN i END AS catalogue_id, CASE WHEN status LIKE 'located%' THEN status <> 'located' END AS year_override FROM g""")
+def second_catalogue(t: Tables):
+    c, y = F.col("o_custkey"), F.year("o_orderdate")
+    named = lambda n: F.concat(F.lit("n"), (c % n).cast("string"))
+    works = t.orders.select(
+        F.col("o_orderkey").alias("work_id"), F.when(c % 9 == 0, F.array().cast("array<int>")).when(c % 9 == 1, F.array(y, y + 1)).otherwise(F.array(y)).alias("years"), F.array(named(400), named(300)).alias("names"),
+        (c % 11 == 0).alias("collection"), (c % 5 == 0).alias("episodic"),
+    )
+    k, x = F.col("c_custkey"), lambda n: F.concat(F.lit("x"), F.floor(n).cast("string"))
+    second = t.customer.select(x(k / 2).alias("xid"), F.concat(F.lit("n"), (k % 400).cast("string")).alias("name_key"), (1992 + k % 7).cast("int").alias("year"), F.when(k % 3 == 0, "tv").otherwise("movie").alias("media_type"))
+    s = F.col("s_suppkey")
+    kind = F.when(s % 4 == 0, "tv").otherwise("movie")
+    mapping = t.supplier.select(x(s * 3 / 2).alias("xid"), kind.alias("media_type"), s.alias("catalogue_id"))
+    catalogue = t.supplier.select(s.alias("catalogue_id"), kind.alias("media_type"), F.when(s % 6 == 0, "other").otherwise(x(s * 3 / 2)).alias("xid"), F.when(s % 6 != 1, 1992 + F.col("s_nationkey") % 7).cast("int").alias("year"))
+    candidates = t.lineitem.filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("work_id"))
+    return fallbacks.second_catalogue(works, candidates, second, mapping, catalogue)
+
+
+@query("R-19", sql="""WITH w AS (SELECT id, 't' || (o_custkey % 700) AS title_key, year, media_type, status, CASE WHEN status = 'matched' THEN o_custkey % 700 + CASE WHEN o_custkey % 700 % 4 = 0 THEN id ELSE 0 END END AS catalogue_id FROM work JOIN orders ON o_orderkey = id),
+  a AS (SELECT title_key, min(catalogue_id) AS catalogue_id, arg_min(coalesce(year, -1), id) AS y FROM w WHERE media_type = 'tv' AND status = 'matched' GROUP BY 1 HAVING min(catalogue_id) = max(catalogue_id)),
+  s AS (SELECT DISTINCT l_partkey AS catalogue_id, CAST(year(l_shipdate) AS INT) AS year FROM lineitem)
+  SELECT w.id AS work_id, a.catalogue_id, CAST(0.95 AS DOUBLE) AS score, coalesce(w.year <> nullif(a.y, -1), true) AS season_year FROM w JOIN a USING (title_key) LEFT JOIN s ON s.catalogue_id = a.catalogue_id AND s.year = w.year
+  WHERE media_type = 'tv' AND status <> 'matched' AND w.year IS NOT NULL AND (w.year = a.y OR s.year IS NOT NULL)""")
+def sibling_seasons(t: Tables):
+    n = F.col("o_custkey") % 700
+    own = t.orders.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("t"), n.cast("string")).alias("title_key"), (n + F.when(n % 4 == 0, F.col("o_orderkey")).otherwise(0)).alias("_c"))
+    works = t.work.select("id", "year", "media_type", "status").join(own, "id").withColumn("catalogue_id", F.when(F.col("status") == "matched", F.col("_c")))
+    return fallbacks.sibling_seasons(works, t.lineitem.select(F.col("l_partkey").alias("catalogue_id"), F.year("l_shipdate").alias("air_year")))
+
+
+@query("R-24", "R-07", sql="""WITH d AS (SELECT o_orderkey AS id, o_custkey % 800 AS c, CASE WHEN o_custkey % 800 % 2 = 0 THEN 'tv' ELSE 'movie' END AS t FROM orders WHERE o_orderstatus = 'P'),
+  w AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN o_custkey % 800 END AS old, CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_custkey % 800 % 2 = 0 THEN 'tv' ELSE 'movie' END END AS old_t, CASE WHEN o_custkey % 5 = 0 THEN o_orderkey % 50 END AS col FROM orders),
+  l AS (SELECT w.id, coalesce(d.c, old) AS c, coalesce(d.t, old_t) AS t, col, d.c IS NOT NULL AS new FROM w LEFT JOIN d USING (id)),
+  g AS (SELECT c, t, min(id) AS kept, bool_or(new) AS touched, arg_min(coalesce(col, -1), id) AS own, first(col ORDER BY id) FILTER (WHERE col IS NOT NULL) AS other FROM l WHERE c IS NOT NULL GROUP BY 1, 2 HAVING bool_or(new)),
+  r AS (SELECT l_orderkey AS work_id, COUNT(*) AS n, COUNT(*) FILTER (WHERE l_tax = 0.0) AS bare FROM lineitem GROUP BY 1)
+  SELECT kept AS id, c AS catalogue_id, t AS media_type, coalesce(nullif(own, -1), other) AS collection_id, p_name AS title, (SELECT CAST(coalesce(SUM(n), 0) AS BIGINT) FROM l JOIN r ON r.work_id = l.id WHERE l.c = g.c AND l.t = g.t) AS resources,
+    (SELECT CAST(coalesce(SUM(CASE WHEN g.t = 'tv' THEN bare ELSE 0 END), 0) AS BIGINT) FROM l JOIN r ON r.work_id = l.id WHERE l.c = g.c AND l.t = g.t) AS first_season FROM g LEFT JOIN part ON p_partkey = c""")
+def applied_links(t: Tables):
+    n = F.col("o_custkey") % 800
+    kind = F.when(n % 2 == 0, "tv").otherwise("movie")
+    decisions = t.orders.filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("work_id"), n.alias("catalogue_id"), kind.alias("media_type"), F.lit(0.9).alias("confidence"), F.lit("auto").alias("method"))
+    matched = F.col("o_orderstatus") == "F"
+    works = t.orders.select(F.col("o_orderkey").alias("id"), F.when(matched, n).alias("catalogue_id"), F.when(matched, kind).alias("catalogue_type"), F.when(F.col("o_custkey") % 5 == 0, F.col("o_orderkey") % 50).alias("collection_id"))
+    none = F.lit(None).cast("int")
+    resources = t.lineitem.select(F.expr(_FILE).alias("id"), F.col("l_orderkey").alias("work_id"), none.alias("season"), F.when(F.col("l_tax") != 0.0, F.col("l_linenumber")).alias("episode"))
+    catalogue = t.part.select(F.col("p_partkey").alias("catalogue_id"), F.when(F.col("p_partkey") % 2 == 0, "tv").otherwise("movie").alias("media_type"), F.array("p_size").alias("seasons"), F.col("p_name").alias("title"))
+    candidates = t.lineitem.select(F.col("l_orderkey").alias("work_id"), F.col("l_partkey").alias("catalogue_id"))
+    made = fallbacks.applied_links(decisions, works, resources, candidates, catalogue, ["title"])
+    counts = made["resources"].groupBy("work_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("season") == 1, 1)).alias("_first"))
+    return made["works"].join(counts, F.col("id") == F.col("work_id"), "left").select(
+        "id", "catalogue_id", "media_type", "collection_id", "title", F.coalesce("n", F.lit(0)).alias("resources"), F.coalesce("_first", F.lit(0)).alias("first_season")
+    )
+
+
+@query("S-10", sql="""SELECT p_partkey AS catalogue_id, CASE WHEN p_size % 4 = 0 THEN NULL ELSE 1990 + p_size % 20 END AS year, CASE WHEN p_size % 3 = 0 THEN 'US' ELSE 'JP,FR' END AS countries,
+    list_distinct([p_name, upper(p_name), p_brand]) IS NOT NULL AS any_title, CAST(len(list_distinct([p_name, upper(p_name), p_brand])) AS INT) AS titles, CAST(CASE WHEN p_size > 5 THEN 2 ELSE 1 END AS INT) AS seasons, CAST(CASE WHEN p_size > 5 THEN 10 + p_size ELSE 10 END AS BIGINT) AS episodes FROM part WHERE p_size % 7 <> 0""")
+def normalised_catalogue(t: Tables):
+    season = lambda n, count: F.struct(F.lit(n).alias("season_number"), count.cast("int").alias("episode_count"), F.lit("2001-02-03").alias("air_date"))
+    record = F.struct(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.upper("p_name").alias("original_name"), F.when(F.col("p_size") % 4 != 0, F.concat((1990 + F.col("p_size") % 20).cast("string"), F.lit("-05-06"))).otherwise("").alias("first_air_date"),
+        F.when(F.col("p_size") % 3 == 0, F.array(F.lit("US"))).alias("origin_country"), F.array(*[F.struct(F.lit(c).alias("iso_3166_1")) for c in ("JP", "FR")]).alias("production_countries"),
+        F.array(season(0, F.lit(9)), season(1, F.lit(10)), season(2, F.when(F.col("p_size") > 5, F.col("p_size")).otherwise(0)), season(1, F.lit(4))).alias("seasons"),
+        F.struct(F.array(F.struct(F.concat(F.lit(" "), "p_name").alias("title")), F.struct(F.col("p_brand").alias("title"))).alias("results")).alias("alternative_titles"),
+    )
+    raw = t.part.select(F.lit("tv").alias("media_type"), F.when(F.col("p_size") % 7 == 0, "[broken").otherwise(F.to_json(record)).alias("payload"))
+    made = fallbacks.normalised_catalogue(raw)
+    titles = made["titles"].groupBy("catalogue_id").agg(F.count(F.lit(1)).cast("int").alias("titles"))
+    seasons = made["seasons"].groupBy("catalogue_id").agg(F.count(F.lit(1)).cast("int").alias("seasons"), F.sum("episodes").alias("episodes"))
+    return made["works"].join(titles, "catalogue_id").join(seasons, "catalogue_id").select(
+        "catalogue_id", "year", F.array_join("countries", ",").alias("countries"), F.lit(True).alias("any_title"), "titles", "seasons", "episodes"
+    )

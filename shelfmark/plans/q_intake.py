@@ -36,12 +36,13 @@ def batch_totals(t: Tables):
     return intake.batch_summary(t.documents, "source", "text")
 
 
-_UPSERT = "s AS (SELECT user_id, event_type, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE event_id % 2 = 0) WHERE k = 1 AND user_id % 3 <> 0), i AS (SELECT event_id, user_id, event_type, ts, value FROM events WHERE event_id % 2 = 1 AND user_id % 4 <> 0)"
+_UPSERT = "s AS (SELECT user_id, event_type, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE event_type IN ('purchase', 'signup')) WHERE k = 1), i AS (SELECT event_id, user_id, event_type, ts, value FROM events WHERE event_type NOT IN ('purchase', 'signup'))"
 
 
 def _tables(t: Tables):
-    even = t.events.filter("event_id % 2 = 0 and user_id % 3 <> 0").groupBy("user_id").agg(F.min_by(F.struct("event_type", "ts", "value", "event_id"), "event_id").alias("r"))
-    return even.select("user_id", "r.*"), t.events.filter("event_id % 2 = 1 and user_id % 4 <> 0").select("user_id", "event_type", "ts", "value", "event_id")
+    # every event is on one side: some types say what is stored, the others what comes in
+    known = t.events.filter("event_type in ('purchase', 'signup')").groupBy("user_id").agg(F.min_by(F.struct("event_type", "ts", "value", "event_id"), "event_id").alias("r"))
+    return known.select("user_id", "r.*"), t.events.filter("event_type not in ('purchase', 'signup')").select("user_id", "event_type", "ts", "value", "event_id")
 
 
 @query("S-07", sql=f"""WITH {_UPSERT}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM i) WHERE k = 1)
@@ -92,7 +93,7 @@ def shared_years(t: Tables):
     return y.select("o_custkey", F.arrays_overlap("a", "b").alias("overlap"), F.array_join(F.array_sort(F.array_intersect("a", "b")), ",").alias("years"))
 
 
-@query("M-14", "F-22", sql="""SELECT host || path AS identity, COUNT(*) AS pages, min(page_id) AS first FROM (SELECT page_id, regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/?#]*)', 1), '^www\\.', '') AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM pages) GROUP BY 1""")
+@query("F-11", "F-22", sql="""SELECT host || path AS identity, COUNT(*) AS pages, min(page_id) AS first FROM (SELECT page_id, regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/?#]*)', 1), '^www\\.', '') AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM pages) GROUP BY 1""")
 def link_identities(t: Tables):
     from ..functions import urls
 

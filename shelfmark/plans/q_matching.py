@@ -60,13 +60,13 @@ def settled_rivals(t: Tables):
     return matching.disambiguated(_rivals(t).withColumn("score", F.lit(0.95)))
 
 
-@query("R-20", sql="""WITH e AS (SELECT id AS message_id, 'k' || user_ AS title_key, y AS year, s AS season FROM (SELECT id, channel_id AS user_, CAST(2000 + id % 2 AS INT) AS y, CAST(1 AS INT) AS s FROM message WHERE id % 3 <> 0)),
+@query("R-20", sql="""WITH e AS (SELECT id AS message_id, 'k' || user_ AS title_key, y AS year, s AS season FROM (SELECT id, channel_id AS user_, CAST(2000 + id % 2 AS INT) AS y, CAST(1 AS INT) AS s FROM message WHERE status <> 'ignored')),
   x AS (SELECT l.source_key, e.title_key, e.year, e.season FROM link l JOIN e USING (message_id)), a AS (SELECT source_key, COUNT(*) AS n FROM x GROUP BY 1),
   w AS (SELECT work_id, bool_and(a.n IS NOT NULL) AS ok, COUNT(*) AS resources FROM resource r LEFT JOIN a USING (source_key) GROUP BY 1),
   d AS (SELECT r.work_id, min(x.title_key) AS title_key, min(x.year) AS year, min(x.season) AS season FROM resource r JOIN x USING (source_key) GROUP BY 1 HAVING COUNT(DISTINCT (x.title_key, x.year, x.season)) = 1)
   SELECT d.*, w.resources FROM d JOIN w USING (work_id) WHERE ok""")
 def consistent_works(t: Tables):
-    m = t.message.filter("id % 3 <> 0")
+    m = t.message.filter("status <> 'ignored'")  # a message that was ignored states nothing
     evidence = m.select(F.col("id").alias("message_id"), F.concat(F.lit("k"), "channel_id").alias("title_key"), (2000 + F.col("id") % 2).cast("int").alias("year"), F.lit(1).alias("season"))
     return matching.consistent_evidence(t.resource, t.link, evidence)
 
@@ -92,13 +92,26 @@ def mutual_identities(t: Tables):
     return matching.mutual_matches(t.orders.select(F.col("o_orderkey").alias("id"), x(F.col("o_custkey")).alias("xid")), theirs)
 
 
-@query("R-09", sql="""WITH g AS (SELECT work_id, COUNT(*) FILTER (WHERE availability = 'invalid' AND NOT contains(url, 'c7')) AS removed, COUNT(*) AS n FROM resource GROUP BY 1)
+@query("R-09", sql="""WITH g AS (SELECT work_id, COUNT(*) FILTER (WHERE availability = 'invalid' AND NOT contains(url, 'c7') AND tags IS DISTINCT FROM '["alpha","beta"]') AS removed, COUNT(*) AS n FROM resource GROUP BY 1)
   SELECT work_id, removed, CASE WHEN status = 'matched' OR catalogue_id IS NOT NULL THEN 'keep' WHEN removed = n THEN 'drop' ELSE 'reopen' END AS action FROM g JOIN work ON work.id = work_id WHERE removed > 0""")
 def dead_resources(t: Tables):
+    r = t.resource.withColumn("metadata", F.col("tags"))
+    changed = F.when(F.col("tags") == '["alpha","beta"]', "[]").otherwise(F.col("tags"))
     probes = t.resource.select(
-        "id", F.when(F.contains("url", F.lit("c7")), F.concat("url", F.lit("#old"))).otherwise(F.col("url")).alias("url"), F.when(F.col("availability") == "invalid", "invalid").otherwise("available").alias("state")
-    ).distinct()
-    return matching.dead_resource_changes(t.resource, t.work, probes)
+        "id", F.when(F.contains("url", F.lit("c7")), F.concat("url", F.lit("#old"))).otherwise(F.col("url")).alias("url"), changed.alias("metadata"),
+        F.when(F.col("availability") == "invalid", "invalid").otherwise("available").alias("state"),
+    )
+    return matching.dead_resource_changes(r, t.work, probes)
+
+
+@query("M-14", "F-22", sql="""WITH r AS (SELECT id, CASE WHEN quality IS NULL THEN 'invalid/' || id ELSE '115/' || regexp_extract(url, '/s/([^?]*)', 1) || '/' || regexp_extract(url, 'password=(.*)$', 1) END AS share, CAST(regexp_extract(url, 'password=p(.*)$', 1) AS BIGINT) % 6 AS k FROM resource)
+  SELECT id, share, CASE WHEN share LIKE 'invalid%' OR k = 5 THEN 'unchecked' ELSE CASE k WHEN 0 THEN 'available' WHEN 1 THEN 'remove' WHEN 2 THEN 'protected' WHEN 3 THEN 'unknown' ELSE 'available' END END AS action FROM r""")
+def checked_shares(t: Tables):
+    r = t.resource.withColumn("url", F.when(F.col("quality").isNull(), "https://115.com/elsewhere").otherwise(F.col("url")))
+    k = F.regexp_extract("share", "/p(.*)$", 1).try_cast("bigint") % 6
+    codes = F.when(k == 1, 4100010).when(k == 2, 4100012).when(k == 3, 1)
+    probes = matching.share_groups(r).select("share").distinct().filter(F.col("share").startswith("115/") & (k != 5)).select("share", codes.cast("long").alias("code"))
+    return matching.checked_resources(r, probes)
 
 
 @query("R-25", sql="""SELECT id, CASE WHEN id % 5 = 0 THEN 'Edited ' || id ELSE title END AS title, CASE WHEN id % 5 = 0 AND id % 2 = 0 THEN 1900 ELSE year END AS year, coalesce(n, 0) AS candidates FROM work
@@ -170,12 +183,12 @@ def episode_spans(t: Tables):
     return t.part.select("p_partkey", span["season"].alias("season"), span["first"].alias("first"), span["last"].alias("last"))
 
 
-@query("E-21", "W-10", sql="""SELECT p_partkey, CAST(unnest(CASE p_partkey % 3 WHEN 0 THEN [0, 2] WHEN 1 THEN [0, 2, 4] ELSE [0, 1] END) AS INT) AS ord,
-  unnest(CASE p_partkey % 3 WHEN 0 THEN [p_name, 'beta', ] WHEN 1 THEN ['远山', p_name, '远山 ' || p_name] ELSE [p_name, p_name || ' (Director''s Cut)'] END) AS variant FROM part WHERE p_partkey % 3 <> 0""")
+@query("E-21", "W-10", sql="""SELECT p_partkey, CAST(unnest(CASE p_partkey % 3 WHEN 0 THEN [0, 2, 4] WHEN 1 THEN [0, 2, 4] ELSE [0, 1] END) AS INT) AS ord,
+  unnest(CASE p_partkey % 3 WHEN 0 THEN [p_name, p_brand, p_name || '] ' || p_brand] WHEN 1 THEN ['远山', p_name, '远山 ' || p_name] ELSE [p_name, p_name || ' (Director''s Cut)'] END) AS variant FROM part""")
 def title_variants(t: Tables):
     k, n = F.col("p_partkey") % 3, F.col("p_name")
-    made = F.when(k == 1, F.concat(F.lit("远山  "), n)).otherwise(F.concat(n, F.lit(" (Director's Cut)")))
-    return matching.title_variants(t.part.filter(k != 0).withColumn("title", made), "p_partkey", "title")
+    made = F.when(k == 0, F.concat(F.lit("["), n, F.lit("] "), "p_brand")).when(k == 1, F.concat(F.lit("远山  "), n)).otherwise(F.concat(n, F.lit(" (Director's Cut)")))
+    return matching.title_variants(t.part.withColumn("title", made), "p_partkey", "title")
 
 
 @query("E-12", "E-18", "E-19", "E-20", "P-15", sql="""SELECT p_partkey, p_partkey % 2 = 0 AS marked, p_name AS stripped, CASE WHEN p_partkey % 3 = 0 THEN '远山' END AS base, CASE WHEN p_partkey % 3 = 0 THEN CAST(20 + p_size AS INT) END AS episode,

@@ -66,10 +66,11 @@ def coded_titles(t: Tables):
     return resolve.coded_titles(rows, "raw_label", "title").drop("raw_label")
 
 
-@query("R-05", sql="""WITH c AS (SELECT title_key, min(id) AS collection_id FROM collection WHERE id % 3 = 0 GROUP BY 1)
-  SELECT w.title_key, collection_id, w.members FROM (SELECT replace(p_name, ' ', '') AS title_key, COUNT(*) AS members FROM part WHERE p_partkey % 3 = 1 GROUP BY 1) w LEFT JOIN c USING (title_key)""")
+@query("R-05", sql="""WITH c AS (SELECT replace(p_name, ' ', '') AS title_key, min(p_partkey) AS collection_id FROM part WHERE p_size > 25 GROUP BY 1)
+  SELECT w.title_key, collection_id, w.members FROM (SELECT replace(p_name, ' ', '') AS title_key, COUNT(*) AS members FROM part WHERE p_size <= 25 GROUP BY 1) w LEFT JOIN c USING (title_key)""")
 def attached_collections(t: Tables):
-    return resolve.attach_collections(t.collection.filter("id % 3 = 1"), t.collection.filter("id % 3 = 0"))
+    titled = t.part.select(F.col("p_partkey").alias("id"), F.replace("p_name", F.lit(" "), F.lit("")).alias("title_key"), "p_size")
+    return resolve.attach_collections(titled.filter("p_size <= 25"), titled.filter("p_size > 25"))
 
 
 @query("R-06", sql="""SELECT w.id, n AS resources FROM work w JOIN (SELECT work_id, COUNT(*) AS n, bool_and(resource_class IN ('collection', 'media', 'other')) AS all_, bool_or(contains(raw_label, 'N')) AS word FROM resource GROUP BY 1) r ON r.work_id = w.id
