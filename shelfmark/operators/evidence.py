@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.text import first_int, first_match, strip_chars, title_key, written_number
-from .matching import consistent_evidence
+from ..functions.udfs import similarity_ratio
+from .matching import admissible, consistent_evidence
+from .resolve import auto_link, score
 
 CJK = "[\\u3400-\\u9fff]"
 LATIN = "[A-Za-z]"
@@ -153,3 +155,39 @@ def evidence_flags(candidates: DataFrame, works: DataFrame, titles: DataFrame, r
     out = out.withColumn("resource_name_unverified", F.col("resource_name_unverified") & F.col("exact"))
     against = ("name_conflict", "type_conflict", "type_mismatch", "year_conflict", "year_unverified", "resource_conflict", "resource_name_conflict", "resource_name_unverified")
     return out.withColumn("blocked", reduce(lambda a, b: a | b, [F.col(a) for a in against])).select(*candidates.columns, *flags, "blocked")
+
+
+def best_similarity(candidates: DataFrame, titles: DataFrame) -> DataFrame:
+    """(work_id, catalogue_id, media_type, similarity): the best matching-block ratio of any local title and any of the candidate's.
+
+    ``candidates`` with ``titles`` (all known ones), ``titles`` (work_id, title). Titles are compared by their keys; each
+    two different ones are compared once, however many works and candidates have them. No titles: 0.
+    """
+    ours = titles.filter(F.col("title").isNotNull()).select("work_id", title_key(F.col("title")).alias("_a")).filter(F.col("_a") != "").distinct()
+    theirs = candidates.select("work_id", "catalogue_id", "media_type", F.explode("titles").alias("_t")).withColumn("_b", title_key(F.col("_t"))).filter(F.col("_b") != "").drop("_t").distinct()
+    both = theirs.join(ours, "work_id")
+    ratios = both.select("_a", "_b").distinct().withColumn("_ratio", F.when(F.col("_a") == F.col("_b"), 1.0).otherwise(similarity_ratio(F.col("_a"), F.col("_b"))))
+    best = both.join(ratios, ["_a", "_b"]).groupBy("work_id", "catalogue_id", "media_type").agg(F.max("_ratio").alias("similarity"))
+    return candidates.select("work_id", "catalogue_id", "media_type").distinct().join(best, ["work_id", "catalogue_id", "media_type"], "left").na.fill(0.0, ["similarity"])
+
+
+def scored_candidates(candidates: DataFrame, works: DataFrame, titles: DataFrame, resource_titles: DataFrame) -> DataFrame:
+    """``candidates`` with their flags (``evidence_flags``), ``similarity`` and ``score`` over all titles and all known years.
+
+    ``candidates`` has popularity besides what the flags need. A name that conflicts scores 0.
+    """
+    flagged = evidence_flags(candidates, works, titles, resource_titles)
+    own = works.select("work_id", F.col("media_type").alias("_own_type"), "years")
+    joined = flagged.join(best_similarity(candidates, titles), ["work_id", "catalogue_id", "media_type"]).join(own, "work_id")
+    known = F.when(F.array_contains("years", F.col("year")), F.col("year")).otherwise(F.get("years", F.lit(0)))
+    value = score(
+        F.col("similarity"), F.col("primary_exact"), F.col("exact"), F.col("explicit"), F.when(F.size(F.coalesce("years", F.array().cast("array<int>"))) > 0, known), F.col("year"), F.col("_own_type"),
+        F.col("media_type"), F.col("popularity"),
+    )
+    return joined.withColumn("score", F.when(F.col("name_conflict") | F.col("resource_name_conflict"), 0.0).otherwise(value)).drop("_own_type", "years")
+
+
+def decisions(scored: DataFrame, sequel: Column) -> DataFrame:
+    """(work_id, catalogue_id, leader, gap, decision) of works with an admissible candidate, by the flags of their candidates."""
+    usable = admissible(scored.withColumn("title", F.get("titles", F.lit(0))))
+    return auto_link(usable, F.col("blocked"), F.col("derived_only"), F.col("explicit"), sequel)

@@ -122,17 +122,7 @@ _FLAG_SIDES = """w AS (SELECT o_orderkey AS work_id, o_custkey AS c, CASE WHEN o
     FROM (SELECT *, CAST(o_custkey % 900 AS VARCHAR) AS n, year(o_orderdate) AS y FROM orders))"""
 
 
-@query("R-14", sql=f"""WITH {_FLAG_SIDES}, r AS (SELECT l_orderkey AS work_id, bool_or(l_returnflag = 'R') AS other, bool_or(l_returnflag = 'A') AS named FROM lineitem GROUP BY 1),
-  k AS (SELECT l_orderkey AS work_id, {_LINE} AS catalogue_id, CASE WHEN l_linestatus = 'O' THEN 'tv' ELSE 'movie' END AS media_type, l_partkey % 3 AS kind, CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE year(l_shipdate) END AS year, l_partkey % 2 = 0 AS verified FROM lineitem),
-  t AS (SELECT k.*, w.*, list_value(CASE kind WHEN 0 THEN own WHEN 1 THEN 'alias' || n ELSE 'cand' END) AS theirs, kind = 1 AS latin, coalesce(other, false) AS other, coalesce(named, false) AS named FROM k JOIN w USING (work_id) LEFT JOIN r USING (work_id)),
-  f AS (SELECT work_id, catalogue_id, media_type, list_contains(theirs, own) AS primary_exact, list_contains(theirs, own) OR coalesce(list_contains(theirs, alias), false) AS exact,
-    cjk AND alias IS NOT NULL AND latin AND NOT list_contains(theirs, alias) AS name_conflict, episodic AND media_type <> 'tv' AS type_conflict, structured AND own_type <> 'unknown' AND media_type <> own_type AS type_mismatch,
-    dated AND year IS NOT NULL AND year NOT IN (y, y + 1) AS year_conflict, dated AND year IS NULL AS year_unverified, NOT dated AS year_missing, mixed OR (tv_files AND media_type <> 'tv') AS resource_conflict,
-    (other OR (named AND NOT list_contains(theirs, own))) AND (other OR named) AS disagrees, verified FROM t)
-  SELECT work_id, catalogue_id, media_type, primary_exact, exact, name_conflict, type_conflict, type_mismatch, year_conflict, year_unverified, year_missing, resource_conflict, disagrees AND verified AS resource_name_conflict,
-    disagrees AND NOT verified AND exact AS resource_name_unverified,
-    name_conflict OR type_conflict OR type_mismatch OR year_conflict OR year_unverified OR resource_conflict OR (disagrees AND (verified OR exact)) AS blocked FROM f""")
-def evidence_flags(t: Tables):
+def _flag_tables(t: Tables):
     o, n = t.orders, F.expr(_N)
     title = F.when(F.col("o_custkey") % 4 == 0, F.concat(F.lit("作品"), n)).otherwise(F.concat(F.lit("Work "), n))
     year = F.year("o_orderdate")
@@ -150,8 +140,28 @@ def evidence_flags(t: Tables):
         "work_id", F.expr(_LINE).alias("catalogue_id"), F.when(F.col("l_linestatus") == "O", "tv").otherwise("movie").alias("media_type"), F.array(known).alias("titles"), (kind == 1).alias("latin_original"),
         F.when(F.col("l_partkey") % 5 != 0, F.year("l_shipdate")).alias("year"), F.lit(False).alias("explicit"), F.lit(False).alias("derived"), (F.col("l_partkey") % 2 == 0).alias("verified"),
     )
-    flagged = evidence.evidence_flags(candidates, works, local, named)
-    return flagged.drop("titles", "latin_original", "year", "explicit", "derived", "verified", "derived_only")
+    return candidates, works, local, named
+
+
+@query("R-14", sql=f"""WITH {_FLAG_SIDES}, r AS (SELECT l_orderkey AS work_id, bool_or(l_returnflag = 'R') AS other, bool_or(l_returnflag = 'A') AS named FROM lineitem GROUP BY 1),
+  k AS (SELECT l_orderkey AS work_id, {_LINE} AS catalogue_id, CASE WHEN l_linestatus = 'O' THEN 'tv' ELSE 'movie' END AS media_type, l_partkey % 3 AS kind, CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE year(l_shipdate) END AS year, l_partkey % 2 = 0 AS verified FROM lineitem),
+  t AS (SELECT k.*, w.*, list_value(CASE kind WHEN 0 THEN own WHEN 1 THEN 'alias' || n ELSE 'cand' END) AS theirs, kind = 1 AS latin, coalesce(other, false) AS other, coalesce(named, false) AS named FROM k JOIN w USING (work_id) LEFT JOIN r USING (work_id)),
+  f AS (SELECT work_id, catalogue_id, media_type, list_contains(theirs, own) AS primary_exact, list_contains(theirs, own) OR coalesce(list_contains(theirs, alias), false) AS exact,
+    cjk AND alias IS NOT NULL AND latin AND NOT list_contains(theirs, alias) AS name_conflict, episodic AND media_type <> 'tv' AS type_conflict, structured AND own_type <> 'unknown' AND media_type <> own_type AS type_mismatch,
+    dated AND year IS NOT NULL AND year NOT IN (y, y + 1) AS year_conflict, dated AND year IS NULL AS year_unverified, NOT dated AS year_missing, mixed OR (tv_files AND media_type <> 'tv') AS resource_conflict,
+    (other OR (named AND NOT list_contains(theirs, own))) AND (other OR named) AS disagrees, verified FROM t)
+  SELECT work_id, catalogue_id, media_type, primary_exact, exact, name_conflict, type_conflict, type_mismatch, year_conflict, year_unverified, year_missing, resource_conflict, disagrees AND verified AS resource_name_conflict,
+    disagrees AND NOT verified AND exact AS resource_name_unverified,
+    name_conflict OR type_conflict OR type_mismatch OR year_conflict OR year_unverified OR resource_conflict OR (disagrees AND (verified OR exact)) AS blocked FROM f""")
+def evidence_flags(t: Tables):
+    return evidence.evidence_flags(*_flag_tables(t)).drop("titles", "latin_original", "year", "explicit", "derived", "verified", "derived_only")
+
+
+@query("R-12", "R-14", "R-15", "R-16", "U-UDF-1")
+def decided_works(t: Tables):
+    candidates, *others = _flag_tables(t)
+    scored = evidence.scored_candidates(candidates.withColumn("popularity", F.lit(1.0)), *others)
+    return evidence.decisions(scored, F.lit(False))
 
 
 # --- terms ----------------------------------------------------------------------------------------

@@ -112,7 +112,7 @@ def test_the_chain_equals_a_loop(spark, setting, tmp_path):
     assert all(works[(f"work{k}", 1990 + k)] == k for k in range(5) if (f"work{k}", 1990 + k) in works) and len(set(works.values())) == len(works)
 
 
-@pytest.mark.parametrize("place", ["links", "merge", "after"])
+@pytest.mark.parametrize("place", ["links", "after"])
 def test_a_chain_that_was_stopped_goes_on(spark, setting, tmp_path, monkeypatch, place):
     files, deliver, run = setting
     deliver(files)
@@ -126,7 +126,7 @@ def test_a_chain_that_was_stopped_goes_on(spark, setting, tmp_path, monkeypatch,
 
     def writing(self, df, table, folder):
         done = write(self, df, table, folder)
-        if table == place and folder == "batch-1" or place == "merge" and folder == "upto-1":
+        if table == place and folder == "batch-1":
             stop()
         return done
 

@@ -124,3 +124,30 @@ def test_stored_grams_find_what_a_scan_finds(spark):
     for wanted in cases:
         want = sorted(k for k, t in rows if t is not None and all(low(w) in low(t) for w in wanted))
         assert sorted(r["id"] for r in stored.search(texts, wanted).collect()) == sorted(r["id"] for r in search.search(texts, "id", wanted).collect()) == want, wanted
+
+
+def test_scores_take_the_best_of_all_titles_and_decide(spark):
+    from difflib import SequenceMatcher
+
+    titles = [(1, "River Song"), (1, "The River Song"), (2, "作品"), (2, "Opus"), (3, "Cold War")]
+    works = [(1, "River Song", "movie", False, [1999, 2000], False, "unknown", False), (2, "作品", "movie", False, [2001], False, "unknown", False), (3, "Cold War", "tv", True, None, True, "unknown", False)]
+    found = [
+        (1, 10, "movie", ["The River Songs", "Other"], False, 2000, False, False, False, 4.0), (1, 11, "movie", ["River Song"], False, 1999, False, False, False, 0.0), (1, 12, "movie", ["River Song"], False, 1950, False, False, False, 0.0),
+        (2, 20, "movie", ["作品", "Else"], True, 2001, False, False, False, 0.0), (3, 30, "tv", ["Cold War"], False, 2018, False, False, False, 0.0), (3, 31, "movie", ["Cold War"], False, 2018, False, False, False, 0.0),
+    ]
+    schema = "work_id long, catalogue_id long, media_type string, titles array<string>, latin_original boolean, year int, explicit boolean, derived boolean, verified boolean, popularity double"
+    c = spark.createDataFrame(found, schema)
+    w = spark.createDataFrame(works, "work_id long, title string, media_type string, episodic boolean, years array<int>, structured_type boolean, resource_kind string, resource_mixed boolean")
+    t = spark.createDataFrame(titles, "work_id long, title string")
+    none = spark.createDataFrame([], "work_id long, resource long, title string")
+    scored = evidence.scored_candidates(c, w, t, none)
+    got = {r["catalogue_id"]: r for r in scored.collect()}
+    key = lambda s: s.lower().replace(" ", "")
+    for work, k, _, theirs, *_ in found:
+        want = max(SequenceMatcher(None, key(a), key(b)).ratio() for w_, a in titles if w_ == work for b in theirs)
+        assert got[k]["similarity"] == pytest.approx(want)
+    assert got[11]["score"] == 0.99 and got[12]["score"] == 0.0 and got[12]["year_conflict"] and 0.9 < got[10]["score"] < 0.99
+    assert got[20]["name_conflict"] and got[20]["score"] == 0.0 and got[20]["blocked"]
+    assert got[30]["score"] == pytest.approx(0.92) and got[31]["type_conflict"] and got[31]["type_mismatch"] and got[31]["blocked"]
+    made = {r["work_id"]: (r["catalogue_id"], r["decision"]) for r in evidence.decisions(scored, F.lit(False)).collect()}
+    assert made[1][0] == 11 and made[2] == (20, "review") and made[3][0] == 30
