@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.text import first_line, title_key
+from .evidence import decisions, scored_candidates
+from .fallbacks import applied_links
 from .headings import has_collection_marker, split_episode_suffix
 from .resources import infer_class
 
-# The greatest number that is an episode, not a date.
+# The greatest number that is an episode, not a date, and the score that a film has to have to make a series one.
 LAST_EPISODE = 9_999
+LEGACY_SCORE = 0.90
 
 
 def _said(*reasons: Column) -> Column:
@@ -146,3 +149,34 @@ def collection_classes(resources: DataFrame, works: DataFrame) -> DataFrame:
     return joined.withColumn("_target", target).filter(
         (F.col("_target") != F.col("resource_class")) & (F.col("_target").isin("collection", "music") | (F.col("resource_class") == "collection"))
     ).select("id", F.col("_target").alias("resource_class"))
+
+
+def legacy_films(works: DataFrame, candidates: DataFrame, evidence: DataFrame, resources: DataFrame) -> dict[str, DataFrame]:
+    """``works`` (id, media_type) of open series that are films, ``resources`` (id) whose made-up numbers go.
+
+    The best candidate (by score, then the least id) has to be a film with an exact title that nothing speaks against, and
+    nothing strong may speak for a series. ``candidates``: id, work_id, media_type, score, exact, blocked.
+    """
+    top = candidates.groupBy("work_id").agg(F.max("score").alias("score")).join(candidates, ["work_id", "score"]).groupBy("work_id", "score").agg(
+        F.min_by(F.struct(F.col("media_type").alias("kind"), "exact", "blocked"), "id").alias("_c")
+    ).filter((F.col("score") >= LEGACY_SCORE) & (F.col("_c.kind") == "movie") & F.col("_c.exact") & ~F.col("_c.blocked"))
+    open_ = works.filter((F.col("media_type") == "tv") & (F.col("status") != "matched") & (F.col("resource_kind") == "media") & ~F.col("is_bundle") & ~F.col("is_metadata")).select("id")
+    series = evidence.filter((F.col("type") == "tv") & (F.col("confidence") == "strong")).select("id")
+    films = open_.join(top.select(F.col("work_id").alias("id")), "id", "left_semi").join(series, "id", "left_anti")
+    numbered = F.col("season").isNotNull() | F.col("season_end").isNotNull() | F.col("episode").isNotNull()
+    return {"works": films.withColumn("media_type", F.lit("movie")), "resources": resources.filter(numbered).join(films.select(F.col("id").alias("work_id")), "work_id", "left_semi").select("id")}
+
+
+def rescored(candidates: DataFrame, changed: DataFrame, works: DataFrame, titles: DataFrame, resource_titles: DataFrame) -> DataFrame:
+    """Stored candidates of works whose type has changed (``changed``: id), with flags and scores by the works as they are now."""
+    again = candidates.join(changed.select(F.col("id").alias("work_id")), "work_id", "left_semi").select(*candidates.columns)
+    return scored_candidates(again, works, titles, resource_titles)
+
+
+def links_from_stored(scored: DataFrame, sequel: Column, works: DataFrame, resources: DataFrame, candidates: DataFrame, catalogue: DataFrame, fields: list[str]) -> dict[str, DataFrame]:
+    """The change set of open works whose stored candidates decide: those of ``decisions`` that link, applied (``applied_links``)."""
+    chosen = decisions(scored, sequel).filter(F.col("decision") == "link").select("work_id", "catalogue_id", F.col("leader").alias("confidence"))
+    kinds = scored.groupBy("work_id", "catalogue_id").agg(F.max_by("media_type", "score").alias("media_type"))
+    decided = chosen.join(kinds, ["work_id", "catalogue_id"]).withColumn("method", F.lit("stored_candidates"))
+    open_ = works.filter(F.col("catalogue_id").isNull()).select(F.col("id").alias("work_id"))
+    return applied_links(decided.join(open_, "work_id", "left_semi"), works, resources, candidates, catalogue, fields)

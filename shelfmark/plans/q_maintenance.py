@@ -70,3 +70,15 @@ def metadata_flag_changes(t: Tables):
 def collection_classes(t: Tables):
     titled = t.work.withColumn("title", F.when(F.col("title").startswith("LOW"), F.concat("title", F.lit(" 合集"))).when(F.col("title").startswith("HIGH"), F.concat("title", F.lit(" 音乐"))).otherwise(F.col("title")))
     return maintenance.collection_classes(t.resource.withColumn("kind", F.lit(None).cast("string")), titled)
+
+
+@query("M-06", "W-02", sql=f"""WITH {_EVIDENCE}, x AS (SELECT DISTINCT id, work_id, score, exact, year_missing, CASE WHEN catalogue_id % 3 = 0 THEN 'tv' ELSE 'movie' END AS kind FROM (SELECT id, work_id, catalogue_id, 0.5 + score / 2.2 AS score, exact, year_missing FROM candidate)),
+  b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY score DESC, id) AS n FROM x) WHERE n = 1),
+  z AS (SELECT w.id FROM work w JOIN b ON b.work_id = w.id JOIN t ON t.id = w.id WHERE w.media_type = 'tv' AND status <> 'matched' AND resource_kind = 'media' AND NOT is_bundle AND NOT is_metadata AND score >= 0.9 AND kind = 'movie' AND exact AND NOT year_missing AND NOT (t.type = 'tv' AND t.confidence = 'strong'))
+  SELECT id, 'movie' AS media_type FROM z""")
+def legacy_films(t: Tables):
+    rows, evidence = _evidence(t)
+    c = t.candidate.select(
+        "id", "work_id", F.when(F.col("catalogue_id") % 3 == 0, "tv").otherwise("movie").alias("media_type"), (F.lit(0.5) + F.col("score") / 2.2).alias("score"), "exact", F.col("year_missing").alias("blocked")
+    )
+    return maintenance.legacy_films(t.work, c, evidence, rows)["works"]
