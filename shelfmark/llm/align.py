@@ -104,10 +104,12 @@ class Aligner:
         from_a, from_b = (np.concatenate([[0], last[:-1] + 1]).astype(np.int64)[: len(last)] for last in (last_a, last_b))
         link_a, link_b = a[last_a], b[last_b]
         exact = (from_a == last_a) & (from_b == last_b) & (self.same[link_a] == link_b)
-        names = self.exact_names[link_a]
-        name_a, name_b = self.names[a], self.names[b]
-        for k in np.flatnonzero(~exact).tolist():
-            names[k] = ",".join(name_a[from_a[k] : last_a[k] + 1]) + "|" + ",".join(name_b[from_b[k] : last_b[k] + 1])
+        # lists, as slices of them are joined far faster than slices of arrays
+        names, name_a, name_b = self.exact_names[link_a].tolist(), self.names[a].tolist(), self.names[b].tolist()
+        others = np.flatnonzero(~exact)
+        ranges = np.stack([others, from_a[others], last_a[others] + 1, from_b[others], last_b[others] + 1], axis=1).tolist()
+        for k, a0, a1, b0, b1 in ranges:
+            names[k] = ",".join(name_a[a0:a1]) + "|" + ",".join(name_b[b0:b1])
         pairs = (link_a << SHIFT) | link_b
         stops = np.searchsorted(last_a, np.cumsum([len(c[0]) for c in cut]))  # groups that end before a text does
         found, start = [], 0
