@@ -89,14 +89,36 @@ def consistent_evidence(resources: DataFrame, links: DataFrame, evidence: DataFr
     return works.filter(F.col("_all") & (F.col("_low") == F.col("_high"))).select("work_id", "_low.*", "resources")
 
 
+def _held_in(whole: DataFrame, part: DataFrame) -> DataFrame:
+    """(collection_id, whole, part): different texts of a collection that hold another one, found by equal pieces.
+
+    ``whole`` (collection_id, whole), ``part`` (collection_id, part). A text is cut into the pieces of as many characters as
+    some part of its collection has, so only pieces that may be equal are made.
+    """
+    lengths = part.groupBy("collection_id").agg(F.collect_set(F.length("part")).alias("_lengths"))
+    cut = whole.join(lengths, "collection_id").select("collection_id", "whole", F.explode("_lengths").alias("_n")).filter(F.length("whole") >= F.col("_n"))
+    starts = cut.select("collection_id", "whole", "_n", F.explode(F.sequence(F.lit(1), F.length("whole") - F.col("_n") + 1)).alias("_i"))
+    pieces = starts.select("collection_id", "whole", F.substring("whole", F.col("_i"), F.col("_n")).alias("part")).distinct()
+    return pieces.join(part, ["collection_id", "part"])
+
+
 def collection_part(asked: DataFrame, parts: DataFrame) -> DataFrame:
     """(id, catalogue_id): the part of the asked title's collection whose title equals, contains or is contained in it; its year first, then the least id.
 
-    ``asked`` (id, collection_id, title_key, year), ``parts`` (collection_id, catalogue_id, part_key, part_year).
+    ``asked`` (id, collection_id, title_key, year), ``parts`` (collection_id, catalogue_id, part_key, part_year). Different
+    titles meet, each once; asked rows then meet the least ids that their title leads to.
     """
-    fits = (F.col("title_key") != "") & (F.col("part_key") != "") & (F.contains("title_key", "part_key") | F.contains("part_key", "title_key"))
-    other = F.when(F.col("year").isNull() | (F.col("year") == F.col("part_year")), 0).otherwise(1)
-    return asked.join(parts, "collection_id").filter(fits).groupBy("id").agg(F.min(F.struct(other.alias("o"), "catalogue_id"))["catalogue_id"].alias("catalogue_id"))
+    ours = asked.filter(F.col("title_key") != "")
+    least = parts.filter(F.col("part_key") != "").groupBy("collection_id", "part_key", "part_year").agg(F.min("catalogue_id").alias("_least"))
+    titles, keys = ours.select("collection_id", "title_key").distinct(), least.select("collection_id", "part_key").distinct()
+    inside = _held_in(titles.withColumnRenamed("title_key", "whole"), keys.withColumnRenamed("part_key", "part")).select("collection_id", F.col("whole").alias("title_key"), F.col("part").alias("part_key"))
+    around = _held_in(keys.withColumnRenamed("part_key", "whole"), titles.withColumnRenamed("title_key", "part")).select("collection_id", F.col("part").alias("title_key"), F.col("whole").alias("part_key"))
+    led = inside.union(around).join(least, ["collection_id", "part_key"]).groupBy("collection_id", "title_key", "part_year").agg(F.min("_least").alias("_least"))
+    any_year = led.groupBy("collection_id", "title_key").agg(F.min("_least").alias("_any"))
+    same_year = led.select("collection_id", "title_key", F.col("part_year").alias("year"), F.col("_least").alias("_same"))
+    found = ours.join(any_year, ["collection_id", "title_key"]).join(same_year, ["collection_id", "title_key", "year"], "left")
+    other = F.when(F.col("year").isNull() | F.col("_same").isNotNull(), 0).otherwise(1)
+    return found.groupBy("id").agg(F.min(F.struct(other.alias("o"), F.coalesce("_same", "_any").alias("catalogue_id")))["catalogue_id"].alias("catalogue_id"))
 
 
 def mutual_matches(ours: DataFrame, theirs: DataFrame) -> DataFrame:
