@@ -24,10 +24,14 @@ def second_catalogue(works: DataFrame, candidates: DataFrame, second: DataFrame,
     """
     open_ = works.join(candidates.select("work_id").distinct(), "work_id", "left_anti").withColumn("_year", F.when(F.size("years") == 1, F.get("years", F.lit(0))))
     asked = open_.filter(F.col("_year").between(FIRST_YEAR, LAST_YEAR) & ~F.col("collection")).select("work_id", F.col("_year").alias("year"), "episodic", F.explode(F.slice(F.array_distinct("names"), 1, MOST_NAMES)).alias("name_key"))
-    # many works ask for the same name and year: each is looked up once
-    distinct = second.select("name_key", "year", "xid", "media_type").distinct()
-    hits = asked.filter(F.col("name_key") != "").join(distinct, ["name_key", "year"]).filter(~F.col("episodic") | (F.col("media_type") == "tv"))
-    one = hits.groupBy("work_id").agg(F.count_distinct("xid").alias("_hits"), F.min(F.struct("xid", F.col("media_type").alias("kind"))).alias("_hit"))
+    # many works ask for the same name and year, which many entries have: of these the ends tell none, one and several apart
+    entry, series = F.struct("xid", F.col("media_type").alias("kind")), F.col("media_type") == "tv"
+    ends = lambda of: F.struct(F.min(F.when(of, F.col("xid"))).alias("low"), F.max(F.when(of, F.col("xid"))).alias("high"), F.min(F.when(of, entry)).alias("hit"))
+    entries = second.groupBy("name_key", "year").agg(ends(F.lit(True)).alias("_all"), ends(series).alias("_series"))
+    hits = asked.filter(F.col("name_key") != "").join(entries, ["name_key", "year"]).select("work_id", F.when(F.col("episodic"), F.col("_series")).otherwise(F.col("_all")).alias("_e")).filter(F.col("_e.hit").isNotNull())
+    one = hits.groupBy("work_id").agg(F.min("_e.low").alias("_low"), F.max("_e.high").alias("_high"), F.min("_e.hit").alias("_hit")).select(
+        "work_id", "_hit", F.when(F.col("_low").isNull(), 0).when(F.col("_low") == F.col("_high"), 1).otherwise(2).alias("_hits")
+    )
     led = mapping.groupBy("xid").agg(F.count_distinct("media_type", "catalogue_id").alias("_mapped"), F.min(F.struct("media_type", "catalogue_id")).alias("_to"))
     back = catalogue.select(F.col("catalogue_id").alias("_id"), F.col("media_type").alias("_type"), F.col("xid").alias("_back"), F.col("year").alias("_their_year")).dropDuplicates(["_id", "_type"])
     found = open_.select("work_id", "_year", "years", "collection").join(one, "work_id", "left").withColumn("xid", F.col("_hit.xid")).join(led, "xid", "left")

@@ -3,7 +3,7 @@
 from growth import most_rows
 from pyspark.sql import functions as F
 
-from shelfmark.operators import matching
+from shelfmark.operators import fallbacks, matching
 
 ASKED = "id long, collection_id long, title_key string, year int"
 PARTS = "collection_id long, catalogue_id long, part_key string, part_year int"
@@ -27,3 +27,28 @@ def test_the_part_of_each_title_is_that_of_all_pairs(spark):
                 expected[k] = min(expected.get(k, (2, 0)), (0 if year is None or year == part_year else 1, part))
     got = {r["id"]: r["catalogue_id"] for r in matching.collection_part(spark.createDataFrame(asked, ASKED), spark.createDataFrame(parts, PARTS)).collect()}
     assert got == {k: v[1] for k, v in expected.items()} and len(got) == 5
+
+
+def _second(spark, works, entries):
+    w = spark.createDataFrame(works, "work_id long, years array<int>, names array<string>, collection boolean, episodic boolean")
+    mapping = spark.createDataFrame([("x1", "tv", 7), ("x2", "movie", 8)], "xid string, media_type string, catalogue_id long")
+    catalogue = spark.createDataFrame([(7, "tv", "x1", 2000), (8, "movie", "x2", 2001)], "catalogue_id long, media_type string, xid string, year int")
+    return fallbacks.second_catalogue(w, spark.createDataFrame([], "work_id long"), entries, mapping, catalogue)
+
+
+def test_many_entries_of_a_name_and_year_are_one_row(spark):
+    entries = spark.range(2000).select(F.concat(F.lit("x"), "id").alias("xid"), F.lit("n").alias("name_key"), F.lit(2000).alias("year"), F.lit("tv").alias("media_type"))
+    made = _second(spark, [(k, [2000], ["n", "m"], False, k % 2 == 0) for k in range(2000)], entries)
+    assert most_rows(made) <= 10_000
+    assert {r["status"] for r in made.collect()} == {"ambiguous_second"}
+
+
+def test_entries_of_several_names_and_types_count_together(spark):
+    entries = spark.createDataFrame(
+        [("x1", "a", 2000, "tv"), ("x1", "b", 2000, "tv"), ("x2", "c", 2000, "movie"), ("x1", "c", 2000, "tv"), ("x2", "d", 2000, "movie"), (None, "e", 2000, "tv")], "xid string, name_key string, year int, media_type string"
+    )
+    works = [(1, [2000], ["a", "b"], False, False), (2, [2000], ["a", "d"], False, False), (3, [2000], ["a", "d"], False, True), (4, [2000], ["c"], False, True), (5, [2000], ["d"], False, True), (6, [2000], ["e"], False, False), (7, [2000], ["d"], False, False)]
+    got = {r["work_id"]: (r["status"], r["xid"]) for r in _second(spark, works, entries).collect()}
+    assert got == {
+        1: ("located", "x1"), 2: ("ambiguous_second", None), 3: ("located", "x1"), 4: ("located", "x1"), 5: ("no_exact_match", None), 6: ("no_mapping", None), 7: ("located_second_year", "x2"),
+    }
