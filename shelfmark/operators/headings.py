@@ -29,7 +29,9 @@ def drop_release_group(text: Column) -> Column:
 
 
 def has_collection_marker(text: Column) -> Column:
-    return F.coalesce(text, F.lit("")).rlike(rules.COLLECTION)
+    """A collection's marker; texts with no sign of any are not looked at further."""
+    said = F.coalesce(text, F.lit(""))
+    return said.rlike(rules.COLLECTION_HINT) & said.rlike(rules.COLLECTION)
 
 
 def strip_collection_marker(text: Column) -> Column:

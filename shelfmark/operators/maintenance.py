@@ -138,14 +138,14 @@ def collection_classes(resources: DataFrame, works: DataFrame) -> DataFrame:
     collection's title; else the class that the resource itself shows. ``resources`` (id, work_id, resource_class, kind,
     raw_label, filename), ``works`` (id, title, media_type, resource_kind, is_bundle).
     """
-    own = works.select(F.col("id").alias("work_id"), F.col("title").alias("_title"), "media_type", F.col("resource_kind").alias("_kind"), "is_bundle")
+    titled = works.withColumns({"_marked": has_collection_marker(F.col("title")), "_sounds": infer_class(F.lit(None).cast("string"), F.col("title"), F.col("media_type"), F.lit(None).cast("string")) == "music"})
+    own = titled.select(F.col("id").alias("work_id"), "media_type", F.col("resource_kind").alias("_kind"), "is_bundle", "_marked", "_sounds")
     joined = resources.filter(F.col("resource_class") != "person").join(own, "work_id").withColumn("_kind", F.coalesce("kind", "_kind"))
-    joined = joined.withColumns({
-        "_shown": infer_class(F.col("_kind"), F.col("raw_label"), F.col("media_type"), F.col("filename")),
-        "_of_work": infer_class(F.col("_kind"), F.col("_title"), F.col("media_type"), F.lit(None).cast("string")),
-    })
-    whole = (F.col("_kind") == "series") | has_collection_marker(F.col("_title")) | F.col("is_bundle")
-    target = F.when((F.col("_shown") == "music") | (F.col("_of_work") == "music"), "music").when(whole, "collection").otherwise(F.col("_shown"))
+    joined = joined.withColumn("_shown", infer_class(F.col("_kind"), F.col("raw_label"), F.col("media_type"), F.col("filename")))
+    # a declared person or series is no music by the work's title
+    of_work = F.col("_sounds") & ~F.coalesce(F.col("_kind").isin("person", "series"), F.lit(False))
+    whole = (F.col("_kind") == "series") | F.col("_marked") | F.col("is_bundle")
+    target = F.when((F.col("_shown") == "music") | of_work, "music").when(whole, "collection").otherwise(F.col("_shown"))
     return joined.withColumn("_target", target).filter(
         (F.col("_target") != F.col("resource_class")) & (F.col("_target").isin("collection", "music") | (F.col("resource_class") == "collection"))
     ).select("id", F.col("_target").alias("resource_class"))

@@ -12,6 +12,7 @@ from ..functions import jsonx, urls
 from ..functions.numeric import count_where
 from ..functions.text import blank_to_null, extension, redact, stable_code, title_key
 from ..functions.times import year_prefix
+from .headings import has_collection_marker
 from .keyed import top_per_key
 from .works import provider_id, recency_filter, tag_filter, value_group, year_filter
 
@@ -152,7 +153,7 @@ def infer_class(kind: Column, title: Column, media_type: Column, filename: Colum
         .when(looks_like_audio(filename), "music")
         .when(t.rlike(rules.MUSIC_TITLE), "music")
         .when(~looks_like_video(filename) & t.rlike(rules.MUSIC_FORMAT), "music")
-        .when(t.rlike(rules.COLLECTION) | t.rlike(rules.PACK_WORDS), "collection")
+        .when(has_collection_marker(t) | t.rlike(rules.PACK_WORDS), "collection")
         .when(media_type.isin("movie", "tv"), "media")
         .otherwise("other")
     )

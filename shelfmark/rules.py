@@ -310,6 +310,8 @@ COLLECTION_MARKERS = (
     r"\b(?:box[ .-]?set)\b",
 )
 COLLECTION = "(?i)(?:" + "|".join(COLLECTION_MARKERS) + ")"
+# What every collection marker holds one of.
+COLLECTION_HINT = "(?i)[系合套全等部]|collection|box"
 STRIP_COLLECTION = (
     r"\s*[（(【\[]\s*(?:系列|合集|合辑|合輯|套装|套裝|套盒|合集包|全系列|系列电影|系列電影|系列合集|全集)\s*[）)】\]]?\s*$"
 )

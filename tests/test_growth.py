@@ -3,7 +3,8 @@
 from growth import most_rows
 from pyspark.sql import functions as F
 
-from shelfmark.operators import fallbacks, matching
+from shelfmark import rules
+from shelfmark.operators import fallbacks, headings, maintenance, matching
 
 ASKED = "id long, collection_id long, title_key string, year int"
 PARTS = "collection_id long, catalogue_id long, part_key string, part_year int"
@@ -52,3 +53,21 @@ def test_entries_of_several_names_and_types_count_together(spark):
     assert got == {
         1: ("located", "x1"), 2: ("ambiguous_second", None), 3: ("located", "x1"), 4: ("located", "x1"), 5: ("no_exact_match", None), 6: ("no_mapping", None), 7: ("located_second_year", "x2"),
     }
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_titles_of_works_are_classed_once_a_work(spark):
+    r = spark.createDataFrame([(1, 1, "other", None, "a", None), (2, 1, "other", "series", "a", None), (3, 2, "other", None, "a", None), (4, 3, "media", "person", "a", None)], "id long, work_id long, resource_class string, kind string, raw_label string, filename string")
+    w = spark.createDataFrame([(1, "x 演唱会", "movie", "media", False), (2, "x 合集", "tv", "media", False), (3, "x 演唱会", "tv", "media", False)], "id long, title string, media_type string, resource_kind string, is_bundle boolean")
+    made = maintenance.collection_classes(r, w)
+    assert rules.COLLECTION in _plan(made).split("Join", 1)[1]
+    assert {c["id"]: c["resource_class"] for c in made.collect()} == {1: "music", 2: "collection", 3: "collection"}
+
+
+def test_every_collection_marker_has_the_sign_looked_for_first(spark):
+    texts = ["（系列", "[collection]", "全系列", "等等电影", "远套装", "x合集", "全三部", "三部曲", "x系列", "1-3部", "2001二部", "x 三部", "a BOX set", "BoxSet", "远 合輯", "plain", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", headings.has_collection_marker(F.col("t")).alias("m"), F.coalesce("t", F.lit("")).rlike(rules.COLLECTION).alias("plain"))
+    assert all(r["m"] == r["plain"] for r in rows.collect()) and sum(r["m"] for r in rows.collect()) >= 12
