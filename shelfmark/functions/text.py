@@ -29,8 +29,10 @@ def staged(value: Column, *steps: Callable[[Column], Column]) -> Column:
 
 
 def settled(value: Column, step: Callable[[Column], Column], rounds: Column) -> Column:
-    """``step`` over and over; ``rounds`` is to be as many as can change anything."""
-    return F.aggregate(F.sequence(F.lit(1), rounds), value, lambda v, _: step(v))
+    """``step`` over and over until it changes nothing; ``rounds`` is to be as many as can change anything."""
+    start = F.struct(value.alias("v"), F.lit(False).alias("done"))
+    again = lambda s: let(step(s["v"]), lambda v: F.struct(v.alias("v"), v.eqNullSafe(s["v"]).alias("done")))
+    return F.aggregate(F.sequence(F.lit(1), rounds), start, lambda s, _: F.when(s["done"], s).otherwise(again(s)), lambda s: s["v"])
 
 
 def blank_to_null(text: Column) -> Column:

@@ -6,6 +6,7 @@ from ..functions import numeric, urls
 from ..functions.text import collapse_blank_lines, like_literal, name_key, title_key, trim_unbalanced
 from ..functions.udfs import json_leaves
 from ..operators import coverage, extract, headings, search
+from ..session import spread
 from .bindings import Tables
 from .registry import query
 
@@ -143,7 +144,7 @@ def search_bases(t: Tables):
         F.when(k == 0, F.concat(name, F.lit(" 更新至"), size, F.lit("集 4K 蓝光"))).when(k == 1, F.concat(name, F.lit(" EP"), size, F.lit(" 第"), size, F.lit("话 HDR10+ 1080p EP1 E2 E3 E4")))
         .when(k == 2, name).otherwise(F.concat(name, F.lit("卷 "), size))
     )
-    return t.part.select("p_partkey", headings.strip_search_noise(made, F.lit(False)).alias("base"))
+    return spread(t.part).select("p_partkey", headings.strip_search_noise(made, F.lit(False)).alias("base"))
 
 
 @query("E-01", sql="""SELECT doc_id, CAST(unnest(range(len(l))) AS INT) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS l FROM documents)""")

@@ -43,6 +43,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over as many tasks as a shuffle has: a small file is read by one, however much each of its rows costs."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to a new place in the shared folder, and read from there."""
     path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"

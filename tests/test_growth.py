@@ -1,9 +1,11 @@
 """Work grows with the rows, not with the pairs of rows that share a key; and cases that the given tables do not hold."""
 
+import __spark_entry__ as entry
 from growth import most_rows
 from pyspark.sql import functions as F
 
 from shelfmark import rules
+from shelfmark.functions.text import settled
 from shelfmark.operators import fallbacks, headings, maintenance, matching
 
 ASKED = "id long, collection_id long, title_key string, year int"
@@ -59,6 +61,16 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_noise_of_a_small_table_is_taken_away_by_several_tasks(spark):
+    assert entry.queries()["search_bases"](spark, "/root/testdata/sf0.01").rdd.getNumPartitions() > 1
+
+
+def test_rounds_end_when_nothing_changes(spark):
+    texts = spark.createDataFrame([("xxab", 5), ("xxab", 1), ("ab", 3), (None, 2), ("xxx", 9)], "t string, n int")
+    made = texts.select(settled(F.col("t"), lambda t: F.regexp_replace(t, "^x", ""), F.col("n")).alias("t"))
+    assert [r["t"] for r in made.collect()] == ["ab", "xab", "ab", None, ""]
+
+
 def test_titles_of_works_are_classed_once_a_work(spark):
     r = spark.createDataFrame([(1, 1, "other", None, "a", None), (2, 1, "other", "series", "a", None), (3, 2, "other", None, "a", None), (4, 3, "media", "person", "a", None)], "id long, work_id long, resource_class string, kind string, raw_label string, filename string")
     w = spark.createDataFrame([(1, "x 演唱会", "movie", "media", False), (2, "x 合集", "tv", "media", False), (3, "x 演唱会", "tv", "media", False)], "id long, title string, media_type string, resource_kind string, is_bundle boolean")
