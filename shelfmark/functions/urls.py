@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import rules
+from .text import let
 
 
 def host(url: Column) -> Column:
@@ -68,22 +69,25 @@ def provider_of(url: Column) -> Column:
 
 
 def share_identity(url: Column) -> Column:
-    """Struct(provider, code, password) of a share link; null when the link is not a share."""
-    parts, provider = path_parts(url), provider_of(url)
-    folder = F.lower(F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit("")))
-    code = F.try_element_at(parts, F.lit(-1))
-    ok = (
-        F.when(provider == "123", folder.isin("s", "share", "123pan"))
-        .when(provider.isin("115", "guangya"), folder == "s")
-        .otherwise(F.lit(False))
-    )
-    password = (
-        F.when(provider == "115", query_value(url, ("password", "pwd")))
-        .when(provider == "123", query_value(url, ("pwd", "password")))
-        .otherwise(query_value(url, ("pwd", "password", "code")))
-    )
-    clean = F.when(provider == "123", F.regexp_replace(code, r"\.html$", "")).otherwise(code)
-    return F.when(
-        ok & code.isNotNull(),
-        F.struct(provider.alias("provider"), clean.alias("code"), F.coalesce(password, F.lit("")).alias("password")),
-    )
+    """Struct(provider, code, password) of a share link; null when the link is not a share.
+
+    The link is taken apart once, for its host: a known host has only a well-formed link, whose path and query are plain text
+    pieces. Reading a host that begins with a digit costs the parser an exception.
+    """
+    parts = F.filter(F.split(F.regexp_extract(url, "^[^:/?#]+://[^/?#]*([^?#]*)", 1), "/"), lambda p: p != "")
+    query_ = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+
+    def first_of(*keys: str) -> Column:
+        return let(query_, lambda q: F.coalesce(*[F.nullif(F.regexp_extract(q, f"(?:&|^){k}=([^&]*)", 1), F.lit("")) for k in keys], F.lit("")))
+
+    def of(provider: Column, parts: Column) -> Column:
+        folder = F.lower(F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit("")))
+        code = F.try_element_at(parts, F.lit(-1))
+        ok = F.when(provider == "123", folder.isin("s", "share", "123pan")).when(provider.isin("115", "guangya"), folder == "s").otherwise(F.lit(False))
+        password = (
+            F.when(provider == "115", first_of("password", "pwd")).when(provider == "123", first_of("pwd", "password")).otherwise(first_of("pwd", "password", "code"))
+        )
+        clean = F.when(provider == "123", F.regexp_replace(code, r"\.html$", "")).otherwise(code)
+        return F.when(ok & code.isNotNull(), F.struct(provider.alias("provider"), clean.alias("code"), password.alias("password")))
+
+    return let(provider_of(url), lambda provider: let(parts, lambda p: of(provider, p)))

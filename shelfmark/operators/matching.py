@@ -136,9 +136,9 @@ GONE_CODES, BARRED_CODES = (4100009, 4100010, 4100018), (4100008, 4100012)
 
 def share_groups(resources: DataFrame) -> DataFrame:
     """``resources`` (id, url, ...) with ``share``: the identity that a link check is of. What is no share is its own."""
-    who = share_identity(F.col("url"))
-    known = F.concat_ws("/", who["provider"], who["code"], who["password"])
-    return resources.withColumn("share", F.when(who.isNotNull(), known).otherwise(F.concat(F.lit("invalid/"), F.col("id").cast("string"))))
+    own = F.concat(F.lit("invalid/"), F.col("id").cast("string"))
+    share = let(share_identity(F.col("url")), lambda who: F.when(who.isNotNull(), F.concat_ws("/", who["provider"], who["code"], who["password"])).otherwise(own))
+    return resources.withColumn("share", share)
 
 
 def checked_resources(resources: DataFrame, probes: DataFrame) -> DataFrame:

@@ -71,6 +71,14 @@ def test_rounds_end_when_nothing_changes(spark):
     assert [r["t"] for r in made.collect()] == ["ab", "xab", "ab", None, ""]
 
 
+def test_a_link_is_taken_apart_few_times(spark):
+    links = ["https://115.com/s/abc?password=x", "https://115.com/elsewhere", None, "https://115.com//s//a?b=1&pwd=&password=y#z?pwd=q", "https://115.com/s/a b?password=x", "https://115.com/s/ab?xpassword=n&pwd=m", "https://www.123pan.com/s/k.html?pwd=1"]
+    rows = spark.createDataFrame(list(enumerate(links, 1)), "id long, url string")
+    shares = matching.share_groups(rows)
+    assert _plan(shares).count("parse_url") <= 2
+    assert [r["share"] for r in shares.orderBy("id").collect()] == ["115/abc/x", "invalid/2", "invalid/3", "115/a/y", "invalid/5", "115/ab/m", "123/k/1"]
+
+
 def test_titles_of_works_are_classed_once_a_work(spark):
     r = spark.createDataFrame([(1, 1, "other", None, "a", None), (2, 1, "other", "series", "a", None), (3, 2, "other", None, "a", None), (4, 3, "media", "person", "a", None)], "id long, work_id long, resource_class string, kind string, raw_label string, filename string")
     w = spark.createDataFrame([(1, "x 演唱会", "movie", "media", False), (2, "x 合集", "tv", "media", False), (3, "x 演唱会", "tv", "media", False)], "id long, title string, media_type string, resource_kind string, is_bundle boolean")
