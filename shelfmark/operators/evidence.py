@@ -83,6 +83,10 @@ def confirmed(works: DataFrame, resources: DataFrame, links: DataFrame, messages
     """
     open_ = works.filter(F.col("status") == "review").select(F.col("id").alias("work_id"), F.col("title_key").alias("_own_key"), F.col("media_type").alias("own_type"))
     asked = resources.select("work_id", "source_key").join(open_.select("work_id"), "work_id", "left_semi").distinct()
+    # only messages that a resource in question is from are read; as their text hangs on the join, no test of it comes before
+    links = links.join(asked.select("source_key").distinct(), "source_key", "left_semi")
+    used = links.groupBy(F.col("message_id").alias("id")).agg(F.count(F.lit(1)).alias("_links"))
+    messages = messages.join(used, "id").select("id", F.when(F.col("_links") > 0, F.col("text")).alias("text"))
     said = stated(messages).filter(F.col("said").isNotNull()).select(F.col("id").alias("message_id"), "said.*")
     same = consistent_evidence(asked, links, said.select("message_id", "title_key", "year", "season"))
     told = links.select("source_key", "message_id").join(said, "message_id").join(asked, "source_key").groupBy("work_id").agg(

@@ -15,13 +15,13 @@ def _children(node):
     return [found.apply(i) for i in range(found.size())]
 
 
-def most_rows(df) -> int:
-    """Runs ``df`` and returns the rows of the step that made most."""
+def most_rows(df, metric: str = "numOutputRows") -> int:
+    """Runs ``df`` and returns the rows of the step that made most, by a metric."""
     df.collect()
     waiting, most = [df._jdf.queryExecution().executedPlan()], 0
     while waiting:
         node = waiting.pop()
-        counted = node.metrics().get("numOutputRows")
+        counted = node.metrics().get(metric)
         most = max(most, counted.get().value() if counted.isDefined() else 0)
         waiting += _children(node)
     return most

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import rules
 from shelfmark.functions.text import settled
-from shelfmark.operators import fallbacks, headings, maintenance, matching
+from shelfmark.operators import evidence, fallbacks, headings, maintenance, matching
 
 ASKED = "id long, collection_id long, title_key string, year int"
 PARTS = "collection_id long, catalogue_id long, part_key string, part_year int"
@@ -91,3 +91,14 @@ def test_every_collection_marker_has_the_sign_looked_for_first(spark):
     texts = ["（系列", "[collection]", "全系列", "等等电影", "远套装", "x合集", "全三部", "三部曲", "x系列", "1-3部", "2001二部", "x 三部", "a BOX set", "BoxSet", "远 合輯", "plain", "", None]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", headings.has_collection_marker(F.col("t")).alias("m"), F.coalesce("t", F.lit("")).rlike(rules.COLLECTION).alias("plain"))
     assert all(r["m"] == r["plain"] for r in rows.collect()) and sum(r["m"] for r in rows.collect()) >= 12
+
+
+def test_only_messages_of_works_in_review_are_read(spark):
+    messages = spark.range(5000).select("id", F.concat(F.lit("名称：Work"), "id", F.lit("\n年份：2000")).alias("text"))
+    works = messages.select("id", F.concat(F.lit("work"), "id").alias("title_key"), F.when(F.col("id") < 3, "review").otherwise("pending").alias("status"), F.lit("tv").alias("media_type"))
+    resources = messages.select(F.col("id").alias("work_id"), F.col("id").cast("string").alias("source_key"))
+    links = messages.select(F.col("id").alias("message_id"), F.col("id").cast("string").alias("source_key"))
+    titles = messages.select(F.col("id").alias("work_id"), F.col("id").alias("catalogue_id"), F.concat(F.lit("Work"), "id").alias("title"), F.concat(F.lit("work"), "id").alias("title_key"), F.lit(2000).alias("year"), F.lit("tv").alias("media_type"), F.lit(0.5).alias("score"))
+    made = evidence.confirmed(works, resources, links, messages, titles)
+    assert most_rows(made, "pythonNumRowsReceived") <= 100
+    assert sorted(r["work_id"] for r in made.collect()) == [0, 1, 2]
