@@ -92,7 +92,7 @@ def quality_label(text: Column, tags: Column) -> Column:
 
 _CUTS = (
     rules.EPISODE, rules.QUALITY, rules.TECHNICAL, rules.NOISE, rules.SEASON_TOTAL, rules.SEASON_SPAN, rules.SEASON_SINGLE, rules.SEASON_CN,
-    rules.EPISODE_SPAN_CN, rules.EPISODE_TOTAL, rules.EPISODE_PROGRESS, rules.COLLECTION,
+    rules.EPISODE_SPAN_CN, rules.EPISODE_TOTAL, rules.EPISODE_PROGRESS,
 )
 
 
@@ -100,11 +100,14 @@ def heading_title(h: Column, kind: Column) -> Column:
     """Title part of a heading: text before the first structural mark, then cleaned."""
     # A bracketed year outranks a free-standing one, and progress outranks a single episode.
     bracketed, progress = h.rlike(rules.BRACKETED_YEAR), h.rlike(rules.EPISODE_PROGRESS)
+    # most headings have no sign of a collection, and its many forms are not tried at each of their places
+    signed = h.rlike(rules.COLLECTION_HINT)
+    cut_at = lambda *first: F.when(signed, cut_at_first(h, [*first, *_CUTS, rules.COLLECTION])).otherwise(cut_at_first(h, [*first, *_CUTS]))
     cut = (
-        F.when(bracketed & progress, cut_at_first(h, [rules.BRACKETED_YEAR, *_CUTS]))
-        .when(bracketed, cut_at_first(h, [rules.BRACKETED_YEAR, rules.EPISODE_SINGLE, *_CUTS]))
-        .when(progress, cut_at_first(h, [rules.YEAR, *_CUTS]))
-        .otherwise(cut_at_first(h, [rules.YEAR, rules.EPISODE_SINGLE, *_CUTS]))
+        F.when(bracketed & progress, cut_at(rules.BRACKETED_YEAR))
+        .when(bracketed, cut_at(rules.BRACKETED_YEAR, rules.EPISODE_SINGLE))
+        .when(progress, cut_at(rules.YEAR))
+        .otherwise(cut_at(rules.YEAR, rules.EPISODE_SINGLE))
     )
     edge = rules.EDGE + rules.BRACKETS + "✨"
     unnamed = F.lit(rules.PLACEHOLDER_TITLE)

@@ -181,7 +181,7 @@ def link_rows(t: Tables):
     CASE WHEN h LIKE '%电影%' THEN '2160p,H.265,Dolby Vision' ELSE '1080p,H.264' END AS tags, CASE WHEN h LIKE '%电影%' THEN 'HEVC' ELSE 'X264' END AS codec, CASE WHEN h LIKE '%电影%' THEN 'DV' END AS hdr,
     regexp_extract(block, '：(\\d)', 1) AS rating FROM q""")
 def parsed_headings(t: Tables):
-    blocks = t.post.withColumn("block", F.regexp_extract("text", r"^([^\n]*\n[^\n]*)", 1))
+    blocks = spread(t.post).withColumn("block", F.regexp_extract("text", r"^([^\n]*\n[^\n]*)", 1))
     first = blocks.withColumn("h", F.split_part("block", F.lit("\n"), F.lit(1)))
     out = headings.parse_headings(first, "h")
     return out.select(

@@ -102,3 +102,12 @@ def test_only_messages_of_works_in_review_are_read(spark):
     made = evidence.confirmed(works, resources, links, messages, titles)
     assert most_rows(made, "pythonNumRowsReceived") <= 100
     assert sorted(r["work_id"] for r in made.collect()) == [0, 1, 2]
+
+
+def test_headings_of_a_small_table_are_parsed_by_several_tasks(spark):
+    assert entry.queries()["parsed_headings"](spark, "/root/testdata/sf0.01").rdd.getNumPartitions() > 1
+
+
+def test_titles_end_where_a_collection_marker_does_or_does_not_begin(spark):
+    rows = spark.createDataFrame([("远山 合集 2001",), ("远山 全三部 4K",), ("Box (2001) 1080p",), ("Plain 2160p",), ("Work BOX SET 2001",)], "h string")
+    assert [r["t"] for r in rows.select(headings.heading_title(F.col("h"), F.lit("media")).alias("t")).collect()] == ["远山", "远山", "Box", "Plain", "Work"]
