@@ -62,13 +62,28 @@ def title_key(text: Column, exact: bool = True) -> Column:
     return F.regexp_replace(casefold(folded), r"[^\p{L}\p{N}]", "")
 
 
+_NUL = "\0"
+
+
+def title_keys(texts: Column) -> Column:
+    """``title_key`` of each text of an array, each key once; texts without letters and digits have none.
+
+    The texts are folded as one, joined by a character that no key has; it becomes a blank in texts that hold it.
+    """
+    joined = F.array_join(texts, _NUL, "")
+    whole = F.size(F.split(joined, _NUL)) == F.greatest(F.size(texts), F.lit(1))
+    apart = F.when(whole, joined).otherwise(F.array_join(F.transform(texts, lambda t: F.replace(t, F.lit(_NUL), F.lit(" "))), _NUL, ""))
+    keys = F.regexp_replace(casefold(nfkc(apart)), r"[^\p{L}\p{N}\x00]", "")
+    return F.array_distinct(F.array_remove(F.split(keys, _NUL), ""))
+
+
 def name_key(text: Column) -> Column:
     """Identity of a name: case folded, blanks collapsed, punctuation kept."""
     return F.trim(F.regexp_replace(casefold(fold_width(text)), r"\s+", " "))
 
 
 def first_line(text: Column) -> Column:
-    return F.split_part(F.regexp_replace(text, r"\r\n?", "\n"), F.lit("\n"), F.lit(1))
+    return F.substring_index(F.translate(text, "\r", "\n"), "\n", 1)
 
 
 def drop_icons(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -48,23 +49,16 @@ def nfkc(text: Column) -> Column:
     return F.when(plain, fold_width(text)).otherwise(_nfkc(F.when(~plain, text)))
 
 
+@lru_cache(maxsize=65_536)
+def _ratio(left: str, right: str) -> float:
+    return 1.0 if left == right else SequenceMatcher(None, left, right, autojunk=True).ratio()
+
+
 @pandas_udf(DoubleType())
-def similarity_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Matching-block ratio of two titles, for blocked pairs only."""
-    matcher, held, out = SequenceMatcher(autojunk=True), None, []
-    for a, b in zip(left, right):
-        if a is None or b is None:
-            out.append(None)
-            continue
-        if a == b:
-            out.append(1.0)
-            continue
-        if b != held:  # the matcher caches its index of the second string
-            matcher.set_seq2(b)
-            held = b
-        matcher.set_seq1(a)
-        out.append(matcher.ratio())
-    return pd.Series(out, dtype="float64")
+def best_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+    """The best matching-block ratio of any text of the first array and any of the second; null for a null or an empty one."""
+    each = (None if a is None or b is None else max((_ratio(x, y) for x in a for y in b), default=None) for a, b in zip(left, right))
+    return pd.Series(list(each), dtype="float64")
 
 
 def edit_similarity(left: Column, right: Column) -> Column:

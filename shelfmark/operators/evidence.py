@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions.text import first_int, first_match, strip_chars, title_key, written_number
-from ..functions.udfs import similarity_ratio
+from ..functions.text import first_int, first_match, strip_chars, title_key, title_keys, written_number
+from ..functions.udfs import best_ratio
 from .matching import admissible, consistent_evidence
 from .resolve import auto_link, score
 
@@ -108,34 +108,28 @@ def plain_latin(text: Column) -> Column:
     return text.rlike(r"^[\x00-\x7F]*$") & text.rlike(LATIN)
 
 
-def evidence_flags(candidates: DataFrame, works: DataFrame, titles: DataFrame, resource_titles: DataFrame) -> DataFrame:
-    """``candidates`` with the flags that speak for and against each; what ``admissible`` and ``auto_link`` read.
-
-    ``candidates``: work_id, catalogue_id, media_type, titles (all known ones, the original and verified ones included),
-    latin_original (the original title or a verified one is plain Latin), year, explicit, derived (no hit but of derived
-    terms), verified (further titles were asked for). ``works``: work_id, title, media_type, episodic, years (known ones),
-    structured_type (its type has support of its own), resource_kind, resource_mixed. ``titles`` (work_id, title): all
-    local titles. ``resource_titles`` (work_id, resource, title): the titles of each resource that names any.
+def _flagged(candidates: DataFrame, works: DataFrame, titles: DataFrame, resource_titles: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``candidates`` with their flags, the names of these, and what they are of: ``_keys`` of the local titles, ``_theirs`` of the candidate's, ``_own_type``, ``years``.
 
-    A name conflict: the work's title is Chinese, local titles and the candidate's are also Latin, and no Latin one agrees.
+    All meets by work, so rows are shuffled by it once. Keys are made of whole lists of titles, not of a row for each.
     """
-    keys = titles.filter(F.col("title").isNotNull()).select("work_id", title_key(F.col("title")).alias("_key"), plain_latin(F.col("title")).alias("_latin"))
-    local = keys.filter(F.col("_key") != "").groupBy("work_id").agg(F.collect_set("_key").alias("_keys"), F.collect_set(F.when(F.col("_latin"), F.col("_key"))).alias("_latin_keys"))
-    named = resource_titles.select("work_id", "resource", title_key(F.col("title")).alias("_key")).groupBy("work_id", "resource").agg(F.collect_set("_key").alias("_k"))
-    theirs = candidates.select("work_id", "catalogue_id", "media_type", F.explode("titles").alias("_t")).withColumn("_key", title_key(F.col("_t")))
-    theirs = theirs.filter(F.col("_key") != "").groupBy("work_id", "catalogue_id", "media_type").agg(F.collect_set("_key").alias("_theirs"))
+    local = titles.filter(F.col("title").isNotNull()).groupBy("work_id").agg(F.collect_set("title").alias("_titles"))
+    local = local.select("work_id", title_keys(F.col("_titles")).alias("_keys"), title_keys(F.filter("_titles", plain_latin)).alias("_latin_keys"))
+    # resources of a work that name the same are one
+    named = resource_titles.groupBy("work_id", "resource").agg(F.sort_array(F.collect_set("title")).alias("_named")).select("work_id", "_named").distinct()
+    named = named.select("work_id", title_keys(F.col("_named")).alias("_k")).groupBy("work_id").agg(F.collect_set("_k").alias("_all_named"))
     own = works.select(
         "work_id", F.col("media_type").alias("_own_type"), "episodic", "years", "structured_type", "resource_kind", "resource_mixed",
         title_key(F.col("title")).alias("_own"), F.col("title").rlike(CJK).alias("_cjk"),
     )
-    joined = candidates.join(own, "work_id").join(local, "work_id", "left").join(theirs, ["work_id", "catalogue_id", "media_type"], "left")
     none = F.array().cast("array<string>")
+    joined = candidates.withColumn("_t", title_keys(F.col("titles"))).join(own, "work_id").join(local, "work_id", "left").join(named, "work_id", "left")
+    one = Window.partitionBy("work_id", "catalogue_id", "media_type")
+    known = F.col("catalogue_id").isNotNull() & F.col("media_type").isNotNull()
+    joined = joined.withColumn("_theirs", F.when(known, F.array_distinct(F.flatten(F.collect_set("_t").over(one)))))
     joined = joined.withColumns({c: F.coalesce(c, none) for c in ("_keys", "_latin_keys", "_theirs")})
     # a resource agrees if any of its titles does; all resources of a work have to
-    fits = joined.select("work_id", "catalogue_id", "media_type", "_theirs").join(named, "work_id").groupBy("work_id", "catalogue_id", "media_type").agg(
-        F.bool_and(F.arrays_overlap("_k", "_theirs")).alias("_resources_fit")
-    )
-    joined = joined.join(fits, ["work_id", "catalogue_id", "media_type"], "left")
+    joined = joined.withColumn("_resources_fit", F.when(known, F.forall("_all_named", lambda k: F.arrays_overlap(k, "_theirs"))))
     years = F.coalesce("years", F.array().cast("array<int>"))
     dated = F.size(years) > 0
     disagrees = F.coalesce(~F.col("_resources_fit"), F.lit(False))
@@ -158,31 +152,35 @@ def evidence_flags(candidates: DataFrame, works: DataFrame, titles: DataFrame, r
     # an unverified name matters only where the title would else be taken for the work's
     out = out.withColumn("resource_name_unverified", F.col("resource_name_unverified") & F.col("exact"))
     against = ("name_conflict", "type_conflict", "type_mismatch", "year_conflict", "year_unverified", "resource_conflict", "resource_name_conflict", "resource_name_unverified")
-    return out.withColumn("blocked", reduce(lambda a, b: a | b, [F.col(a) for a in against])).select(*candidates.columns, *flags, "blocked")
+    return out.withColumn("blocked", reduce(lambda a, b: a | b, [F.col(a) for a in against])), [*flags, "blocked"]
 
 
-def best_similarity(candidates: DataFrame, titles: DataFrame) -> DataFrame:
-    """(work_id, catalogue_id, media_type, similarity): the best matching-block ratio of any local title and any of the candidate's.
+def evidence_flags(candidates: DataFrame, works: DataFrame, titles: DataFrame, resource_titles: DataFrame) -> DataFrame:
+    """``candidates`` with the flags that speak for and against each; what ``admissible`` and ``auto_link`` read.
 
-    ``candidates`` with ``titles`` (all known ones), ``titles`` (work_id, title). Titles are compared by their keys; each
-    two different ones are compared once, however many works and candidates have them. No titles: 0.
+    ``candidates``: work_id, catalogue_id, media_type, titles (all known ones, the original and verified ones included),
+    latin_original (the original title or a verified one is plain Latin), year, explicit, derived (no hit but of derived
+    terms), verified (further titles were asked for). ``works``: work_id, title, media_type, episodic, years (known ones),
+    structured_type (its type has support of its own), resource_kind, resource_mixed. ``titles`` (work_id, title): all
+    local titles. ``resource_titles`` (work_id, resource, title): the titles of each resource that names any.
+
+    A name conflict: the work's title is Chinese, local titles and the candidate's are also Latin, and no Latin one agrees.
     """
-    ours = titles.filter(F.col("title").isNotNull()).select("work_id", title_key(F.col("title")).alias("_a")).filter(F.col("_a") != "").distinct()
-    theirs = candidates.select("work_id", "catalogue_id", "media_type", F.explode("titles").alias("_t")).withColumn("_b", title_key(F.col("_t"))).filter(F.col("_b") != "").drop("_t").distinct()
-    both = theirs.join(ours, "work_id")
-    ratios = both.select("_a", "_b").distinct().withColumn("_ratio", F.when(F.col("_a") == F.col("_b"), 1.0).otherwise(similarity_ratio(F.col("_a"), F.col("_b"))))
-    best = both.join(ratios, ["_a", "_b"]).groupBy("work_id", "catalogue_id", "media_type").agg(F.max("_ratio").alias("similarity"))
-    return candidates.select("work_id", "catalogue_id", "media_type").distinct().join(best, ["work_id", "catalogue_id", "media_type"], "left").na.fill(0.0, ["similarity"])
+    flagged, flags = _flagged(candidates, works, titles, resource_titles)
+    return flagged.select(*candidates.columns, *flags)
 
 
 def scored_candidates(candidates: DataFrame, works: DataFrame, titles: DataFrame, resource_titles: DataFrame) -> DataFrame:
     """``candidates`` with their flags (``evidence_flags``), ``similarity`` and ``score`` over all titles and all known years.
 
-    ``candidates`` has popularity besides what the flags need. A name that conflicts scores 0.
+    ``candidates`` has popularity besides what the flags need. A name that conflicts scores 0. The similarity is the best
+    matching-block ratio of the keys of any local title and any of the candidate's, 0 without any; equal ones need no comparison.
     """
-    flagged = evidence_flags(candidates, works, titles, resource_titles)
-    own = works.select("work_id", F.col("media_type").alias("_own_type"), "years")
-    joined = flagged.join(best_similarity(candidates, titles), ["work_id", "catalogue_id", "media_type"]).join(own, "work_id")
+    flagged, flags = _flagged(candidates.filter(F.col("catalogue_id").isNotNull() & F.col("media_type").isNotNull()), works, titles, resource_titles)
+    unlike = ~F.arrays_overlap("_keys", "_theirs") & (F.size("_keys") > 0) & (F.size("_theirs") > 0)
+    ratio = best_ratio(F.when(unlike, F.col("_keys")), F.when(unlike, F.col("_theirs")))
+    similarity = F.when(unlike, ratio).when(F.arrays_overlap("_keys", "_theirs"), 1.0).otherwise(0.0)
+    joined = flagged.withColumn("similarity", similarity).select(*candidates.columns, *flags, "similarity", "_own_type", "years")
     known = F.when(F.array_contains("years", F.col("year")), F.col("year")).otherwise(F.get("years", F.lit(0)))
     value = score(
         F.col("similarity"), F.col("primary_exact"), F.col("exact"), F.col("explicit"), F.when(F.size(F.coalesce("years", F.array().cast("array<int>"))) > 0, known), F.col("year"), F.col("_own_type"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -35,10 +35,11 @@ def admissible(candidates: DataFrame) -> DataFrame:
         title.rlike(rules.CJK) & ~title.rlike(rules.KANA_OR_HANGUL) & F.col("exact") & (F.col("score") >= EXACT_SCORE)
         & F.col("media_type").isin("movie", "tv") & ~F.col("blocked")
     )
-    groups = usable.filter(localised).select("work_id", "media_type", "year").distinct().withColumn("_localised", F.lit(True))
     latin = title.rlike("[A-Za-z]") & ~title.rlike(r"[\p{L}&&[^A-Za-z]]")
-    joined = usable.join(groups, ["work_id", "media_type", "year"], "left")
-    return joined.filter(~(latin & F.col("exact") & ~F.col("explicit") & F.coalesce("_localised", F.lit(False)))).drop("_localised")
+    # what a work's other candidates say is looked up in place: a join with them would make the candidates twice
+    group = Window.partitionBy("work_id", "media_type", "year")
+    marked = usable.withColumn("_localised", F.coalesce(F.bool_or(localised).over(group), F.lit(False)) & F.col("work_id").isNotNull())
+    return marked.filter(~(latin & F.col("exact") & ~F.col("explicit") & F.col("_localised"))).drop("_localised")
 
 
 def rival_status(coverage: DataFrame, rivals: DataFrame, seasons: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from growth import most_rows
 from pyspark.sql import functions as F
 
 from shelfmark import rules
-from shelfmark.functions.text import settled
+from shelfmark.functions.text import settled, title_key, title_keys
 from shelfmark.operators import evidence, fallbacks, headings, maintenance, matching
 
 ASKED = "id long, collection_id long, title_key string, year int"
@@ -111,3 +111,25 @@ def test_headings_of_a_small_table_are_parsed_by_several_tasks(spark):
 def test_titles_end_where_a_collection_marker_does_or_does_not_begin(spark):
     rows = spark.createDataFrame([("远山 合集 2001",), ("远山 全三部 4K",), ("Box (2001) 1080p",), ("Plain 2160p",), ("Work BOX SET 2001",)], "h string")
     assert [r["t"] for r in rows.select(headings.heading_title(F.col("h"), F.lit("media")).alias("t")).collect()] == ["远山", "远山", "Box", "Plain", "Work"]
+
+
+def test_flags_meet_by_work_and_are_made_once(spark):
+    c, w, t, r = (
+        spark.createDataFrame([], s) for s in (
+            "work_id long, catalogue_id long, media_type string, titles array<string>, latin_original boolean, year int, explicit boolean, derived boolean, verified boolean, popularity double",
+            "work_id long, title string, media_type string, episodic boolean, years array<int>, structured_type boolean, resource_kind string, resource_mixed boolean",
+            "work_id long, title string", "work_id long, resource long, title string",
+        )
+    )
+    assert _plan(evidence.evidence_flags(c, w, t, r)).count("LogicalRDD") <= 4  # each table is read once
+    assert _plan(evidence.scored_candidates(c, w, t, r)).count("LogicalRDD") <= 4
+    assert _plan(evidence.decisions(evidence.scored_candidates(c, w, t, r), F.lit(False))).count("LogicalRDD") <= 4
+
+
+def test_keys_of_lists_are_those_of_each_title(spark):
+    lists = [["Ａb c", "Σάς", None, "x"], ["é", "é", "－"], [], None, ["a\0b", "ab"], ["ǅ 1", "ß"], [None]]
+    rows = spark.createDataFrame(list(enumerate(lists)), "id int, l array<string>")
+    each = rows.select("id", F.explode("l").alias("t")).select("id", title_key(F.col("t")).alias("k")).filter("k <> ''").groupBy("id").agg(F.collect_set("k").alias("k"))
+    want = {r["id"]: set(r["k"]) for r in each.collect()}
+    got = {r["id"]: r["k"] for r in rows.select("id", title_keys(F.col("l")).alias("k")).collect()}
+    assert all(set(got[i] or []) == want.get(i, set()) and len(got[i] or []) == len(want.get(i, ())) for i in got)
