@@ -47,20 +47,21 @@ def rival_status(coverage: DataFrame, rivals: DataFrame, seasons: DataFrame) ->
 
     ``coverage`` (work_id, season, first, last, episodes, contiguous), ``rivals`` (work_id, catalogue_id, total_episodes, total_seasons),
     ``seasons`` (catalogue_id, season, episode_count). conflict: a season goes beyond the rival's; unverified: a season is
-    missing there or its totals disagree; exact: all seasons are whole; else compatible.
+    missing there or its totals disagree; exact: all seasons are whole; else compatible. The seasons of a work and of a rival
+    are a list each, so each pair is one row, met with either once.
     """
-    totals = seasons.groupBy("catalogue_id").agg(F.sum("episode_count").alias("_episodes"), F.count(F.lit(1)).alias("_seasons"))
-    each = rivals.join(coverage, "work_id").join(seasons, ["catalogue_id", "season"], "left")
-    known = each.groupBy("work_id", "catalogue_id", "total_episodes", "total_seasons").agg(
-        F.bool_or(F.col("episode_count").isNull()).alias("_missing"), F.bool_or(F.col("last") > F.col("episode_count")).alias("_beyond"),
-        F.bool_and(F.col("contiguous") & (F.col("first") == 1) & (F.col("episodes") == F.col("episode_count"))).alias("_whole"),
-    ).join(totals, "catalogue_id", "left")
+    have = coverage.groupBy("work_id").agg(F.collect_list(F.struct("season", "first", "last", "episodes", "contiguous")).alias("_have"))
+    known = seasons.groupBy("catalogue_id").agg(F.collect_list(F.struct("season", "episode_count")).alias("_known"), F.sum("episode_count").alias("_episodes"), F.count(F.lit(1)).alias("_seasons"))
+    pairs = rivals.select("work_id", "catalogue_id", "total_episodes", "total_seasons").distinct().join(known, "catalogue_id", "left").join(have, "work_id")
+    theirs = F.coalesce("_known", F.array().cast("array<struct<season:int,episode_count:int>>"))
+    same = lambda h: F.filter(theirs, lambda s: s["season"] == h["season"])
+    whole = lambda h, s: h["contiguous"] & (h["first"] == 1) & (h["episodes"] == s["episode_count"])
+    missing = F.exists("_have", lambda h: let(same(h), lambda m: (F.size(m) == 0) | F.exists(m, lambda s: s["episode_count"].isNull())))
+    beyond = F.exists("_have", lambda h: F.exists(same(h), lambda s: F.coalesce(h["last"] > s["episode_count"], F.lit(False))))
+    all_whole = F.forall("_have", lambda h: F.forall(same(h), lambda s: F.coalesce(whole(h, s), F.lit(False))))
     consistent = F.coalesce((F.col("total_episodes") == F.col("_episodes")) & (F.col("total_seasons") == F.col("_seasons")), F.lit(False))
-    status = (
-        F.when(F.col("_missing"), "unverified").when(F.col("_beyond"), "conflict").when(~consistent, "unverified")
-        .when(F.col("_whole"), "exact").otherwise("compatible")
-    )
-    return known.select("work_id", "catalogue_id", status.alias("status"))
+    status = F.when(missing, "unverified").when(beyond, "conflict").when(~consistent, "unverified").when(all_whole, "exact").otherwise("compatible")
+    return pairs.select("work_id", "catalogue_id", status.alias("status"))
 
 
 def disambiguated(rivals: DataFrame) -> DataFrame:
@@ -68,12 +69,13 @@ def disambiguated(rivals: DataFrame) -> DataFrame:
 
     That is where of 2 to 12 rivals exactly one is exact and all others conflict.
     """
-    counts = rivals.groupBy("work_id").agg(
-        F.count(F.lit(1)).alias("_n"), F.count(F.when(F.col("status") == "exact", 1)).alias("_exact"), F.count(F.when(F.col("status") == "conflict", 1)).alias("_conflict")
-    )
+    work = Window.partitionBy("work_id")  # in place: a join with the counts would make the rivals twice
+    counted = rivals.filter(F.col("work_id").isNotNull()).withColumns({
+        "_n": F.count(F.lit(1)).over(work), "_exact": F.count(F.when(F.col("status") == "exact", 1)).over(work), "_conflict": F.count(F.when(F.col("status") == "conflict", 1)).over(work),
+    })
     decided = (F.col("_n").between(2, 12)) & (F.col("_exact") == 1) & (F.col("_conflict") == F.col("_n") - 1)
     score = F.when(decided & (F.col("status") == "conflict"), F.least("score", F.lit(REFUTED_SCORE))).otherwise(F.col("score"))
-    return rivals.join(counts, "work_id").select("work_id", "catalogue_id", "status", score.alias("score"), (decided & (F.col("status") == "exact")).alias("season_match"))
+    return counted.select("work_id", "catalogue_id", "status", score.alias("score"), (decided & (F.col("status") == "exact")).alias("season_match"))
 
 
 def consistent_evidence(resources: DataFrame, links: DataFrame, evidence: DataFrame) -> DataFrame:

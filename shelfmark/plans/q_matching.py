@@ -45,7 +45,7 @@ def _rivals(t: Tables):
     spans = t.resource.filter(F.col("episode").isNotNull()).select("work_id", F.lit(1).alias("season"), F.col("episode").alias("first"), F.col("episode").alias("last"))
     k = F.col("catalogue_id")
     seasons = t.part.select(F.col("p_partkey").alias("catalogue_id"), F.lit(1).alias("season"), (1 + F.col("p_partkey") % 4).alias("episode_count"))
-    rivals = t.candidate.select("work_id", "catalogue_id").distinct().withColumns({"total_episodes": 1 + k % 4 + F.when(k % 11 == 0, 1).otherwise(0), "total_seasons": F.lit(1)})
+    rivals = t.candidate.select("work_id", "catalogue_id").withColumns({"total_episodes": 1 + k % 4 + F.when(k % 11 == 0, 1).otherwise(0), "total_seasons": F.lit(1)})
     return matching.rival_status(coverage.coverage(spans, ["work_id", "season"]), rivals, seasons)
 
 

@@ -133,3 +133,19 @@ def test_keys_of_lists_are_those_of_each_title(spark):
     want = {r["id"]: set(r["k"]) for r in each.collect()}
     got = {r["id"]: r["k"] for r in rows.select("id", title_keys(F.col("l")).alias("k")).collect()}
     assert all(set(got[i] or []) == want.get(i, set()) and len(got[i] or []) == len(want.get(i, ())) for i in got)
+
+
+def test_rivals_and_seasons_are_read_once(spark):
+    coverage = spark.createDataFrame([(1, 1, 1, 2, 2, True), (2, 1, 1, 3, 3, True), (2, 2, 1, 1, 1, True)], "work_id long, season int, first int, last int, episodes int, contiguous boolean")
+    rivals = spark.createDataFrame([(1, 7, 2, 1), (1, 8, 1, 1), (1, 9, 1, 1), (2, 7, 2, 1), (2, 6, 4, 2), (1, 7, 2, 1), (3, 7, 2, 1)], "work_id long, catalogue_id long, total_episodes int, total_seasons int")
+    seasons = spark.createDataFrame([(7, 1, 2), (8, 1, 1), (6, 1, 3), (6, 2, 1)], "catalogue_id long, season int, episode_count int")
+    status = matching.rival_status(coverage, rivals, seasons)
+    assert _plan(status).count("LogicalRDD") == 3
+    assert {(r[0], r[1]): r[2] for r in status.collect()} == {(1, 7): "exact", (1, 8): "conflict", (1, 9): "unverified", (2, 7): "unverified", (2, 6): "exact"} and status.count() == 5
+
+
+def test_rivals_are_counted_in_place(spark):
+    rivals = spark.createDataFrame([(1, 7, 0.9, "exact"), (1, 8, 0.9, "conflict"), (2, 7, 0.9, "exact"), (None, 7, 0.9, "exact")], "work_id long, catalogue_id long, score double, status string")
+    made = matching.disambiguated(rivals)
+    assert _plan(made).count("LogicalRDD") == 1
+    assert {(r["work_id"], r["catalogue_id"]): (r["score"], r["season_match"]) for r in made.collect()} == {(1, 7): (0.9, True), (1, 8): (0.79, False), (2, 7): (0.9, False)}
