@@ -6,11 +6,14 @@ is judged, so the size of a work does not matter.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.text import first_line, title_key
+from ..session import written
 from .evidence import decisions, scored_candidates
 from .fallbacks import applied_links
 from .headings import has_collection_marker, split_episode_suffix
@@ -34,27 +37,26 @@ def type_evidence(works: DataFrame, resources: DataFrame) -> DataFrame:
     is a conflict. A bare first season, an icon or a date for an episode is weak. Audio says nothing. Reasons are distinct and in
     alphabetical order.
     """
-    heads = _said(first_line(F.col("context")), F.trim(first_line(F.col("raw_label"))), F.trim(first_line(F.col("filename"))))
-    r = resources.withColumn("_heads", heads)
+    heads = {"_h0": first_line(F.col("context")), "_h1": F.trim(first_line(F.col("raw_label"))), "_h2": F.trim(first_line(F.col("filename")))}
+    r = resources.withColumns(heads)
     number = F.col("episode").between(1, LAST_EPISODE)
     told = lambda name, c: F.concat(F.lit(f"{name}:"), c.cast("string"))
-    words = lambda name, pattern: F.transform(
-        F.filter("_heads", lambda h: h.rlike(pattern)), lambda h: F.concat(F.lit(f"{name}:"), F.trim(F.regexp_extract(h, f"({pattern})", 1)))
-    )
-    tv = F.concat(
-        _said(F.when(number, told("episode", F.col("episode"))), F.when(F.col("season_end").isNotNull(), told("season_end", F.col("season_end"))), F.when(F.col("season_end").isNull() & (F.col("season") > 1), told("season", F.col("season")))),
-        words("tv_text", rules.STRONG_TV_TEXT),
+    # each head is a column: patterns are not tried in functions of rows
+    words = lambda name, pattern, sign: [F.when(F.col(h).rlike(sign) & F.col(h).rlike(pattern), F.concat(F.lit(f"{name}:"), F.trim(F.regexp_extract(h, f"({pattern})", 1)))) for h in heads]
+    tv = _said(
+        F.when(number, told("episode", F.col("episode"))), F.when(F.col("season_end").isNotNull(), told("season_end", F.col("season_end"))), F.when(F.col("season_end").isNull() & (F.col("season") > 1), told("season", F.col("season"))),
+        *words("tv_text", rules.STRONG_TV_TEXT, rules.STRONG_TV_SIGN),
     )
+    icon = reduce(lambda a, b: a | b, [F.coalesce(F.col(h).rlike(rules.TYPE_ICON), F.lit(False)) for h in heads])
     weak = _said(
         F.when(F.col("episode").isNotNull() & ~number, told("episode_date", F.col("episode"))), F.when(F.col("season_end").isNull() & (F.col("season") == 1), F.lit("season:1")),
-        F.when(F.exists("_heads", lambda h: h.rlike(rules.TYPE_ICON)), F.lit("icon_only")),
+        F.when(icon, F.lit("icon_only")),
     )
-    audio = F.coalesce(F.array_join("_heads", " ").rlike(rules.AUDIO_FILE_END), F.lit(False))
-    said = r.select("work_id", F.explode(F.concat(
-        F.transform(tv, lambda x: F.struct(F.lit("tv").alias("k"), x.alias("v"))), F.transform(words("movie_text", rules.MOVIE_TEXT), lambda x: F.struct(F.lit("movie").alias("k"), x.alias("v"))),
-        F.transform(weak, lambda x: F.struct(F.lit("weak").alias("k"), x.alias("v"))), F.when(audio, F.array(F.struct(F.lit("audio").alias("k"), F.lit("audio_file").alias("v")))).otherwise(F.array().cast("array<struct<k:string,v:string>>")),
-    )).alias("e")).select("work_id", "e.*").distinct()
-    each = said.groupBy("work_id").agg(*[F.sort_array(F.collect_list(F.when(F.col("k") == k, F.col("v")))).alias(f"_{k}") for k in ("tv", "movie", "weak", "audio")])
+    audio = F.when(F.concat_ws(" ", *heads).rlike(rules.AUDIO_FILE_END), F.array(F.lit("audio_file")))
+    kinds = {"_tv": tv, "_movie": _said(*words("movie_text", rules.MOVIE_TEXT, "[电剧]")), "_weak": weak, "_audio": audio}
+    said = r.select("work_id", *[c.alias(k) for k, c in kinds.items()])
+    # the lists of a work are put together as they are; each resource stays one row
+    each = said.groupBy("work_id").agg(*[F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.when(F.size(k) > 0, F.col(k)))))).alias(k) for k in kinds])
     none = F.array().cast("array<string>")
     known = works.join(each, works.id == each.work_id, "left").withColumns({f"_{k}": F.coalesce(f"_{k}", none) for k in ("tv", "movie", "weak", "audio")})
     has = lambda k: F.size(f"_{k}") > 0
@@ -82,16 +84,17 @@ def type_evidence(works: DataFrame, resources: DataFrame) -> DataFrame:
 
 
 def strong_type_changes(evidence: DataFrame, resources: DataFrame) -> dict[str, DataFrame]:
-    """``works`` (id, media_type, reasons) whose type strong evidence of one side changes, ``resources`` (id) whose numbers go.
+    """``works`` (id, media_type, reasons) whose type strong evidence of one side changes, ``resources`` (id, work_id) whose numbers go.
 
     Titles of collections, a bare number as a series and a mixed title as a film change nothing. A film's resources lose
     season and episode, which were made up.
     """
     unsafe = F.col("title").rlike(rules.UNSAFE_TYPE_TITLE) | ((F.col("type") == "tv") & F.col("title").rlike(r"^\s*\d{1,4}\s*$")) | ((F.col("type") == "movie") & F.col("title").rlike("[＋+]"))
     changed = evidence.filter((F.col("confidence") == "strong") & (F.col("type") != F.col("current_type")) & ~F.coalesce(unsafe, F.lit(False)))
+    changed = written(changed.select("id", "type", "reasons"), "type_changes")  # read for the works and for their resources
     films = changed.filter(F.col("type") == "movie").select(F.col("id").alias("work_id"))
     numbered = F.col("season").isNotNull() | F.col("season_end").isNotNull() | F.col("episode").isNotNull()
-    return {"works": changed.select("id", F.col("type").alias("media_type"), "reasons"), "resources": resources.filter(numbered).join(films, "work_id", "left_semi").select("id")}
+    return {"works": changed.select("id", F.col("type").alias("media_type"), "reasons"), "resources": resources.filter(numbered).join(films, "work_id", "left_semi").select("id", "work_id")}
 
 
 def episode_suffixes(works: DataFrame, resources: DataFrame) -> DataFrame:

@@ -31,9 +31,8 @@ def graded_types(t: Tables):
 @query("M-05", sql=f"""WITH {_EVIDENCE}, c AS (SELECT id, type FROM t WHERE confidence = 'strong' AND type <> current_type) SELECT c.id, type AS media_type, CASE WHEN type = 'movie' THEN
     (SELECT COUNT(*) FROM resource r WHERE r.work_id = c.id AND (season IS NOT NULL OR season_end IS NOT NULL OR episode IS NOT NULL)) ELSE 0 END AS cleared FROM c""")
 def strong_type_changes(t: Tables):
-    rows, evidence = _evidence(t)
-    made = maintenance.strong_type_changes(evidence, rows)
-    cleared = rows.select("id", "work_id").join(made["resources"].distinct(), "id", "left_semi").groupBy("work_id").agg(F.count(F.lit(1)).alias("cleared"))
+    made = maintenance.strong_type_changes(_evidence(t)[1], t.resource)
+    cleared = made["resources"].groupBy("work_id").agg(F.count(F.lit(1)).alias("cleared"))
     return made["works"].join(cleared, F.col("id") == F.col("work_id"), "left").select("id", "media_type", F.coalesce("cleared", F.lit(0)).alias("cleared"))
 
 

@@ -368,6 +368,8 @@ STRONG_TV_TEXT = (
     r"(?i)(?:S\d{1,2}\s*E\d{1,3}|EP\s*\d{1,4}|(?:更新|更)\s*[至到]?\s*第?\s*\d{1,4}\s*(?:集|话|期)?|第\s*\d{1,4}\s*[集话期]|"
     r"第\s*[一二三四五六七八九十百]+\s*[集话期]|全\s*\d*\s*集|全集|全\s*\d+\s*季|共\s*\d+\s*季|第\s*[0-9一二三四五六七八九十百]+\s*季|剧集|电视剧|连续剧|综艺|动漫|番剧)"
 )
+#: What every strong text has a character of, or two.
+STRONG_TV_SIGN = r"[更第全共剧电连综动番]|[Ss]\d|[Ee][Pp]"
 TYPE_ICON = r"^\s*[📺🎥🎬]"
 AUDIO_FILE_END = r"(?i)\.(?:flac|mp3|m4a|ape|wav|dsf|dff|aac|ogg|lrc)$"
 AUDIO_DRAMA = "有声剧|广播剧"

@@ -149,3 +149,20 @@ def test_rivals_are_counted_in_place(spark):
     made = matching.disambiguated(rivals)
     assert _plan(made).count("LogicalRDD") == 1
     assert {(r["work_id"], r["catalogue_id"]): (r["score"], r["season_match"]) for r in made.collect()} == {(1, 7): (0.9, True), (1, 8): (0.79, False), (2, 7): (0.9, False)}
+
+
+def test_type_evidence_makes_no_rows_of_reasons_and_changes_read_it_once(spark):
+    works = spark.createDataFrame([(1, "t", "tv", "pending", "media", False, False), (2, "u", "movie", "pending", "media", False, False)], "id long, title string, media_type string, status string, resource_kind string, is_bundle boolean, is_metadata boolean")
+    resources = spark.createDataFrame([(5, 1, 1, None, None, "a 电影\nx", "b", None), (6, 1, None, None, None, None, "剧场版", None), (7, 2, None, None, None, "x ep 3", "全 12 集", "第三季")], "id long, work_id long, season int, season_end int, episode int, context string, raw_label string, filename string")
+    told = maintenance.type_evidence(works, resources)
+    assert "Generate" not in _plan(told)
+    assert {r["id"]: (r["type"], r["reasons"]) for r in told.collect()} == {1: ("movie", ["movie_text:剧场版", "movie_text:电影"]), 2: ("tv", ["tv_text:ep 3", "tv_text:全 12 集", "tv_text:第三季"])}
+    made = maintenance.strong_type_changes(told, resources)
+    assert _plan(made["works"]).count("LogicalRDD") == 0 and _plan(made["resources"]).count("LogicalRDD") == 1
+    assert [(r["id"], r["work_id"]) for r in made["resources"].collect()] == [(5, 1)]
+
+
+def test_strong_texts_have_the_sign_looked_for_first(spark):
+    texts = ["s01 e02", "S1E1", "ep3", "EP 12", "更新至12", "更 3", "第3集", "第 十 话", "全集", "全12季", "共 3季", "剧集", "电视剧", "连续剧", "综艺", "动漫", "番剧", "plain", "Part 12"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(F.col("t").rlike(rules.STRONG_TV_TEXT).alias("a"), F.col("t").rlike(rules.STRONG_TV_SIGN).alias("b")).collect()
+    assert all(r["b"] for r in rows if r["a"]) and sum(r["a"] for r in rows) == len(texts) - 2
