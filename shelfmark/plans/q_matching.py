@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.udfs import edit_similarity
 from ..operators import coverage, extract, headings, matching, resolve, resources
+from ..session import spread
 from .bindings import Tables
 from .q_resolve import _HALVES, _PAIRS, _rows
 from .registry import query
@@ -188,7 +189,7 @@ def episode_spans(t: Tables):
 def title_variants(t: Tables):
     k, n = F.col("p_partkey") % 3, F.col("p_name")
     made = F.when(k == 0, F.concat(F.lit("["), n, F.lit("] "), "p_brand")).when(k == 1, F.concat(F.lit("远山  "), n)).otherwise(F.concat(n, F.lit(" (Director's Cut)")))
-    return matching.title_variants(t.part.withColumn("title", made), "p_partkey", "title")
+    return matching.title_variants(spread(t.part).withColumn("title", made), "p_partkey", "title")
 
 
 @query("E-12", "E-18", "E-19", "E-20", "P-15", sql="""SELECT p_partkey, p_partkey % 2 = 0 AS marked, p_name AS stripped, CASE WHEN p_partkey % 3 = 0 THEN '远山' END AS base, CASE WHEN p_partkey % 3 = 0 THEN CAST(20 + p_size AS INT) END AS episode,

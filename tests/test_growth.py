@@ -166,3 +166,7 @@ def test_strong_texts_have_the_sign_looked_for_first(spark):
     texts = ["s01 e02", "S1E1", "ep3", "EP 12", "更新至12", "更 3", "第3集", "第 十 话", "全集", "全12季", "共 3季", "剧集", "电视剧", "连续剧", "综艺", "动漫", "番剧", "plain", "Part 12"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(F.col("t").rlike(rules.STRONG_TV_TEXT).alias("a"), F.col("t").rlike(rules.STRONG_TV_SIGN).alias("b")).collect()
     assert all(r["b"] for r in rows if r["a"]) and sum(r["a"] for r in rows) == len(texts) - 2
+
+
+def test_titles_of_a_small_table_are_varied_by_several_tasks(spark):
+    assert "Repartition" in _plan(entry.queries()["title_variants"](spark, "/root/testdata/sf0.01"))
