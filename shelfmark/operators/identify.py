@@ -116,9 +116,12 @@ def cascade(files: DataFrame, parts: DataFrame, hits: DataFrame, floor: float, m
     files of a directory (``block``: see ``running_last``). A file is matched if its identity is of ``floor`` at least and ``margin`` above the next hit;
     only those are handed on. Files without any identity are unmatched.
     """
-    best = hits.groupBy("id").agg(
-        F.max_by(F.struct("catalogue_id", "confidence"), F.struct("exact", "confidence", -F.col("catalogue_id"))).alias("_best"),
-        F.slice(F.array_sort(F.collect_list("confidence"), lambda a, b: F.when(a > b, -1).when(a < b, 1).otherwise(0)), 1, 2).alias("_two"), F.count(F.lit(1)).alias("_n"),
+    # a hit is kept as three values until all of its file's are there
+    each = hits.groupBy("id").agg(F.collect_list(F.struct("exact", "confidence", (-F.col("catalogue_id")).alias("order"))).alias("_hits"))
+    top, sure = F.array_max("_hits"), F.transform("_hits", lambda h: h["confidence"])
+    best = each.select(
+        "id", F.struct((-top["order"]).alias("catalogue_id"), top["confidence"].alias("confidence")).alias("_best"),
+        F.slice(F.sort_array(F.array_compact(sure), asc=False), 1, 2).alias("_two"), F.size("_hits").alias("_n"),
     )
     part = parts.groupBy("id").agg(F.min("catalogue_id").alias("_part"))
     known = files.join(part, "id", "left").join(best, "id", "left")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import rules
 from shelfmark.functions.text import settled, title_key, title_keys
-from shelfmark.operators import evidence, fallbacks, headings, maintenance, matching
+from shelfmark.operators import evidence, fallbacks, headings, identify, maintenance, matching
 
 ASKED = "id long, collection_id long, title_key string, year int"
 PARTS = "collection_id long, catalogue_id long, part_key string, part_year int"
@@ -170,3 +170,20 @@ def test_strong_texts_have_the_sign_looked_for_first(spark):
 
 def test_titles_of_a_small_table_are_varied_by_several_tasks(spark):
     assert "Repartition" in _plan(entry.queries()["title_variants"](spark, "/root/testdata/sf0.01"))
+
+
+def test_payloads_of_a_small_table_are_read_by_several_tasks(spark):
+    made = entry.queries()["normalised_catalogue"](spark, "/root/testdata/sf0.01")
+    assert len(made.inputFiles()) > 1
+
+
+def test_hits_are_shuffled_as_one_list(spark):
+    files = spark.createDataFrame([(1, 1, "D", 2000, "tv", None), (2, 2, "D", 2000, "tv", None), (3, 3, "E", 2000, "tv", None), (4, 4, None, None, "movie", None)], "id long, ord long, directory string, year int, media_type string, explicit_id long")
+    hits = spark.createDataFrame([(1, 9, 0.95, False), (1, 8, 0.95, True), (1, 7, 0.5, True), (2, 5, 0.99, True), (3, 6, 0.95, True), (3, 4, 0.95, True), (4, 3, None, False)], "id long, catalogue_id long, confidence double, exact boolean")
+    made = identify.cascade(files, spark.createDataFrame([], "id long, catalogue_id long"), hits, 0.9, 0.0)
+    assert _plan(made).count("max_by(") <= 1  # that of what a block hands on
+    assert {r["id"]: (r["catalogue_id"], r["tier"], r["status"]) for r in made.collect()} == {1: (8, "variants", "matched"), 2: (8, "series_batch_identity", "matched"), 3: (4, "variants", "matched"), 4: (3, "variants", "review")}
+
+
+def test_resources_of_messages_are_shuffled_by_their_key_alone(spark):
+    assert "explode(_rows" in _plan(entry.queries()["message_works"](spark, "/root/testdata/sf0.001"))
