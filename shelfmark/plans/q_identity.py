@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import attribution, evidence, fallbacks, identify, pages, search, terms
+from ..session import spread, written
 from ..sources import intake
 from ..streaming import chain, retries
 from ..streaming import messages as streams
@@ -369,8 +370,9 @@ def normalised_catalogue(t: Tables):
         F.array(season(0, F.lit(9)), season(1, F.lit(10)), season(2, F.when(F.col("p_size") > 5, F.col("p_size")).otherwise(0)), season(1, F.lit(4))).alias("seasons"),
         F.struct(F.array(F.struct(F.concat(F.lit(" "), "p_name").alias("title")), F.struct(F.col("p_brand").alias("title"))).alias("results")).alias("alternative_titles"),
     )
-    raw = t.part.select(F.lit("tv").alias("media_type"), F.when(F.col("p_size") % 7 == 0, "[broken").otherwise(F.to_json(record)).alias("payload"))
-    made = fallbacks.normalised_catalogue(raw)
+    raw = spread(t.part).select(F.lit("tv").alias("media_type"), F.when(F.col("p_size") % 7 == 0, "[broken").otherwise(F.to_json(record)).alias("payload"))
+    # stored, as tests of the payload would else be made before the rows are dealt
+    made = fallbacks.normalised_catalogue(written(raw, "details"))
     titles = made["titles"].groupBy("catalogue_id").agg(F.count(F.lit(1)).cast("int").alias("titles"))
     seasons = made["seasons"].groupBy("catalogue_id").agg(F.count(F.lit(1)).cast("int").alias("seasons"), F.sum("episodes").alias("episodes"))
     return made["works"].join(titles, "catalogue_id").join(seasons, "catalogue_id").select(
