@@ -217,8 +217,8 @@ _OWNED = """o AS (SELECT l.message_id, coalesce(l.work_id, r.work_id) AS work_id
   FROM q JOIN work ON work.id = q.work_id LEFT JOIN g ON g.message_id = q.message_id AND g.work_id = q.work_id""")
 def message_works(t: Tables):
     r = t.resource.select(
-        "source_key", F.col("work_id").alias("_owner"), "season", "season_end", "episode", F.when(F.col("quality") == "2160p", F.col("episode") + 2).alias("episode_end")
-    ).distinct()
+        "source_key", F.struct(F.col("work_id").alias("_owner"), "season", "season_end", "episode", F.when(F.col("quality") == "2160p", F.col("episode") + 2).alias("episode_end")).alias("_r")
+    ).groupBy("source_key").agg(F.collect_set("_r").alias("_rows")).select("source_key", F.explode("_rows").alias("_r")).select("source_key", "_r.*")  # distinct rows, shuffled by the key alone
     owned = t.link.select("source_key", "message_id", "work_id").join(r, "source_key", "left").withColumn("work_id", F.coalesce("work_id", "_owner")).filter(F.col("work_id").isNotNull())
     labels = coverage.owner_labels(owned, ["message_id", "work_id"])
     title = F.concat(
