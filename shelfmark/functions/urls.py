@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,9 +51,10 @@ def access_code(url: Column) -> Column:
 def with_access_code(url: Column, code: Column) -> Column:
     """Append a code found beside the link, before the fragment, unless the link carries one."""
     base, frag = F.split_part(url, F.lit("#"), F.lit(1)), F.regexp_extract(url, "(#.*)$", 1)
-    key = F.when(host(url).isin("123865.com", "123pan.com"), F.lit("pwd")).otherwise(F.lit("password"))
+    key = F.when(provider_of(url) == "123", F.lit("pwd")).otherwise(F.lit("password"))
     joiner = F.when(F.contains(base, F.lit("?")), F.lit("&")).otherwise(F.lit("?"))
-    has_code = F.lower(F.coalesce(query(url), F.lit(""))).rlike("password=|pwd=")
+    named = "password=|pwd="
+    has_code = F.lower(url).rlike(named) & F.lower(F.coalesce(query(url), F.lit(""))).rlike(named)
     return F.when(code.isNull() | has_code, url).otherwise(F.concat(base, joiner, key, F.lit("="), code, frag))
 
 
@@ -60,11 +63,19 @@ def masked_url(url: Column) -> Column:
     return F.regexp_replace(url, rf"(?i)([?&](?:{keys})=)[^&#]*", "$1****")
 
 
+#: A link to a known host of nothing but signs that every parser takes.
+_SIGNS = "[A-Za-z0-9._~/?=&-]*"
+_PLAIN = f"^(?i:https?://(?:www[.])?({'|'.join(re.escape(h) for h in rules.HOST_PROVIDERS)}))(?:[/?]{_SIGNS})?(?:#{_SIGNS})?\\z"
+
+
 def provider_of(url: Column) -> Column:
-    """Provider of a share link by its host, ``ed2k`` for hash links, else null."""
+    """Provider of a share link by its host, ``ed2k`` for hash links, else null.
+
+    The host of a link of plain signs alone is what stands there; only other links are parsed, which costs much more.
+    """
     by_host = F.create_map(*[F.lit(x) for pair in rules.HOST_PROVIDERS.items() for x in pair])
     return F.when(F.lower(url).startswith("ed2k://"), F.lit("ed2k")).otherwise(
-        F.try_element_at(by_host, F.coalesce(host(url), F.lit("")))
+        F.coalesce(F.try_element_at(by_host, F.lower(F.regexp_extract(url, _PLAIN, 1))), F.try_element_at(by_host, F.coalesce(host(url), F.lit(""))))
     )
 
 

@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import urls
-from ..functions.text import blank_to_null, channel_identity, clean_person_name, title_key
+from ..functions.text import blank_to_null, channel_identity, clean_person_name, let, title_key
 
 FIRST_CLASS = ("share", "ed2k", "mixed", "unknown")
 
 
 def lines_of(text: Column) -> Column:
-    return F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n")
+    return F.split(F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), "\n")
 
 
 def explode_lines(messages: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
@@ -36,7 +36,7 @@ def is_generic_label(label: Column) -> Column:
     compact = F.regexp_replace(F.regexp_replace(F.trim(label), r"(?U)[\s:：|→>\-]+", ""), "🔗", "")
     head = F.ltrim(label)
     return (
-        (compact == "") | compact.isin(*rules.GENERIC_LABELS)
+        compact.isin("", *rules.GENERIC_LABELS)
         | head.startswith(rules.GENERIC_PREFIXES[0]) | head.startswith(rules.GENERIC_PREFIXES[1])
         | F.contains(label, F.lit(rules.GENERIC_PHRASE))
     )
@@ -78,56 +78,62 @@ def link_lines(messages: DataFrame, text: str = "text", keep: tuple[str, ...] =
     """
     specific = F.col("channel_specific") if "channel_specific" in messages.columns else F.lit(False)
     person = F.col("person_context") if "person_context" in messages.columns else F.lit(None).cast("string")
-    numbered = messages.filter(message_kind(F.col(text)) != "unknown").select(
-        *keep, lines_of(F.col(text)).alias("_lines"), specific.alias("_specific"), person.alias("_person")
+    # what a text does not hold is not looked for in its lines
+    told = messages.withColumns({"_shared": F.col(text).rlike(rules.SHARE_LINK), "_hashed": F.col(text).rlike(rules.HASH_LINK)})
+    numbered = told.filter("_shared or _hashed").select(
+        *keep, lines_of(F.col(text)).alias("_lines"), specific.alias("_specific"), person.alias("_person"), "_shared", "_hashed"
     )
     trimmed = F.transform("_lines", lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("t")))
 
     def positions(test):
         return F.transform(F.filter("_trimmed", test), lambda e: e["i"])
 
-    marked = numbered.withColumn("_trimmed", trimmed).select(
-        *keep, "_lines", "_person", "_specific",
-        positions(
-            lambda e: is_heading_line(e["t"]) & ~(F.col("_specific") & e["t"].rlike(rules.CHANNEL_ATTRIBUTE))
-        ).alias("_headings"),
-        positions(
-            lambda e: (e["t"] != "") & ~is_metadata_line(e["t"]) & ~e["t"].rlike(rules.SHARE_LINK)
-        ).alias("_usable"),
-        positions(lambda e: (e["t"] != "") & ~F.lower(e["t"]).startswith("ed2k://")).alias("_solid"),
+    marked = numbered.withColumn("_trimmed", trimmed).withColumn("_headings", positions(
+        lambda e: F.col("_shared") & is_heading_line(e["t"]) & ~(F.col("_specific") & e["t"].rlike(rules.CHANNEL_ATTRIBUTE))
+    )).select(
+        *keep, "_lines", "_person", "_specific", "_shared", "_hashed", "_headings",
+        # a heading in the first line is above every other line, whatever else could be used
+        F.when(F.coalesce(F.get("_headings", F.lit(0)) != 0, F.lit(True)), positions(
+            lambda e: F.col("_shared") & (e["t"] != "") & ~is_metadata_line(e["t"]) & ~e["t"].rlike(rules.SHARE_LINK)
+        )).alias("_usable"),
+        positions(lambda e: F.col("_hashed") & (e["t"] != "") & ~F.lower(e["t"]).startswith("ed2k://")).alias("_solid"),
     )
     indexed = F.transform("_lines", lambda x, i: F.struct(i.alias("i"), x.alias("line")))
 
     def share(e):
         link = F.regexp_extract(e["line"], f"({rules.SHARE_LINK})", 1)
         label = F.trim(F.split_part(F.regexp_replace(F.regexp_extract(e["line"], f"^(.*?){rules.SHARE_LINK}", 1), "^[﻿ \t]+", ""), F.lit("\t"), F.lit(1)))
-        top = _below(F.col("_headings"), e["i"])
-        first = F.when(F.get(F.col("_usable"), F.lit(0)) < e["i"], F.get(F.col("_usable"), F.lit(0)))
-        block = _block(F.col("_lines"), F.coalesce(top, first), e["i"])
-        context = F.coalesce(F.col("_person"), F.when(is_generic_label(label) | F.col("_specific"), block))
         suffix = F.trim(F.regexp_extract(e["line"], f"{rules.SHARE_LINK}(.*)$", 1))
-        return F.struct(
-            e["i"].alias("line_no"), F.lit(0).alias("pos"), F.lit("share").alias("link_kind"), e["line"].alias("line"), link.alias("link"),
-            F.when(label == "", suffix).otherwise(label).alias("label"), context.alias("context"), suffix.alias("suffix"),
-            F.get(F.col("_lines"), e["i"] + 1).alias("next_line"),
-        )
+        first = F.when(F.get(F.col("_usable"), F.lit(0)) < e["i"], F.get(F.col("_usable"), F.lit(0)))
+        block = let(F.coalesce(_below(F.col("_headings"), e["i"]), first), lambda start: _block(F.col("_lines"), start, e["i"]))
+
+        def of(own):
+            label, suffix = own["label"], own["suffix"]
+            context = F.coalesce(F.col("_person"), F.when(is_generic_label(label) | F.col("_specific"), block))
+            return F.struct(
+                e["i"].alias("line_no"), F.lit(0).alias("pos"), F.lit("share").alias("link_kind"), e["line"].alias("line"), link.alias("link"),
+                F.when(label == "", suffix).otherwise(label).alias("label"), context.alias("context"), suffix.alias("suffix"),
+                F.get(F.col("_lines"), e["i"] + 1).alias("next_line"),
+            )
+
+        return let(F.struct(label.alias("label"), suffix.alias("suffix")), of)
 
     def hashed(e):
-        above = _below(F.col("_solid"), e["i"])
-        line = F.trim(F.get(F.col("_lines"), above))
-        heading = F.coalesce(F.col("_person"), F.when(line.rlike(r"^[📺🎥👤🗂]"), line))
-        return F.transform(
+        line = F.trim(F.get(F.col("_lines"), _below(F.col("_solid"), e["i"])))
+        heading = let(line, lambda above: F.coalesce(F.col("_person"), F.when(above.rlike(r"^[📺🎥👤🗂]"), above)))
+        return let(heading, lambda context: F.transform(
             F.regexp_extract_all(e["line"], F.lit(f"({rules.HASH_LINK})"), F.lit(1)),
             lambda link, k: F.struct(
                 e["i"].alias("line_no"), k.alias("pos"), F.lit("ed2k").alias("link_kind"), e["line"].alias("line"), link.alias("link"),
-                F.lit("").alias("label"), heading.alias("context"), F.lit("").alias("suffix"), F.lit(None).cast("string").alias("next_line"),
+                F.lit("").alias("label"), context.alias("context"), F.lit("").alias("suffix"), F.lit(None).cast("string").alias("next_line"),
             ),
-        )
+        ))
 
-    shares = F.transform(F.filter(indexed, lambda e: e["line"].rlike(rules.SHARE_LINK)), share)
-    hashes = F.flatten(F.transform(F.filter(indexed, lambda e: e["line"].rlike(rules.HASH_LINK)), hashed))
+    shares = F.transform(F.filter(indexed, lambda e: F.col("_shared") & e["line"].rlike(rules.SHARE_LINK)), share)
+    hashes = F.flatten(F.transform(F.filter(indexed, lambda e: F.col("_hashed") & e["line"].rlike(rules.HASH_LINK)), hashed))
     rows = marked.select(*keep, F.concat(shares, hashes).alias("_links"))
-    return rows.select(*keep, F.explode("_links").alias("_l")).select(*keep, "_l.*")
+    # outer, as a plain explode of a column makes Spark test its size first, for which it makes all links of each message twice
+    return rows.select(*keep, F.explode_outer("_links").alias("_l")).filter(F.col("_l").isNotNull()).select(*keep, "_l.*")
 
 
 def link_heading(label: Column, context: Column, specific: Column | None = None, person: Column | None = None) -> Column:
@@ -146,14 +152,13 @@ def with_keys(links: DataFrame) -> DataFrame:
     """
     near = F.when(F.col("next_line").rlike(rules.ACCESS_CODE), F.col("next_line"))
     haystack = F.concat_ws("\n", "line", "context", near)
-    code = F.nullif(F.regexp_extract(haystack, rules.ACCESS_CODE, 1), F.lit(""))
-    bare = F.regexp_replace("link", "[，。；;）)]+$", "")
+    links = links.withColumns({"_code": F.regexp_extract(haystack, rules.ACCESS_CODE, 1), "_bare": F.regexp_replace("link", "[，。；;）)]+$", "")})
     url = F.when(F.col("link_kind") == "ed2k", F.col("link")).otherwise(
-        urls.drop_empty_fragment(urls.with_access_code(bare, code))
+        urls.drop_empty_fragment(urls.with_access_code(F.col("_bare"), F.nullif(F.col("_code"), F.lit(""))))
     )
     parts = F.split("link", r"\|")
     hashed = F.upper(F.get(parts, F.lit(4)))
-    out = links.withColumn("url", url).withColumn("provider", F.when(F.col("link_kind") == "ed2k", "ed2k").otherwise(urls.provider_of(F.col("url"))))
+    out = links.withColumn("url", url).drop("_code", "_bare").withColumn("provider", F.when(F.col("link_kind") == "ed2k", "ed2k").otherwise(urls.provider_of(F.col("url"))))
     return out.withColumns({
         "source_key": F.when(F.col("link_kind") == "ed2k", F.concat(F.lit("ed2k:"), hashed)).otherwise(F.concat_ws(":", "provider", "url")),
         "filename": F.when(F.col("link_kind") == "ed2k", urls.decoded(F.get(parts, F.lit(2)))),
@@ -162,10 +167,10 @@ def with_keys(links: DataFrame) -> DataFrame:
     })
 
 
-def extract_links(messages: DataFrame, text: str = "text", keep: tuple[str, ...] = ("id",)) -> DataFrame:
-    """Link rows with canonical keys; within a message the first occurrence of a key wins."""
+def extract_links(messages: DataFrame, text: str = "text", keep: tuple[str, ...] = ("id",), columns: tuple[str, ...] | None = None) -> DataFrame:
+    """Link rows with canonical keys; within a message the first occurrence of a key wins. ``columns``: those to carry, else all."""
     keyed = with_keys(link_lines(messages, text, keep))
-    first = F.min_by(F.struct(*[c for c in keyed.columns if c not in (*keep, "source_key")]), F.struct("line_no", "pos"))
+    first = F.min_by(F.struct(*(columns or [c for c in keyed.columns if c not in (*keep, "source_key")])), F.struct("line_no", "pos"))
     return keyed.groupBy(*keep, "source_key").agg(first.alias("_f")).select(*keep, "source_key", "_f.*")
 
 

@@ -229,10 +229,14 @@ def parse_headings(df: DataFrame, column: str) -> DataFrame:
     return out.withColumn("season", F.coalesce("season", F.when(F.col("media_type") == "tv", F.lit(1)))).drop("_h")
 
 
-def title_and_year(text: Column) -> tuple[Column, Column]:
-    """Plain one-line form: text before the bracketed year, and that year."""
+def plain_body(text: Column) -> Column:
+    """A one-line heading without icon, edges and trailing date."""
     body = strip_chars(drop_icons(F.regexp_replace(text, "^﻿+", "")), rules.EDGE)
-    body = strip_chars(F.regexp_replace(body, rules.TRAILING_DATE, ""), rules.EDGE)
+    return strip_chars(F.regexp_replace(body, rules.TRAILING_DATE, ""), rules.EDGE)
+
+
+def title_and_year(body: Column) -> tuple[Column, Column]:
+    """Plain one-line form: text before the bracketed year, and that year, of a ``plain_body``, which is best a column of its own."""
     tail = first_int(body, rules.BRACKETED_YEAR + r"\s*$")
     year = F.coalesce(tail, first_int(body, rules.BRACKETED_YEAR))
     cut = F.when(tail.isNotNull(), F.regexp_replace(body, rules.BRACKETED_YEAR + r"\s*$", "")).otherwise(cut_at_first(body, [rules.BRACKETED_YEAR]))

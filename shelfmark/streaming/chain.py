@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.text import blank_to_null, first_line, title_key
 from ..operators import extract, headings, resolve
-from ..session import cut_lineage, shared_folder
+from ..session import shared_folder, written
 from ..sources.intake import MAX_EVENT_ID, MAX_TEXT_BYTES
 
 BUCKETS = 32
@@ -30,7 +30,8 @@ MERGED = 16
 KEYS = ("service", "event_id")
 #: (service, event_id, deliveries in the batch, status of the first one ever, whether that one is in this batch)
 RECEIPTS = "service string, event_id string, deliveries long, status string, first boolean"
-DELIVERIES = "service string, event_id string, received_at timestamp, text string, status string"
+#: ``deliveries`` in the batch that brought the key first
+DELIVERIES = "service string, event_id string, received_at timestamp, text string, status string, deliveries long"
 LINKS = "service string, event_id string, source_key string, provider string, url string, status string, work_id long"
 RESOURCES = "source_key string, provider string, url string, service string, event_id string, title string, title_key string, year int, work_id long"
 _MANIFEST = "number long, folders array<string>, merged array<string>"
@@ -67,13 +68,16 @@ class Store:
     def read(self, spark: SparkSession, table: str, folders: list[str]) -> DataFrame:
         schema, _ = self.tables[table]
         if not folders:
-            return spark.createDataFrame([], StructType.fromDDL(schema)).withColumn("bucket", F.lit(0))
+            # known to be empty before it runs, so that joins with it are left out
+            return spark.createDataFrame([], StructType.fromDDL(schema)).withColumn("bucket", F.lit(0)).filter(F.lit(False))
         place = f"{self.base}/{table}"
         rows = spark.read.schema(f"{schema}, folder string, bucket int").option("basePath", place)
         return rows.parquet(*[f"{place}/folder={f}" for f in folders]).drop("folder")
 
     def known(self, table: str, asked: DataFrame, folders: list[str]) -> DataFrame:
         """Stored rows of a table in the buckets of the asked keys."""
+        if not folders:
+            return self.read(asked.sparkSession, table, folders).drop("bucket")
         _, keys = self.tables[table]
         # as many numbers as there are buckets
         hit = [r[0] for r in asked.select(bucket(keys, self.buckets)).distinct().collect()]
@@ -125,23 +129,25 @@ def validated(links: DataFrame, outcomes: DataFrame) -> DataFrame:
 
     ``outcomes`` (source_key, outcome) of probes so far; of several a final one counts, invalid before valid.
     """
-    final = outcomes.filter(F.col("outcome").isin("valid", "invalid")).groupBy("source_key").agg(F.min("outcome").alias("_outcome"))
-    state = F.when(F.col("provider") == "ed2k", "valid").otherwise(F.coalesce("_outcome", F.lit("pending")))
-    return links.join(final, "source_key", "left").withColumn("state", state).drop("_outcome")
+    invalid = F.bool_or(F.col("outcome") == "invalid").alias("_invalid")
+    final = outcomes.filter(F.col("outcome").isin("valid", "invalid")).groupBy("source_key").agg(invalid)
+    state = F.when((F.col("provider") == "ed2k") | ~F.col("_invalid"), "valid").when(F.col("_invalid"), "invalid").otherwise("pending")
+    return links.join(final, "source_key", "left").withColumn("state", state).drop("_invalid")
 
 
 def new_resources(links: DataFrame, stored: DataFrame, works: DataFrame) -> DataFrame:
-    """Resources that valid links add to the stored ones, each owned by the first message that has it, with its work.
+    """Resources that valid links (with their ``heading``) add to the stored ones, each owned by the first message that has it, with its work.
 
     The work is the stored one that title and year fit (``resolve.compatible_works``), else a new one, known by both.
     """
-    heading = first_line(F.coalesce(blank_to_null(F.col("context")), F.col("label")))
-    title, year = headings.title_and_year(heading)
+    title, year = headings.title_and_year(F.col("_body"))
     first = links.filter(F.col("state") == "valid").groupBy("source_key").agg(
-        F.min_by(F.struct("provider", "url", "context", "label", *KEYS), F.struct("received_at", *KEYS, "line_no")).alias("_f")
+        F.min_by(F.struct("provider", "url", "heading", *KEYS), F.struct("received_at", *KEYS, "line_no")).alias("_f")
     ).select("source_key", "_f.*").join(stored.select("source_key"), "source_key", "left_anti")
-    titled = first.select("source_key", "provider", "url", *KEYS, title.alias("title"), year.alias("year")).withColumn("title_key", title_key(F.col("title")))
-    asked = titled.withColumns({"media_type": F.lit("unknown"), "resource_kind": F.lit("media")})
+    bodies = first.select("source_key", "provider", "url", *KEYS, headings.plain_body(F.col("heading")).alias("_body"))
+    titled = bodies.withColumns({"title": title, "year": year}).drop("_body").withColumn("title_key", title_key(F.col("title")))
+    # stored, as titles are looked up and joined, and would else be made for each
+    asked = written(titled, "titled").withColumns({"media_type": F.lit("unknown"), "resource_kind": F.lit("media")})
     resolved = resolve.compatible_works(asked, works)
     return resolved.withColumn("work_id", F.coalesce("work_id", F.xxhash64("title_key", F.coalesce("year", F.lit(0)))))
 
@@ -154,12 +160,15 @@ def run_batch(chain: Store, batch: DataFrame, number: int, outcomes: DataFrame,
         return
     before, here = [*merged, *folders], f"batch-{number}"
     messages = batch.select(F.coalesce("service", F.lit("unknown")).alias("service"), "event_id", "received_at", F.coalesce("text", F.lit("")).alias("text"))
-    given = cut_lineage(first_of_each(messages.filter(accepted(messages))))
+    given = written(first_of_each(messages.filter(accepted(messages))), "given")
     refused = messages.filter(~accepted(messages)).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("deliveries"))
     earlier = chain.known("deliveries", given, before).join(given.select(*KEYS), list(KEYS), "left_semi").select(*KEYS, "status")
     new = given.join(earlier, list(KEYS), "left_anti")
 
-    states = cut_lineage(validated(extract.extract_links(new, "text", (*KEYS, "received_at")), outcomes))
+    # dealt by message before its links are made, so that they need not be dealt again to find the first of each key
+    links = extract.extract_links(new.repartition(*KEYS), "text", (*KEYS, "received_at"), ("line_no", "provider", "url", "label", "context"))
+    heading = first_line(F.coalesce(blank_to_null(F.col("context")), F.col("label")))
+    states = written(validated(links.withColumn("heading", heading).drop("context", "label"), outcomes), "states")
     stored = chain.known("resources", states, before)
     added = chain.write(new_resources(states, stored, works), "resources", here)
     owners = stored.select("source_key", "work_id", F.lit(None).cast("string").alias("_service"), F.lit(None).cast("string").alias("_event_id")).unionByName(
@@ -171,9 +180,9 @@ def run_batch(chain: Store, batch: DataFrame, number: int, outcomes: DataFrame,
 
     rolled = resolve.rolled_up_status(linked.withColumn("message_id", F.struct(*KEYS))).select("message_id.*", F.col("status").alias("_status"))
     final = new.join(rolled, list(KEYS), "left").withColumn("status", F.coalesce("_status", F.lit("ignored")))
-    done = chain.write(final, "deliveries", here)
-    said = done.select(*KEYS, "status", F.lit(True).alias("first")).unionByName(earlier.withColumn("first", F.lit(False)))
-    receipts = given.select(*KEYS, "deliveries").join(said, list(KEYS)).unionByName(refused.withColumns({"status": F.lit("rejected"), "first": F.lit(False)}))
+    done = chain.write(final, "deliveries", here).select(*KEYS, "deliveries", "status", F.lit(True).alias("first"))
+    again = given.select(*KEYS, "deliveries").join(earlier, list(KEYS)).withColumn("first", F.lit(False))
+    receipts = done.unionByName(again).unionByName(refused.withColumns({"status": F.lit("rejected"), "first": F.lit(False)}))
     chain.write(receipts, "receipts", here)
     chain.commit(spark, number, folders, merged)
 

@@ -5,8 +5,9 @@ from growth import most_rows
 from pyspark.sql import functions as F
 
 from shelfmark import rules
+from shelfmark.functions import urls
 from shelfmark.functions.text import settled, title_key, title_keys
-from shelfmark.operators import evidence, fallbacks, headings, identify, maintenance, matching
+from shelfmark.operators import evidence, extract, fallbacks, headings, identify, maintenance, matching
 
 ASKED = "id long, collection_id long, title_key string, year int"
 PARTS = "collection_id long, catalogue_id long, part_key string, part_year int"
@@ -187,3 +188,29 @@ def test_hits_are_shuffled_as_one_list(spark):
 
 def test_resources_of_messages_are_shuffled_by_their_key_alone(spark):
     assert "explode(_rows" in _plan(entry.queries()["message_works"](spark, "/root/testdata/sf0.001"))
+
+
+def test_links_of_a_message_are_made_once(spark):
+    shared = "https://115.com/s/a?password=ab12"
+    texts = [f"📺 T (2001)\n🌟 7\n{shared}\n提取码：x123", f"plain\n\nOwn label {shared} tail", f"a\n🎥 H\r\nb {shared}\r{shared}", f"{shared}\n📺 late", f"📺 T\ned2k://|file|f.mkv|7|{'a' * 32}|/ ed2k://|file|g.mkv|8|{'b' * 32}|/", "none", None, f"x\u2028{shared} y\u0085z"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    made = extract.link_lines(rows)
+    assert _plan(made).count("regexp_extract_all(") == 1
+    got = sorted((r["id"], r["line_no"], r["pos"], r["label"], r["context"], r["suffix"], r["next_line"]) for r in made.collect())
+    assert got == [
+        (0, 2, 0, "", "📺 T (2001)\n🌟 7", "", "提取码：x123"), (1, 2, 0, "Own label", None, "tail", None), (2, 2, 0, "b", None, "", shared), (2, 3, 0, "", f"🎥 H\nb {shared}", "", None),
+        (3, 0, 0, "", None, "", "📺 late"), (4, 1, 0, "", "📺 T", "", None), (4, 1, 1, "", "📺 T", "", None), (7, 0, 0, "", None, "", None),
+    ]
+    assert extract.extract_links(rows, columns=("label", "line_no")).columns == ["id", "source_key", "label", "line_no"]
+
+
+def test_providers_are_those_of_parsed_hosts(spark):
+    links = [
+        "https://115.com/s/a?password=x#", "http://WWW.115cdn.com", "https://www.123865.com/s/k?pwd=1#a?b", "https://115.com:80/s/a", "https://115.com@x.org/s/a", "https://115.com/s/a b", "https://115.com/s/a#b#c", "https://115.com/s/%zz",
+        "https://115.com.org/s/a", "https://x115.com/s/a", "ED2K://|file|", "https://guangyapan.com/s/远", "https://123pan.com?x", "//115.com/s/a", "", None, "https://115.com/s/a\n", "https://115.com/s/{a}",
+    ]
+    names = F.create_map(*[F.lit(x) for pair in rules.HOST_PROVIDERS.items() for x in pair])
+    parsed = F.when(F.lower("u").startswith("ed2k://"), "ed2k").otherwise(F.try_element_at(names, F.coalesce(urls.host(F.col("u")), F.lit(""))))
+    rows = spark.createDataFrame([(u,) for u in links], "u string").select("u", urls.provider_of(F.col("u")).alias("p"), parsed.alias("want")).collect()
+    assert all(r["p"] == r["want"] for r in rows), [r for r in rows if r["p"] != r["want"]]
+    assert sum(r["p"] is not None for r in rows) >= 7
