@@ -3,16 +3,25 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_lower, let, like_literal
-from ..session import shared_folder
+from ..functions.text import let, like_literal
+from ..session import shared_folder, written
 
 GRAM = 3
+#: Bits of a character's number; those of a gram fit a long.
+_BITS = 21
+#: Grams of texts from which a block's lists are made.
+LISTED = 2_000_000
+#: Found texts, as keys, that are sent to all tasks; more are joined.
+SENT = 1_000_000
 
 
 def distinct_texts(*sources: tuple[str, DataFrame]) -> DataFrame:
@@ -22,19 +31,57 @@ def distinct_texts(*sources: tuple[str, DataFrame]) -> DataFrame:
     return both.filter(F.col("text").isNotNull()).groupBy("text").agg(*counts).withColumn("text_id", F.md5(F.col("text").cast("binary")))
 
 
-def grams(text: Column, n: int = GRAM) -> Column:
-    """The distinct character n-grams of a text, A-Z in lower case; characters are cut once, not once for each gram."""
+def _codes(text: bytes) -> np.ndarray:
+    """The distinct grams of a text as sorted numbers, ``_BITS`` a character, A-Z in lower case."""
+    points = np.frombuffer(text.lower().decode("utf-8", "replace").encode("utf-32-le"), "<u4").astype(np.int64)
+    count = max(len(points) - GRAM + 1, 0)
+    codes = np.zeros(count, np.int64)
+    for k in range(GRAM):
+        codes = (codes << _BITS) | points[k : k + count]
+    return np.unique(codes)
 
-    def of(chars: Column) -> Column:
-        starts = F.when(F.size(chars) >= n, F.sequence(F.lit(1), F.size(chars) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.array_distinct(F.transform(starts, lambda i: F.concat(*[F.element_at(chars, i + k) for k in range(n)])))
 
-    return let(F.split(ascii_lower(text), ""), of)
+def _strings(codes: np.ndarray) -> list[str]:
+    points = np.stack([(codes >> _BITS * k) & ((1 << _BITS) - 1) for k in reversed(range(GRAM))], axis=1)
+    joined = points.astype("<u4").tobytes().decode("utf-32-le")
+    return [joined[i : i + GRAM] for i in range(0, len(joined), GRAM)]
+
+
+def _inverted(keys: pa.Array, codes: list[np.ndarray]) -> pa.RecordBatch:
+    """(gram, keys of the texts that have it) of a few texts."""
+    every = np.concatenate(codes)
+    order = np.argsort(every, kind="stable")
+    every, who = every[order], np.repeat(np.arange(len(codes)), [len(c) for c in codes])[order]
+    starts = np.flatnonzero(np.diff(every, prepend=-1))
+    offsets = pa.array(np.append(starts, len(every)), pa.int32())
+    lists = pa.ListArray.from_arrays(offsets, keys.take(pa.array(who)))
+    return pa.RecordBatch.from_arrays([pa.array(_strings(every[starts]), pa.string()), lists], ["gram", "keys"])
+
+
+def _gram_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, first, codes, size = batch.column(0), 0, [], 0
+        for place, text in enumerate(batch.column(1), 1):
+            codes.append(_codes(text.as_py()))
+            size += len(codes[-1])
+            if size and (size >= LISTED or place == batch.num_rows):
+                yield _inverted(keys.slice(first, place - first), codes)
+                first, codes, size = place, [], 0
+
+
+def gram_lists(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(gram, keys): the texts that have a gram, A-Z in lower case, as lists of a block of texts each; a text is in one list of each of its grams.
+
+    A gram is in as many rows as there are blocks that have it, and no list is longer than a block.
+    """
+    rows = texts.filter(F.col(text).isNotNull()).select(key, F.col(text).cast("binary").alias("_text"))
+    # dealt by key, as a file of few row groups is else cut by as few tasks
+    return rows.repartition(key).mapInArrow(_gram_lists, f"gram string, keys array<{texts.schema[key].dataType.simpleString()}>")
 
 
 def postings(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(gram, key) of every text."""
-    return texts.select(F.explode(grams(F.col(text))).alias("gram"), key)
+    return gram_lists(texts, key, text).select("gram", F.explode("keys").alias(key))
 
 
 def ascii_lowered(term: str) -> str:
@@ -61,26 +108,29 @@ def search(texts: DataFrame, key: str, terms: list[str], text: str = "text") ->
 
 @dataclass(frozen=True)
 class Postings:
-    """Stored postings: (bucket, gram, key), a folder for each bucket of grams, ordered by gram inside."""
+    """Stored postings: (bucket, gram, keys), a folder for each bucket of grams, ordered by gram inside."""
 
     path: str
     key: str
     buckets: int
 
     def hits(self, spark: SparkSession, wanted: list[str]) -> DataFrame:
-        """(key) of texts that have all the grams; only the buckets of these are read, and in them only their rows."""
+        """(key, _n) of texts that have all the ``_n`` grams; only the buckets of these are read, and in them only their rows."""
         stored = spark.read.parquet(self.path)
         asked = spark.createDataFrame([(g,) for g in wanted], "gram string").select(gram_bucket(F.col("gram"), self.buckets)).distinct()
         numbers = [r[0] for r in asked.collect()]  # as many as the terms have grams
-        rows = stored.filter(F.col("bucket").isin(numbers) & F.col("gram").isin(wanted))
-        return rows.groupBy(self.key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == len(wanted)).select(self.key)
+        rows = stored.filter(F.col("bucket").isin(numbers) & F.col("gram").isin(wanted)).select(F.explode("keys").alias(self.key))
+        return rows.groupBy(self.key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == len(wanted))
 
     def search(self, texts: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
         """What ``search`` gives, by grams where all terms have enough characters: their texts are found and then verified."""
         wanted = term_grams(terms)
         if not wanted:
             return search(texts, self.key, terms, text)
-        return texts.join(self.hits(texts.sparkSession, wanted), self.key, "left_semi").filter(holds_all(F.col(text), terms))
+        hits = written(self.hits(texts.sparkSession, wanted), "hits")
+        found = texts.join(F.broadcast(hits) if hits.count() <= SENT else hits, self.key)
+        # asked of both sides, as Spark would else verify all texts ahead of the join
+        return found.filter(F.when(F.col("_n") > 0, holds_all(F.col(text), terms))).select(*texts.columns)
 
 
 def gram_bucket(gram: Column, buckets: int) -> Column:
@@ -90,11 +140,11 @@ def gram_bucket(gram: Column, buckets: int) -> Column:
 def store_postings(texts: DataFrame, key: str, text: str = "text", buckets: int = 64) -> Postings:
     """Cut all texts into grams once and store these; each key is one text's.
 
-    A gram that a third of all texts have is in one bucket, but its rows are dealt to files by their key as well.
+    A gram that a third of all texts have is in one bucket, but its lists are dealt to files by their keys as well.
     """
     path = f"{shared_folder(texts.sparkSession)}/postings/{uuid.uuid4().hex}"
-    rows = postings(texts, key, text).withColumn("bucket", gram_bucket(F.col("gram"), buckets))
-    spread = rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(4)))
+    rows = gram_lists(texts, key, text).withColumn("bucket", gram_bucket(F.col("gram"), buckets))
+    spread = rows.repartition("bucket", F.pmod(F.xxhash64("keys"), F.lit(4)))
     spread.sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(path)
     return Postings(path, key, buckets)
 

@@ -22,7 +22,7 @@ def text_store(t: Tables):
 @query("X-01", sql=f"""SELECT gram, COUNT(*) AS texts FROM (SELECT DISTINCT doc_id, unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS gram
   FROM (SELECT doc_id, {_LOWER} AS t FROM documents) WHERE length(t) >= 3) GROUP BY 1""")
 def gram_postings(t: Tables):
-    return search.postings(t.documents, "doc_id").groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
+    return search.gram_lists(t.documents, "doc_id").groupBy("gram").agg(F.sum(F.size("keys")).alias("texts"))
 
 
 _STORED: dict[tuple[str, str], search.Postings] = {}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shelfmark import rules
 from shelfmark.functions import urls
 from shelfmark.functions.text import settled, title_key, title_keys
-from shelfmark.operators import evidence, extract, fallbacks, headings, identify, maintenance, matching
+from shelfmark.operators import evidence, extract, fallbacks, headings, identify, maintenance, matching, search
 
 ASKED = "id long, collection_id long, title_key string, year int"
 PARTS = "collection_id long, catalogue_id long, part_key string, part_year int"
@@ -214,3 +214,26 @@ def test_providers_are_those_of_parsed_hosts(spark):
     rows = spark.createDataFrame([(u,) for u in links], "u string").select("u", urls.provider_of(F.col("u")).alias("p"), parsed.alias("want")).collect()
     assert all(r["p"] == r["want"] for r in rows), [r for r in rows if r["p"] != r["want"]]
     assert sum(r["p"] is not None for r in rows) >= 7
+
+
+def test_postings_are_lists_and_only_found_texts_are_verified(spark):
+    texts = spark.range(3000).select("id", F.when(F.col("id") % 2 == 0, "Red ring").otherwise("blue").alias("text")).coalesce(2)
+    stored = search.store_postings(texts, "id", buckets=3)
+    assert spark.read.parquet(stored.path).count() <= 100  # not one row for each gram of each text
+    found = stored.search(texts, ["rED", "ring"])
+    assert not [line for line in _plan(found).split("\n") if "Filter" in line and "translate(" in line]
+    assert found.columns == texts.columns and found.count() == 1500 and stored.search(texts, ["blue", "red"]).count() == 0
+
+
+def test_grams_are_those_of_each_text(spark, monkeypatch):
+    texts = ["", "ab", "aBc", "ABCabc", "\0\0\0a", "a😀b😀b", "éÉé", "İiI", "中文字中文字", None, "x\n\t y", "\uffffab"]
+    low = [None if t is None else search.ascii_lowered(t) for t in texts]
+    want = sorted({(t[i : i + 3], k) for k, t in enumerate(low) if t is not None for i in range(len(t) - 2)})
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    assert sorted(map(tuple, search.postings(rows, "id").collect())) == want
+    import pyarrow as pa
+
+    monkeypatch.setattr(search, "LISTED", 3)  # many small blocks give the same
+    blocks = search._gram_lists(iter([pa.RecordBatch.from_arrays([pa.array([k for k, t in enumerate(texts) if t is not None]), pa.array([t.encode() for t in texts if t is not None])], ["id", "_text"])]))
+    lists = [(g, k) for b in blocks for g, keys in zip(*b.to_pydict().values()) for k in keys]
+    assert sorted(lists) == want
